@@ -62,11 +62,21 @@ def _tabla_visual() -> dict[int, str | None]:
 TABLA_VISUAL = _tabla_visual()
 
 
+def _clase_rara() -> re.Pattern:
+    """Characters that the visual form may change, alone or once decomposed."""
+    raras = [c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and not 0xAC00 <= c < 0xD7A4 and (0x300 <= c < 0x370 or any(ord(x) in TABLA_VISUAL for x in unicodedata.normalize("NFD", chr(c))))]
+    return re.compile("[" + "".join(map(re.escape, map(chr, raras))) + "]")
+
+
+RARA = _clase_rara()
+ALTA = re.compile("[\U00010000-\U0010ffff]")
+
+
 def visual(s: str) -> str:
     """The form of ``s`` that keeps all a reader sees and nothing else (case, accents, digits, breaks, spaces stay)."""
     if "\r" in s:
         s = s.replace("\r\n", "\n").replace("\r", "\n")
-    if s.isascii():
+    if s.isascii() or not RARA.search(s) and not ALTA.search(s) and unicodedata.is_normalized("NFC", s):
         return s
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", s).translate(TABLA_VISUAL))
 

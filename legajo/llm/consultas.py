@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from legajo.llm import corte, forma, fuga, tokens
+from pyspark.sql import functions as F
+
+from legajo.llm import corte, forma, fuga, idioma, tokens, toxicidad
 from legajo.llm.comun import leer as t
 
 
@@ -12,8 +14,14 @@ def queries():
         "p2_cortes": lambda s, d: corte.informe_cortes(t(s, d, "ocr_resultados"), t(s, d, "bloques"), t(s, d, "umbrales")),
         "p3_found": lambda s, d: forma.pares_iguales_a_la_vista(t(s, d, "bloques")),
         "p3_formas": lambda s, d: forma.clases(t(s, d, "bloques")),
+        "p1_found": lambda s, d: idioma.idiomas_no_nombrados(t(s, d, "documentos"), t(s, d, "bloques")),
+        "p1_documentos": lambda s, d: idioma.idioma_de_documentos(t(s, d, "documentos"), t(s, d, "bloques")),
+        "p1_pasajes": lambda s, d: idioma.pasajes(t(s, d, "documentos"), t(s, d, "bloques")),
         "p7_ids": lambda s, d: tokens.codificar_corpus(t(s, d, "documents")),
         "p8_found": lambda s, d: fuga.fugas(t(s, d, "documents"), t(s, d, "benchmark")).where("distancia = 0").select("doc_id", "item_id"),
+        "p9_found": lambda s, d: toxicidad.puntajes(t(s, d, "documents"), t(s, d, "labels")).where(F.col("puntaje") >= toxicidad.UMBRAL).select("doc_id"),
+        "p9_puntajes": lambda s, d: toxicidad.puntajes(t(s, d, "documents"), t(s, d, "labels")),
+        "p9_tasas": lambda s, d: toxicidad.tasas(t(s, d, "documents"), t(s, d, "labels")),
         "p8_items": lambda s, d: fuga.informe_items(t(s, d, "documents"), t(s, d, "benchmark")),
     }
 
