@@ -4,7 +4,7 @@ import sys
 
 from pyspark import cloudpickle
 
-from legajo.llm import comun, corte, forma, fuga, idioma, tokens, toxicidad  # noqa: F401
+from legajo.llm import calidad, comun, corte, forma, fuga, idioma, tokens, toxicidad, truncado  # noqa: F401
 
 # Functions of this package travel to the executors by value: nothing has to be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

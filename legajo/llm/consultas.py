@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from legajo.llm import corte, forma, fuga, idioma, tokens, toxicidad
+from legajo.llm import calidad, corte, forma, fuga, idioma, tokens, toxicidad, truncado
 from legajo.llm.comun import leer as t
 
 
@@ -17,6 +17,10 @@ def queries():
         "p1_found": lambda s, d: idioma.idiomas_no_nombrados(t(s, d, "documentos"), t(s, d, "bloques")),
         "p1_documentos": lambda s, d: idioma.idioma_de_documentos(t(s, d, "documentos"), t(s, d, "bloques")),
         "p1_pasajes": lambda s, d: idioma.pasajes(t(s, d, "documentos"), t(s, d, "bloques")),
+        "p6_found": lambda s, d: calidad.documentos_no_prosa(t(s, d, "bloques")),
+        "p6_documentos": lambda s, d: calidad.informe_documentos(t(s, d, "documentos"), t(s, d, "bloques")),
+        "p4_found": lambda s, d: truncado.cortados(t(s, d, "decisiones"), t(s, d, "bloques")),
+        "p4_tasas": lambda s, d: truncado.tasas(t(s, d, "decisiones"), t(s, d, "bloques")),
         "p7_ids": lambda s, d: tokens.codificar_corpus(t(s, d, "documents")),
         "p8_found": lambda s, d: fuga.fugas(t(s, d, "documents"), t(s, d, "benchmark")).where("distancia = 0").select("doc_id", "item_id"),
         "p9_found": lambda s, d: toxicidad.puntajes(t(s, d, "documents"), t(s, d, "labels")).where(F.col("puntaje") >= toxicidad.UMBRAL).select("doc_id"),
