@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from legajo.llm import calidad, corte, forma, fuga, idioma, tokens, toxicidad, truncado
+from legajo.llm import calidad, corte, escaneo, forma, fuga, idioma, tokens, toxicidad, truncado
 from legajo.llm.comun import leer as t
 
 
@@ -17,6 +17,8 @@ def queries():
         "p1_found": lambda s, d: idioma.idiomas_no_nombrados(t(s, d, "documentos"), t(s, d, "bloques")),
         "p1_documentos": lambda s, d: idioma.idioma_de_documentos(t(s, d, "documentos"), t(s, d, "bloques")),
         "p1_pasajes": lambda s, d: idioma.pasajes(t(s, d, "documentos"), t(s, d, "bloques")),
+        "p5_found": lambda s, d: escaneo.defectos(t(s, d, "bloques"), t(s, d, "ocr_resultados")),
+        "p5_textos": lambda s, d: escaneo.reparados(t(s, d, "bloques"), t(s, d, "ocr_resultados")),
         "p6_found": lambda s, d: calidad.documentos_no_prosa(t(s, d, "bloques")),
         "p6_documentos": lambda s, d: calidad.informe_documentos(t(s, d, "documentos"), t(s, d, "bloques")),
         "p4_found": lambda s, d: truncado.cortados(t(s, d, "decisiones"), t(s, d, "bloques")),
