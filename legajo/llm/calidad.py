@@ -16,11 +16,22 @@ ESTADISTICAS = ("log_palabras", "largo_palabra", "simbolos", "digitos", "fin_lin
 K = len(ESTADISTICAS)
 CORTE_D2 = 23.2  # 99 % point of a chi-square distribution with ten degrees of freedom
 
-_LISTA = r"(?U)^\s*(?:[-•*▪‣◦]|\(?(?:\d{1,3}|\p{L}|[ivxlIVXL]{1,6})[.)])\s+\S|(?:\.\s?){4,}\s*\d+\s*$|^[^.;|&]*\p{L}[^.;|&]*(?:,\s*\d{1,4})+\s*$"
+_MARCADA = r"^\s*(?:[-•*▪‣◦]|\(?(?:\d{1,3}|\p{L}|[ivxlIVXL]{1,6})[.)])\s+\S"
+_INDICE = r"\.\s?\.\s?\.\s?\.\s*\d+\s*$|^[^.,;|&]*\p{L}[^.,;|&]*(?:,\s*\d{1,4})+\s*$"
 _CELDA = r"[\p{L}\d.,'’%() _-]*"
 _TABLA = rf"(?U)^(?=.*\d)\s*\|?{_CELDA}(?:\s*(?:\||&|\t|;|\s{{2,}})\s*{_CELDA})+\s*(?:\||\\\\)?\s*$"
 
 
+def _es_fila(x):
+    """Row of a table; the cheap tests come first."""
+    return (x.contains("|") | x.contains("&") | x.contains("\t") | x.contains(";") | x.contains("  ")) & x.rlike(_TABLA)
+
+
+def _es_entrada(x):
+    """Entry of a list (marked) or of an index (ends with page numbers)."""
+    return x.rlike(_MARCADA) | (F.substring(F.rtrim(x), -1, 1).between("0", "9") & x.rlike(_INDICE))
+
+
 def _esta_en(palabras: list[str]):
     return lambda w: w.isin(palabras)
 
@@ -44,8 +55,8 @@ def estadisticas_de_bloques(bloques: DataFrame) -> DataFrame:
         suma_largo("palabras").alias("letras"), F.size(F.array_distinct("palabras")).alias("nd"),
         F.size(F.filter("palabras", lambda w: (F.length(w) > 1) & ~w.rlike("[aeiouyàáâãäåèéêëìíîïòóôõöùúûüœæ]"))).alias("sv"),
         *[F.size(F.filter("palabras", _esta_en(v.split()))).alias(f"c_{k}") for k, v in FUNCIONALES.items()],
-        suma_largo(F.filter("lineas", lambda x: x.rlike(_TABLA))).alias("n_tabla"),
-        suma_largo(F.filter("lineas", lambda x: x.rlike(_LISTA) & ~x.rlike(_TABLA))).alias("n_lista"),
+        suma_largo(F.filter("lineas", _es_fila)).alias("n_tabla"),
+        suma_largo(F.filter("lineas", lambda x: _es_entrada(x) & ~_es_fila(x))).alias("n_lista"),
         suma_largo("lineas").alias("n_lineas"),
         F.size(F.filter("lineas", lambda x: x.rlike(r"[.!?:;…»”\")\]∎]\s*$"))).alias("fin"),
         F.regexp_count("t", F.lit(r"\d")).alias("dig"), F.regexp_count("t", F.lit(r"[^\p{L}\p{M}\p{N}\s]")).alias("sim"),
