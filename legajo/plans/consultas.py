@@ -185,7 +185,7 @@ op("t1_confusion_de_clases", lambda s, d: unicos(_t(s, d, "bloques"), "tipo", "t
 op("t4_limpiar", lambda s, d: unicos(_t(s, d, "bloques"), "texto_plano").select("id", texto.limpiar(F.col("texto_plano")).alias("texto")),
    f"select id, regexp_replace(regexp_replace(regexp_replace(texto_plano, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '[\\s\\p{{Z}}\\x0b\\x85]+', ' ', 'g'), {RECORTE}, '', 'g') texto from {{bloques}}")
 op("t12_normalizar_latex", lambda s, d: unicos(_t(s, d, "bloques"), "latex").select("id", texto.normalizar_latex(F.col("latex")).alias("latex")),
-   r"""select id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(latex, '\\varnothing([^A-Za-z]|$)', '\\emptyset\1', 'g'), '\\[dt]frac([^A-Za-z]|$)', '\\frac\1', 'g'), '(\\,){2,}', '\\,', 'g'), '(\;){2,}', '\;', 'g'), '(\\:){2,}', '\\:', 'g'), '\\left\(([^()]{0,29})\\right\)', '(\1)', 'g'), '\^[\s\p{Z}]+', '^', 'g'), '_[\s\p{Z}]+', '_', 'g') latex from {bloques}""")
+   r"""select id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(latex, '\\varnothing([^A-Za-z]|$)', '\\emptyset\1', 'g'), '\\[dt]frac([^A-Za-z]|$)', '\\frac\1', 'g'), '(\\,){2,}', '\\,', 'g'), '(\\;){2,}', '\\;', 'g'), '(\\:){2,}', '\\:', 'g'), '\\left\(([^()]{0,29})\\right\)', '(\1)', 'g'), '\^[\s\p{Z}]+', '^', 'g'), '_[\s\p{Z}]+', '_', 'g') latex from {bloques}""")
 _D = "(length(t) - length(replace(t, chr(123), '')) - (length(t) - length(replace(t, chr(125), ''))))"
 op("t15_reparar_llaves", lambda s, d: unicos(_t(s, d, "decisiones"), "contenido_original").select("id", texto.reparar_pares(F.col("contenido_original"), "{", "}").alias("t")),
    f"select id, case when {_D} > 0 then t || repeat(chr(125), {_D}) when {_D} < 0 then repeat(chr(123), -{_D}) || t else t end t from (select id, contenido_original t from {{decisiones}})")
