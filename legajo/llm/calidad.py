@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from legajo.llm.comun import clave_tipo, fijar
 from legajo.llm.idioma import FUNCIONALES, IDIOMAS
@@ -53,7 +57,7 @@ def estadisticas_de_bloques(bloques: DataFrame) -> DataFrame:
         "documento_id", "bloque_id", "tipo", "t",
         F.length("t").alias("n"), F.greatest(F.size("palabras"), F.lit(1)).alias("np"), F.greatest(F.size("lineas"), F.lit(1)).alias("nl"),
         suma_largo("palabras").alias("letras"), F.size(F.array_distinct("palabras")).alias("nd"),
-        F.size(F.filter("palabras", lambda w: (F.length(w) > 1) & ~w.rlike("[aeiouyàáâãäåèéêëìíîïòóôõöùúûüœæ]"))).alias("sv"),
+        F.size(F.filter("palabras", lambda w: (F.length(w) > 1) & (F.translate(w, "aeiouyàáâãäåèéêëìíîïòóôõöùúûüœæ", "") == w))).alias("sv"),
         *[F.size(F.filter("palabras", _esta_en(v.split()))).alias(f"c_{k}") for k, v in FUNCIONALES.items()],
         suma_largo(F.filter("lineas", _es_fila)).alias("n_tabla"),
         suma_largo(F.filter("lineas", lambda x: _es_entrada(x) & ~_es_fila(x))).alias("n_lista"),
@@ -71,30 +75,64 @@ def estadisticas_de_bloques(bloques: DataFrame) -> DataFrame:
     return b.select("documento_id", "bloque_id", "tipo", "n", "n_lista", "n_tabla", idioma.alias("idioma"), z.alias("z")).dropDuplicates(["bloque_id"])
 
 
-def _momentos(e: DataFrame) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
-    """Count, mean and covariance by language, from sums that combine map-side; five rows reach the driver."""
-    sumas = [F.sum(F.col("z")[i]).alias(f"s{i}") for i in range(K)] + [F.sum(F.col("z")[i] * F.col("z")[j]).alias(f"q{i}_{j}") for i in range(K) for j in range(i, K)]
+def _matriz(lote: pa.RecordBatch, columna: int) -> np.ndarray:
+    return np.asarray(lote.column(columna).flatten(), np.float64).reshape(-1, K)
+
+
+def _separar(z: np.ndarray, idiomas: np.ndarray, centro: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Contribution of each statistic to the squared distance, row by row."""
+    c = np.empty_like(z)
+    for k, (m, p) in centro.items():
+        f = idiomas == k
+        v = z[f] - m
+        c[f] = v * (v @ p)
+    return c
+
+
+def _momentos(e: DataFrame, centro: dict | None = None) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
+    """Count, mean and covariance by language of the rows within the 99 % point of ``centro`` (all without one).
+
+    Each batch gives its partial sums as one matrix product; the sums of five languages
+    reach the driver.
+    """
+
+    def tarea(lotes: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        suma = {k: np.zeros(1 + K + K * K) for k in IDIOMAS}
+        for lote in lotes:
+            z, idi = _matriz(lote, 1), np.array(lote.column(0).to_pylist(), object)
+            dentro = np.ones(len(z), bool) if centro is None else _separar(z, idi, centro).sum(1) < CORTE_D2
+            for k in IDIOMAS:
+                x = z[dentro & (idi == k)]
+                suma[k] += np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
+        yield pa.RecordBatch.from_pydict({"idioma": list(suma), "s": [v.tolist() for v in suma.values()]})
+
+    partes = e.select("idioma", "z").mapInArrow(tarea, "idioma string, s array<double>")
+    filas = partes.select("idioma", F.posexplode("s").alias("i", "v")).groupBy("idioma", "i").agg(F.sum("v").alias("v")).collect()
     salida = {}
-    for r in e.groupBy("idioma").agg(F.count("*").alias("n"), *sumas).collect():
-        m = np.array([r[f"s{i}"] for i in range(K)]) / r.n
-        q = np.zeros((K, K))
-        for i in range(K):
-            for j in range(i, K):
-                q[i, j] = q[j, i] = r[f"q{i}_{j}"] / r.n - m[i] * m[j]
-        salida[r.idioma] = (r.n, m, q)
+    for k in IDIOMAS:
+        v = np.zeros(1 + K + K * K)
+        for r in filas:
+            if r.idioma == k:
+                v[r.i] = r.v
+        if v[0]:
+            m = v[1 : K + 1] / v[0]
+            salida[k] = (v[0], m, v[K + 1 :].reshape(K, K) / v[0] - np.outer(m, m))
     return salida
 
 
 def _distancia(e: DataFrame, centro: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """Adds ``contribuciones`` (array, sums to d2) and ``d2`` under the centre of the row's language."""
-    spark = e.sparkSession
-    filas = [(k, [float(x) for x in m], [float(x) for x in p.ravel()]) for k, (m, p) in centro.items()]
-    par = spark.createDataFrame(filas, "idioma string, m array<double>, p array<double>")
-    j = e.join(F.broadcast(par), "idioma")  # one row per language
-    v = [F.col("z")[i] - F.col("m")[i] for i in range(K)]
-    c = F.array(*[v[i] * sum((F.col("p")[i * K + k] * v[k] for k in range(1, K)), F.col("p")[i * K] * v[0]) for i in range(K)])
-    j = j.withColumn("contribuciones", c).drop("m", "p")
-    return j.withColumn("d2", F.aggregate("contribuciones", F.lit(0.0), lambda a, x: a + x))
+    nombres = e.columns
+    i, j = nombres.index("idioma"), nombres.index("z")
+
+    def tarea(lotes: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lote in lotes:
+            c = _separar(_matriz(lote, j), np.array(lote.column(i).to_pylist(), object), centro)
+            cc = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * K), pa.array(c.ravel()))
+            yield pa.RecordBatch.from_arrays([*lote.columns, cc, pa.array(c.sum(1))], names=[*nombres, "contribuciones", "d2"])
+
+    tipos = T.StructType([*e.schema.fields, T.StructField("contribuciones", T.ArrayType(T.DoubleType())), T.StructField("d2", T.DoubleType())])
+    return e.mapInArrow(tarea, tipos)
 
 
 # the spread below which a difference in a statistic means nothing
@@ -132,7 +170,7 @@ def distancias(bloques: DataFrame, pasos: int = 3) -> DataFrame:
     base = e.where("n >= 80")
     mom = _momentos(base.where(F.col("tipo").isin(*PROSA) & (F.col("z")[5] > 0.15)))
     for _ in range(pasos - 1):
-        mom = _momentos(_distancia(base, _centro(mom, _juntar(mom))).where(F.col("d2") < CORTE_D2)) or mom
+        mom = _momentos(base, _centro(mom, _juntar(mom))) or mom
     return _distancia(e, _centro(mom, _juntar(mom)))
 
 
