@@ -19,18 +19,25 @@ GUION = re.compile(r"[-¬\u00ad\u2010\u2011]([ \t>*]*\n[ \t>*]*)(?=\w)")
 MARCA = re.compile(r"\\[A-Za-z]+\*?|</?[A-Za-z][^<>]*>|&[A-Za-z]+;|&#\w+;")
 
 
-def texto_llano(s: str, unir: bool = True) -> str:
-    """Text for comparison of words: markup gone, line-end hyphens joined (or split), folded, without accents."""
-    s = GUION.sub("" if unir else " ", s)
-    s = MARCA.sub(" ", s)
-    if s.isascii():
-        return s.lower()
-    s = unicodedata.normalize("NFKD", unicodedata.normalize("NFD", s).translate(TABLA_VISUAL)).casefold()
-    return "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)) if not s.isascii() else s
+def _palabras_de_trozo(t: str) -> list[str]:
+    """Words of a piece without white space: folded, without accents, look-alikes mapped."""
+    if t.isascii():
+        return PALABRA.findall(t.lower())
+    t = unicodedata.normalize("NFKD", unicodedata.normalize("NFD", t).translate(TABLA_VISUAL)).casefold()
+    return PALABRA.findall("".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))
+
+
+def trozos(s: str, unir: bool = True) -> list[str]:
+    """White-space separated pieces of a text without markup, line-end hyphens joined (or split)."""
+    if "\n" in s:
+        s = GUION.sub("" if unir else " ", s)
+    if "\\" in s or "<" in s or "&" in s:
+        s = MARCA.sub(" ", s)
+    return s.split()
 
 
 def palabras(s: str, unir: bool = True) -> list[str]:
-    return PALABRA.findall(texto_llano(s, unir))
+    return [p for t in trozos(s, unir) for p in _palabras_de_trozo(t)]
 
 
 class Caminata:
@@ -124,20 +131,26 @@ def fugas(
         def tarea(lotes: Iterator[pa.RecordBatch], datos=datos) -> Iterator[pa.RecordBatch]:
             vocab, claves, de_items, cub, conocidas, cam = datos.value
             de = vocab.get
+            vistos: dict[str, list[int]] = {}  # piece of text → codes of its words
             for lote in lotes:
                 if not claves:
                     continue
+                if len(vistos) > 400_000:
+                    vistos.clear()
                 codigos: list[int] = []
                 dueno: list[int] = []
                 for n, t in enumerate(lote.column(1).to_pylist()):
                     if not t:
                         continue
-                    for unir in (True, False) if GUION.search(t) else (True,):
-                        w = palabras(t, unir)
-                        if len(w) >= ventana - ediciones:
-                            codigos += [de(p, 0) for p in w]
-                            codigos += [0] * ventana  # windows do not run on into the next text
-                            dueno += [n] * (len(w) + ventana)
+                    for unir in (True, False) if "\n" in t and GUION.search(t) else (True,):
+                        antes = len(codigos)
+                        for x in trozos(t, unir):
+                            c = vistos.get(x)
+                            if c is None:
+                                c = vistos[x] = [de(p, 0) for p in _palabras_de_trozo(x)]
+                            codigos += c
+                        codigos += [0] * ventana  # windows do not run on into the next text
+                        dueno += [n] * (len(codigos) - antes)
                 if not codigos:
                     continue
                 x = np.array(codigos, np.int64)
