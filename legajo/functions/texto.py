@@ -154,8 +154,8 @@ def como_lista(c: Column) -> Column:
 
 
 def como_enunciado(c: Column) -> Column:
-    et = F.regexp_extract(c, "(?i)" + ENUNCIADO, 1)
-    cuerpo = F.when(et == "", c).otherwise(recortar(F.concat(F.lit("**"), et, F.lit("** "), recortar(F.regexp_replace(c, "(?i)" + ENUNCIADO, "")))))
+    et = F.regexp_extract(c, "(?iu)" + ENUNCIADO, 1)
+    cuerpo = F.when(et == "", c).otherwise(recortar(F.concat(F.lit("**"), et, F.lit("** "), recortar(F.regexp_replace(c, "(?iu)" + ENUNCIADO, "")))))
     return F.array_join(F.transform(_lineas(cuerpo), lambda x: F.concat(F.lit("> "), x)), "\n")
 
 

@@ -219,7 +219,18 @@ op("s6_rangos_de_paginas", lambda s, d: unicos(_t(s, d, "documentos"), "total_pa
    "select id, case when total_paginas < 5 then null else array_to_string(list_sort(list_distinct(list_concat([0,1,2], range(4, total_paginas)))), ',') end paginas from {documentos}")
 
 # ---- rendered documents ---------------------------------------------------------------------------------------------------
-op("r1_markdown", lambda s, d: render.markdown(_t(s, d, "documentos"), _t(s, d, "bloques")))
+_EN = r"(?i)^((?:teorema|theorem|lema|lemma|proposici[óo]n|proposition|definici[óo]n|definition|corolario|corollary|proof|prueba|demostraci[óo]n)(?:\s+\d+(?:\.\d+)*)?(?:\s*\([^)]{0,60}\))?\s*[.:])"
+_LIN = "string_split_regex({x}, '\\r\\n|\\n|\\r')"
+_FORMA = f"""case when tipo = 'encabezado' then case when regexp_extract(t, '^(\\d+(?:\\.\\d+)*)[.)]?\\s+\\S', 1) = '' then '##' else repeat('#', least(6, length(regexp_extract(t, '^(\\d+(?:\\.\\d+)*)[.)]?\\s+\\S', 1)) - length(replace(regexp_extract(t, '^(\\d+(?:\\.\\d+)*)[.)]?\\s+\\S', 1), '.', '')) + 2)) end || ' ' || t
+ when tipo = 'formula_display' then '$$' || chr(10) || t || chr(10) || '$$' when tipo = 'codigo' then '```' || chr(10) || t || chr(10) || '```'
+ when tipo = 'lista' then array_to_string(list_transform(list_transform(list_filter(list_transform({_LIN.replace('{x}', 't')}, lambda x: regexp_replace(x, {RECORTE}, '', 'g')), lambda x: x <> ''), lambda x: regexp_replace(x, '^[•·]\\s*', '')), lambda x: case when regexp_matches(x, '^(?:[-*+]|\\d+[.)])\\s+') then x else '- ' || x end), chr(10))
+ when tipo in ('teorema','lema','proposicion','definicion','corolario','demostracion') then array_to_string(list_transform({_LIN.replace('{x}', f"case when regexp_extract(t, '{_EN}', 1) = '' then t else regexp_replace('**' || regexp_extract(t, '{_EN}', 1) || '** ' || regexp_replace(regexp_replace(t, '{_EN}', ''), {RECORTE}, '', 'g'), {RECORTE}, '', 'g') end")}, lambda x: '> ' || x), chr(10)) else t end"""
+_MD = f"""m as (select *, {_FORMA} md from (select documento_id, id bloque_id, pagina, orden_lectura orden, {TIPO} tipo, regexp_replace(coalesce(nullif(contenido_final,''), nullif(latex,''), nullif(texto_plano,''), ''), {RECORTE}, '', 'g') t from {{bloques}}) where tipo <> 'ruido' and t <> '')"""
+op("t35_bloques_en_markdown", lambda s, d: render.renderizables(_t(s, d, "bloques")).where("tipo <> 'ruido' and texto <> ''").select("bloque_id", texto.a_markdown(F.col("tipo"), F.col("texto")).alias("md")), f"with {_MD} select bloque_id, md from m")
+op("r1_markdown", lambda s, d: render.markdown(_t(s, d, "documentos"), _t(s, d, "bloques")),
+   f"""with {_MD}, p as (select *, case when row_number() over w = 1 then chr(10) || chr(10) || '<!-- página ' || (pagina + 1) || ' -->' || chr(10) || chr(10) when tipo = 'lista' and lag(tipo) over w = 'lista' then chr(10) else chr(10) || chr(10) end || md parte from m window w as (partition by documento_id, pagina order by orden, bloque_id)),
+ c as (select documento_id, string_agg(parte, '' order by pagina, orden, bloque_id) cuerpo from p group by 1)
+ select d.id documento_id, '# ' || regexp_replace(coalesce(nullif(titulo, ''), 'documento'), '(?i)\\.pdf$', '') || coalesce(cuerpo, '') || chr(10) texto from {{documentos}} d left join c on c.documento_id = d.id""")
 op("r2_latex", lambda s, d: render.latex(_t(s, d, "documentos"), _t(s, d, "bloques")))
 op("r3_cuaderno", lambda s, d: render.cuaderno(_t(s, d, "documentos"), _t(s, d, "bloques")))
 op("r4_nodos", lambda s, d: render.nodos(_t(s, d, "documentos"), _t(s, d, "bloques")))
