@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import unicodedata
@@ -28,10 +27,6 @@ def fijar(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def parametro(nombre: str, defecto: str) -> str:
-    return os.environ.get(nombre, defecto)
-
-
 # --- fixed values: letters of other scripts that display like a Latin letter -------------
 PARECIDAS = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ѕ": "S", "Ј": "J", "Ԛ": "Q", "Ԝ": "W", "Ү": "Y",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from legajo.llm import calidad, corte, escaneo, forma, fuga, idioma, tokens, toxicidad, truncado
 from legajo.llm.comun import leer as t
 
@@ -25,7 +23,7 @@ def queries():
         "p4_tasas": lambda s, d: truncado.tasas(t(s, d, "decisiones"), t(s, d, "bloques")),
         "p7_ids": lambda s, d: tokens.codificar_corpus(t(s, d, "documents")),
         "p8_found": lambda s, d: fuga.fugas(t(s, d, "documents"), t(s, d, "benchmark")).where("distancia = 0").select("doc_id", "item_id"),
-        "p9_found": lambda s, d: toxicidad.puntajes(t(s, d, "documents"), t(s, d, "labels")).where(F.col("puntaje") >= toxicidad.UMBRAL).select("doc_id"),
+        "p9_found": lambda s, d: toxicidad.hallados(t(s, d, "documents"), t(s, d, "labels")),
         "p9_puntajes": lambda s, d: toxicidad.puntajes(t(s, d, "documents"), t(s, d, "labels")),
         "p9_tasas": lambda s, d: toxicidad.tasas(t(s, d, "documents"), t(s, d, "labels")),
         "p8_items": lambda s, d: fuga.informe_items(t(s, d, "documents"), t(s, d, "benchmark")),

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from legajo.llm.comun import fijar
 
 CAMPOS = ("contenido_original", "contenido_final", "comentarios")
+MAX_DIFUSION = 1_000_000  # block ids, about 60 bytes each
 MARCA = r"(?:…|\.\.\.|\[…\]|\[\.\.\.\]|�)+[\s]*$"
 _MARCA = re.compile(MARCA)
 _TERMINAL = re.compile(r"[.!?∎][»”\"')\]$*_ ]*$|[.!?]\s*(?:\\end\{\w+\*?\}|\\\])\s*$")
@@ -94,7 +95,8 @@ def valores(decisiones: DataFrame, bloques: DataFrame | None = None) -> DataFram
     """``(decision_id, fuente, campo, valor, fin)`` of the non-empty values of distinct decisions; null is a source.
 
     ``bloques`` gives the stored whole texts of the decided blocks, which show what a cut
-    value went on with.  It is reduced to the decided blocks before its texts are shuffled.
+    value went on with.  It is reduced to the decided blocks before its texts are shuffled,
+    as long as there are at most ``MAX_DIFUSION`` of these; beyond it is shuffled whole.
     """
     d = decisiones.where("id is not null").select(F.col("id").alias("decision_id"), F.col("revisor").alias("fuente"), "bloque_id", *CAMPOS).dropDuplicates(["decision_id"])
     pares = ", ".join(f"'{c}', {c}" for c in CAMPOS)
@@ -102,7 +104,11 @@ def valores(decisiones: DataFrame, bloques: DataFrame | None = None) -> DataFram
     if bloques is None:
         v = v.withColumn("completo", F.array().cast("array<string>"))
     else:
-        b = bloques.select(F.col("id").alias("bloque_id"), F.array_compact(F.array("texto_plano", "latex", "contenido_final")).alias("completo")).dropDuplicates(["bloque_id"])
+        ids = d.select("bloque_id").where("bloque_id is not null").distinct()
+        b = bloques.select(F.col("id").alias("bloque_id"), F.array_compact(F.array("texto_plano", "latex", "contenido_final")).alias("completo"))
+        if ids.count() <= MAX_DIFUSION:
+            b = b.join(F.broadcast(ids), "bloque_id", "left_semi")
+        b = b.dropDuplicates(["bloque_id"])
         v = v.join(b, "bloque_id", "left").withColumn("completo", F.when(F.col("campo") != "comentarios", F.col("completo")))
     return v.select("decision_id", "fuente", "campo", "valor", _fin("valor", "completo", "campo").alias("fin"))
 
