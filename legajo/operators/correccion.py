@@ -16,8 +16,9 @@ REFERENCIA = r"(?iU)\b(Teorema|Lema|Proposición|Definición|Corolario)\s+(\d+(?
 
 def numerados(bloques: DataFrame) -> DataFrame:
     """``(documento_id, bloque_id, tipo, pagina, num array<bigint>)`` of statements that carry a number."""
-    b = unicos(bloques, "documento_id", "tipo", "pagina", "texto_plano").withColumn("tipo", tipo_normal(F.col("tipo"))).where(F.col("tipo").isin(*NUMERADOS))
-    return b.select("documento_id", F.col("id").alias("bloque_id"), "tipo", "pagina", numero(F.col("texto_plano")).alias("num")).where("size(num) > 0")
+    b = bloques.select("documento_id", F.col("id").alias("bloque_id"), tipo_normal(F.col("tipo")).alias("tipo"), "pagina", "texto_plano").where(F.col("tipo").isin(*NUMERADOS))
+    # repeated deliveries collapse on the narrow result; the texts are not shuffled
+    return b.select("documento_id", "bloque_id", "tipo", "pagina", numero(F.col("texto_plano")).alias("num")).where("size(num) > 0").distinct()
 
 
 def huecos_numeracion(n: DataFrame) -> DataFrame:
@@ -34,9 +35,10 @@ def huecos_numeracion(n: DataFrame) -> DataFrame:
 
 def referencias(bloques: DataFrame) -> DataFrame:
     """``(documento_id, bloque_id, pagina, tipo_ref, num_ref)``: references in paragraphs and proofs, one row per mention."""
-    b = unicos(bloques, "documento_id", "tipo", "pagina", "texto_plano").withColumn("tipo", tipo_normal(F.col("tipo"))).where("tipo in ('parrafo', 'demostracion')")
-    r = b.withColumn("r", F.explode(F.arrays_zip(F.regexp_extract_all("texto_plano", F.lit(REFERENCIA), F.lit(1)).alias("t"), F.regexp_extract_all("texto_plano", F.lit(REFERENCIA), F.lit(2)).alias("n"))))
-    return r.select("documento_id", F.col("id").alias("bloque_id"), "pagina", tipo_normal(F.col("r.t")).alias("tipo_ref"), F.col("r.n").alias("num_ref"))
+    b = bloques.select("documento_id", F.col("id").alias("bloque_id"), "pagina", "texto_plano", tipo_normal(F.col("tipo")).alias("tipo")).where("tipo in ('parrafo', 'demostracion')")
+    menciones = F.arrays_zip(F.regexp_extract_all("texto_plano", F.lit(REFERENCIA), F.lit(1)).alias("t"), F.regexp_extract_all("texto_plano", F.lit(REFERENCIA), F.lit(2)).alias("n"))
+    r = b.select("documento_id", "bloque_id", "pagina", menciones.alias("m")).where("size(m) > 0").distinct().withColumn("r", F.explode("m"))
+    return r.select("documento_id", "bloque_id", "pagina", tipo_normal(F.col("r.t")).alias("tipo_ref"), F.col("r.n").alias("num_ref"))
 
 
 def referencias_colgadas(bloques: DataFrame) -> DataFrame:

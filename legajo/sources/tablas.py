@@ -1,7 +1,8 @@
 """Table sources and sinks.
 
-Rows of the project's tables are delivered at least once; ``unicos`` collapses repeated
-deliveries after projection, so only the columns a query needs are read and shuffled.
+Rows of the project's tables are delivered at least once, each delivery of an id the same;
+``unicos`` collapses repeated deliveries after projection, so only the columns a query
+needs are read and shuffled, and filters reach the scan.
 """
 
 from __future__ import annotations
@@ -22,8 +23,12 @@ def tabla(spark: SparkSession, sf_dir: str, nombre: str) -> DataFrame:
 
 
 def unicos(df: DataFrame, *columnas: str) -> DataFrame:
-    """Project, then drop repeated deliveries of an id."""
-    return df.select("id", *[c for c in columnas if c != "id"]).dropDuplicates(["id"])
+    """Project, then drop repeated deliveries.
+
+    All projected columns are grouping keys, so a filter on any of them is pushed below
+    the shuffle.  Deliveries that differ in a projected column stay apart.
+    """
+    return df.select("id", *[c for c in columnas if c != "id"]).distinct()
 
 
 def registrar(spark: SparkSession, sf_dir: str) -> None:
