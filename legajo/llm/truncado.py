@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from legajo.llm.comun import fijar
 
 CAMPOS = ("contenido_original", "contenido_final", "comentarios")
-MAX_DIFUSION = 1_000_000  # block ids, about 60 bytes each
+MAX_DIFUSION = 200_000  # block ids, about 80 bytes each
 MARCA = r"(?:…|\.\.\.|\[…\]|\[\.\.\.\]|�)+[\s]*$"
 _MARCA = re.compile(MARCA)
 _TERMINAL = re.compile(r"[.!?∎][»”\"')\]$*_ ]*$|[.!?]\s*(?:\\end\{\w+\*?\}|\\\])\s*$")
