@@ -62,13 +62,31 @@ def paginas_inconsistentes(bloques: DataFrame) -> DataFrame:
 
 
 def indice_estructural(bloques: DataFrame) -> DataFrame:
-    """Per document and kind: how many, first and last numbers in numerical order, headings by their first 50 characters."""
+    """Summary of the numbered statements per document and kind: how many, first and last number in numerical order."""
     n = numerados(bloques).select("documento_id", F.col("tipo").alias("clase"), "num")
     return n.groupBy("documento_id", "clase").agg(
         F.count("*").alias("n"), F.array_join(F.min("num").cast("array<string>"), ".").alias("primero"), F.array_join(F.max("num").cast("array<string>"), ".").alias("ultimo")
     )
 
 
+def indice_de_entradas(bloques: DataFrame) -> DataFrame:
+    """``(documento_id, clase, posicion, numero, contenido, pagina, bloque_id)``: every heading, statement and proof.
+
+    Headings carry their first 50 characters, statements their number or null; positions
+    count from 1 per document and kind, statements by number (none last), then all by place
+    and id.  Parts of a number compare by length and digits, so no part is too long.
+    """
+    tipo, texto = tipo_normal(F.col("tipo")), F.coalesce("texto_plano", F.lit(""))
+    partes = F.transform(F.split(F.nullif(F.regexp_extract(texto, r"\d+(?:\.\d+)*", 0), F.lit("")), r"\."), lambda x: F.regexp_replace(x, r"^0+(?=\d)", ""))
+    b = bloques.select(
+        "documento_id", tipo.alias("clase"), F.when(tipo.isin(*NUMERADOS), F.array_join(partes, ".")).alias("numero"), F.when(tipo == "encabezado", F.substring(texto, 1, 50)).alias("contenido"),
+        "pagina", "orden_lectura", F.col("id").alias("bloque_id"),
+    ).where(F.col("clase").isin("encabezado", *NUMERADOS, "demostracion")).distinct()
+    clave = F.transform(F.split("numero", r"\."), lambda x: F.struct(F.length(x).alias("l"), x.alias("x")))
+    w = Window.partitionBy("documento_id", "clase").orderBy(clave.asc_nulls_last(), F.asc_nulls_last("pagina"), F.asc_nulls_last("orden_lectura"), "bloque_id")
+    return b.select("documento_id", "clase", F.row_number().over(w).alias("posicion"), "numero", "contenido", "pagina", "bloque_id")
+
+
 def sugerencias(palabras: DataFrame, diccionario: DataFrame) -> DataFrame:
     """``(palabra, sugerencia, distancia)``: the most similar dictionary word at similarity 0.8 or more; ties by alphabet.
 

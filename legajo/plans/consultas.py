@@ -115,6 +115,11 @@ op("a26_vocabulario", lambda s, d: unicos(_t(s, d, "bloques"), "documento_id", "
    "select documento_id, count(distinct w) palabras from (select documento_id, unnest(regexp_split_to_array(lower(texto_plano), '[^\\p{L}]+')) w from {bloques}) where w <> '' group by 1")
 op("a27_indice_estructural", lambda s, d: correccion.indice_estructural(_t(s, d, "bloques")),
    f"with {_NUM} select documento_id, tipo clase, count(*) n, array_to_string(min(num), '.') primero, array_to_string(max(num), '.') ultimo from n group by 1, 2")
+op("a27_indice_entradas", lambda s, d: correccion.indice_de_entradas(_t(s, d, "bloques")),
+   f"""with e as (select documento_id, {TIPO} clase, coalesce(texto_plano, '') t, pagina, orden_lectura, id bloque_id from {{bloques}}),
+ n as (select *, case when clase not in ('encabezado', 'demostracion') then list_transform(string_split(nullif(regexp_extract(t, '\\d+(?:\\.\\d+)*'), ''), '.'), lambda x: regexp_replace(x, '^0+(\\d)', '\\1')) end num from e where clase in ('encabezado', 'teorema', 'lema', 'proposicion', 'definicion', 'corolario', 'demostracion'))
+ select documento_id, clase, cast(row_number() over (partition by documento_id, clase order by list_transform(num, lambda x: {{'l': length(x), 'x': x}}) nulls last, pagina nulls last, orden_lectura nulls last, bloque_id) as int) posicion,
+ array_to_string(num, '.') numero, case when clase = 'encabezado' then left(t, 50) end contenido, pagina, bloque_id from n""")
 op("a30_bleu", lambda s, d: revision.bleu(unicos(_t(s, d, "decisiones"), "contenido_final", "contenido_original").where("contenido_final is not null and contenido_original is not null").select("id", F.col("contenido_final").alias("candidato"), F.col("contenido_original").alias("referencia"))).select(F.round("bleu", 8).alias("bleu"), "pares"),
    """with p as (select id, list_filter(regexp_split_to_array(contenido_final, '\\s+'), lambda x: x <> '') c, list_filter(regexp_split_to_array(contenido_original, '\\s+'), lambda x: x <> '') r from {decisiones} where contenido_final is not null and contenido_original is not null),
  o as (select unnest([1,2,3,4]) n),

@@ -89,6 +89,17 @@ def test_references(spark):
     assert {r.bloque_id for r in correccion.paginas_inconsistentes(b).collect()} == {"2", "3"}
 
 
+def test_structural_index_lists_every_entry(spark):
+    f = lambda i, tipo, t, p=0: {"id": i, "documento_id": "d", "tipo": tipo, "pagina": p, "orden_lectura": int(i), "texto_plano": t}
+    largo = "9" * 25
+    b = bloques(spark, [f("1", "Encabezado ", "1.1 " + "x" * 60), f("2", "teorema", "Teorema 3.10"), f("3", "teorema", "Teorema 3.2", 5), f("4", "teorema", "sin número"), f("5", "teorema", f"Teorema {largo}"), f("6", "demostración", None, 2), f("7", "lema", None), f("8", "parrafo", "7"), f("9", "encabezado", None, 1)])
+    r = correccion.indice_de_entradas(b.unionByName(b)).orderBy("clase", "posicion").collect()
+    assert [(x.clase, x.posicion, x.numero, x.contenido, x.pagina, x.bloque_id) for x in r] == [
+        ("demostracion", 1, None, None, 2, "6"), ("encabezado", 1, None, "1.1 " + "x" * 46, 0, "1"), ("encabezado", 2, None, "", 1, "9"), ("lema", 1, None, None, 0, "7"),
+        ("teorema", 1, "3.2", None, 5, "3"), ("teorema", 2, "3.10", None, 0, "2"), ("teorema", 3, largo, None, 0, "5"), ("teorema", 4, None, None, 0, "4"),
+    ]
+
+
 def caja(i, x0, y0, x1, y1):
     return {"id": str(i), "documento_id": "d", "pagina": 0, "bbox": (x0, y0, x1, y1)}
 
