@@ -87,27 +87,47 @@ def indice_de_entradas(bloques: DataFrame) -> DataFrame:
     return b.select("documento_id", "clase", F.row_number().over(w).alias("posicion"), "numero", "contenido", "pagina", "bloque_id")
 
 
+def _por_trozos(p: DataFrame, d: DataFrame) -> DataFrame:
+    """``(palabra, sugerencia)``: every pair within d = m div 5 edits, m >= 15 the length of the longer, and others.
+
+    With i edited pieces before the first unedited one, a shift by t and lengths that differ
+    by x: |t| + |x - t| <= d, and |x - t| <= d - i.  Rows are exploded step by step, so that
+    no row holds all keys of a very long word.
+    """
+    corte = "cast(i * n div (d + 1) as int) ini", "cast((i + 1) * n div (d + 1) - i * n div (d + 1) as int) largo"
+    q = d.selectExpr("sugerencia", "char_length(sugerencia) n").where("n >= 12")
+    # a partner may be longer by a quarter, so d is at most n div 4
+    b = q.selectExpr("sugerencia", "n", "explode(sequence(cast(greatest(3, n div 5) as int), cast(n div 4 as int))) d").selectExpr("*", "explode(sequence(0, d)) i").selectExpr("*", *corte)
+    b = b.selectExpr("sugerencia", "n", "d", "i", "substring(sugerencia, ini + 1, largo) k")
+    # one row per length of the dictionary
+    a = p.selectExpr("palabra", "char_length(palabra) l").where("l >= 12").join(F.broadcast(q.select("n").distinct()), F.expr("greatest(l, n) >= 15 and 5 * abs(l - n) <= greatest(l, n)"))
+    a = a.selectExpr("palabra", "l", "n", "cast(greatest(l, n) div 5 as int) d").selectExpr("*", "explode(sequence(0, d)) i").selectExpr("*", *corte).selectExpr("*", "explode(sequence(-d, d)) t")
+    a = a.where("abs(t) + abs(l - n - t) <= d and abs(l - n - t) <= d - i and ini + t >= 0 and ini + t + largo <= l").selectExpr("palabra", "n", "d", "i", "substring(palabra, ini + t + 1, largo) k").distinct()
+    return a.join(b, ["n", "d", "i", "k"]).select("palabra", "sugerencia")
+
+
 def sugerencias(palabras: DataFrame, diccionario: DataFrame) -> DataFrame:
     """``(palabra, sugerencia, distancia)``: the most similar dictionary word at similarity 0.8 or more; ties by alphabet.
 
-    Words of the dictionary drop out.  Candidates meet on deletion neighbourhoods instead
-    of a nested loop: at similarity 0.8 a word of length m is within d = m div 5 edits, and
-    two words within d edits share a string left after at most d deletions on each side.
-    Words of 4 to 14 characters are looked up (at most two edits).
+    Words of the dictionary drop out.  Candidates meet on equal keys instead of a nested
+    loop: at similarity 0.8 two words, the longer of length m, are within d = m div 5
+    edits.  Up to 14 characters they share a string left after at most d deletions on each
+    side.  Longer pairs share a piece: of d + 1 pieces of the dictionary word one is not
+    edited, and the first such piece stands in the other word at a bounded shift.
     """
-    p = palabras.select(F.lower("palabra").alias("palabra")).where("char_length(palabra) between 4 and 14").distinct().join(diccionario.select("palabra").distinct(), "palabra", "left_anti")
-    d = diccionario.select(F.lower("palabra").alias("sugerencia")).where("char_length(sugerencia) between 4 and 14").distinct()
+    p = palabras.select(F.lower("palabra").alias("palabra")).where("palabra <> ''").distinct().join(diccionario.select("palabra").distinct(), "palabra", "left_anti")
+    d = diccionario.select(F.lower("palabra").alias("sugerencia")).where("sugerencia <> ''").distinct()
 
     def vecinos(c: Column) -> Column:
         n = F.length(c)
         sin = lambda x, i: F.overlay(x, F.lit(""), i, F.lit(1))
         quita = F.transform(F.sequence(F.lit(1), n), lambda i: sin(c, i))
         dos = F.flatten(F.transform(quita, lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: sin(x, i))))
-        return F.array_distinct(F.when(n < 9, F.concat(F.array(c), quita)).otherwise(F.concat(F.array(c), quita, dos)))
+        return F.array_distinct(F.when(n < 4, F.array(c)).when(n < 9, F.concat(F.array(c), quita)).otherwise(F.concat(F.array(c), quita, dos)))
 
-    a = p.withColumn("k", F.explode(vecinos(F.col("palabra"))))
-    b = d.withColumn("k", F.explode(vecinos(F.col("sugerencia"))))
-    j = a.join(b, "k").select("palabra", "sugerencia").distinct()
+    a = p.where("char_length(palabra) < 15").withColumn("k", F.explode(vecinos(F.col("palabra"))))
+    b = d.where("char_length(sugerencia) < 15").withColumn("k", F.explode(vecinos(F.col("sugerencia"))))
+    j = a.join(b, "k").select("palabra", "sugerencia").unionByName(_por_trozos(p, d)).distinct()
     m = F.greatest(F.length("palabra"), F.length("sugerencia"))
     j = j.withColumn("distancia", F.levenshtein("palabra", "sugerencia")).where((5 * F.col("distancia") <= m))
     return j.groupBy("palabra").agg(F.min(F.struct((F.col("distancia") / m).alias("r"), "sugerencia", "distancia")).alias("x")).select("palabra", "x.sugerencia", "x.distancia")

@@ -187,6 +187,29 @@ def test_suggestions_against_brute_force(spark):
     assert {x.palabra: x.sugerencia for x in r} == esperado and esperado
 
 
+def test_suggestions_have_no_bound_on_length(spark):
+    import random
+
+    azar = random.Random(4)
+    letra = lambda: azar.choice("abcdeñ")
+    dic = ["".join(letra() for _ in range(n)) for n in (1, 3, 5, 8, 12, 13, 14, 15, 16, 17, 19, 20, 21, 24, 25, 29, 40, 61) for _ in range(2)] + ["suficientemente", "mannigfaltigkeit"]
+    pal = ["siificientemente", "suficicntemente", "mannigfaltigkcit", "x", ""]
+    for q in dic:
+        for cambios in range(1, len(q) // 4 + 2):
+            for forma in ("mixta", "quita", "pone", "cambia"):
+                x = list(q)
+                for _ in range(cambios):
+                    k = azar.randrange(len(x)) if x else 0
+                    que = azar.choice(("quita", "pone", "cambia")) if forma == "mixta" else forma
+                    x[k : k + (que != "pone")] = [] if que == "quita" else [letra()]
+                pal.append("".join(x))
+    df = lambda xs: spark.createDataFrame([(x,) for x in xs], "palabra string")
+    lev = df([x for x in set(pal) if x and x not in dic]).crossJoin(df(dic).distinct().withColumnRenamed("palabra", "q")).selectExpr("palabra", "q", "levenshtein(palabra, q) d", "greatest(length(palabra), length(q)) m")
+    esperado = {r.palabra: r.x.q for r in lev.where("5 * d <= m").groupBy("palabra").agg(F.min(F.struct((F.col("d") / F.col("m")).alias("r"), "q")).alias("x")).collect()}
+    r = {x.palabra: x.sugerencia for x in correccion.sugerencias(df(pal), df(dic)).collect()}
+    assert r == esperado and len(r) > 300 and r["siificientemente"] == "suficientemente" and r["mannigfaltigkcit"] == "mannigfaltigkeit"
+
+
 def test_bleu_bounds(spark):
     p = spark.createDataFrame([(1, "a b c d e f", "a b c d e f"), (2, "g h i j k", "g h i j k")], "id long, candidato string, referencia string")
     assert revision.bleu(p).first().bleu == pytest.approx(1.0)
