@@ -63,6 +63,8 @@ _ENTRADA = re.compile(r"^[ \t]*(?:[-•·*▪‣◦–+]|\(?(?:\d{1,3}|[a-zA-Z]|
 _PALABRA = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _FRASE = re.compile(r"[^.!?…:]*[.!?…:]+[»”\"')\]]*(?=\s|$)|[^.!?…:]+$|[^.!?…:]*[.!?…:]", re.S)
 _FIN = re.compile(r"[.!?…][»”\"')\]∎ ]*$")
+_VALOR_ABSOLUTO = re.compile(r"(?<![^\s(\[{=<>≤≥+−*/,-])\|[^\s|](?:[^|]*[^\s|])?\|(?![^\s)\]}=<>≤≥+−*/.,;:!?^_-])")
+_SEPARADORES = (("\t", 1), ("|", 2), ("&", 1), (";", 2))  # a table row holds more than so many
 _SUELTAS = frozenset("a e o y u i à é ó".split())
 
 
@@ -71,8 +73,27 @@ def _sin_titulo(m: re.Match) -> str:
     return t if len(_PALABRA.findall(t)) >= MIN_PALABRAS else " "
 
 
+def _palabras(t: str) -> list[str]:
+    return [x for x in _PALABRA.findall(t.lower()) if len(x) > 1 or x in _SUELTAS]
+
+
+def _es_fila(linea: str) -> bool:
+    """Is the line a table row?  It holds separators, not only absolute values, and stands between bars or has no cell of prose."""
+    for sep, n in _SEPARADORES:
+        if linea.count(sep) <= n:
+            continue
+        s = _VALOR_ABSOLUTO.sub(" ", linea) if sep == "|" else linea
+        if s.count(sep) <= n:
+            continue
+        if sep == "|" and s.strip()[0] == s.strip()[-1] == "|":
+            return True
+        if not any(len(_PALABRA.findall(c)) >= MIN_PALABRAS or any(_FIN.search(f) and len(_PALABRA.findall(f)) >= 4 for f in _FRASE.findall(c)) for c in s.split(sep)):
+            return True
+    return False
+
+
 def frases(texto: str) -> list[tuple[list[str], bool]]:
-    """``(words, is a sentence of running text)`` of a block; formulas, code, quoted titles, list entries and table rows give no sentence."""
+    """``(words, is a sentence of running text)`` of a block; formulas, code and quoted titles give none, list entries and table rows only as 12 words up to a full stop."""
     s = visual(texto) if not texto.isascii() else texto
     if "\n" in s:
         s = _GUION.sub("", s)
@@ -86,17 +107,17 @@ def frases(texto: str) -> list[tuple[list[str], bool]]:
     def vaciar():
         if prosa:
             for f in _FRASE.findall(" ".join(prosa)):
-                w = [x for x in _PALABRA.findall(f.lower()) if len(x) > 1 or x in _SUELTAS]
+                w = _palabras(f)
                 if w:
                     salida.append((w, len(w) >= MIN_PALABRAS or bool(_FIN.search(f))))
             prosa.clear()
 
     for linea in s.split("\n"):
-        if _ENTRADA.match(linea) or linea.count("\t") > 1 or linea.count("|") > 2 or linea.count("&") > 1 or linea.count(";") > 2:
+        if _ENTRADA.match(linea) or _es_fila(linea):
             vaciar()
-            w = [x for x in _PALABRA.findall(linea.lower()) if len(x) > 1 or x in _SUELTAS]
-            if w:
-                salida.append((w, len(w) >= MIN_PALABRAS and bool(_FIN.search(linea))))
+            # as a whole it counts or not; its sentences are labelled one by one
+            w = [x for x in map(_palabras, _FRASE.findall(linea)) if x]
+            salida += [(x, sum(map(len, w)) >= MIN_PALABRAS and bool(_FIN.search(linea))) for x in w]
         else:
             prosa.append(linea)
     vaciar()

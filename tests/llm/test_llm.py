@@ -133,6 +133,26 @@ def test_label_names(etiqueta, esperado):
     assert idioma.idiomas_nombrados(etiqueta) == esperado
 
 
+@pytest.mark.parametrize(
+    "linea",
+    [
+        "La condición vale siempre que |s - 21| < d en todo el intervalo. The condition holds whenever |s - 38| < d on the whole interval.",
+        "Sea P(A | B) menor que P(A | C) en todo el espacio de pruebas considerado aquí. The bound P(C | B) holds for every set of the family.",
+        "Uno es abierto; otro es cerrado; otro es compacto; y el último es denso en todo el espacio de las funciones. The last one is dense in the whole space.",
+        "- La condición vale siempre en todo el intervalo de la variable. The condition holds on the whole interval.",
+    ],
+)
+def test_lines_of_prose_are_no_rows(linea):
+    f = idioma.frases(linea)
+    assert len(f) == 2 and all(ok for _, ok in f) and f[1][0][0] == "the"
+    assert idioma._es_fila(linea) is False
+
+
+@pytest.mark.parametrize("linea", ["| a | 3.5 | uno |", "|a |b |c |", "|a|b|c|", "a|b|c|d", "vector & 3.1 & 4 \\\\", "norma;1.5;2;3", "norma\t1.5\t2", "| " + "una celda muy larga con un texto que sigue y sigue hasta pasar de doce | " * 3])
+def test_rows_stay_rows(linea):
+    assert idioma._es_fila(linea)
+
+
 def test_field_on_held_out_sentences(spark):
     D, B = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documentos.parquet"), spark.read.parquet(f"{SF.replace('0.001', '0.01')}/bloques.parquet")
     ej = idioma.muestra(D, B)
