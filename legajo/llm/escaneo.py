@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -90,11 +91,12 @@ def lineas_de_pagina(lineas: list[str]) -> dict[int, str]:
     return salida
 
 
-def analizar(texto: str, frecuentes: dict[str, int]) -> tuple[list[str], str, list[str]]:
+def analizar(texto: str, frecuentes: Mapping[str, int], claves: set[str] | None = None) -> tuple[list[str], str, list[str]]:
     """``(defects, repaired text, words to look up)`` of one text.
 
     A word divided at a line end is joined without its hyphen unless the corpus has its
-    parts with the hyphen within a line (a compound's own hyphen).
+    parts with the hyphen within a line (a compound's own hyphen).  ``claves`` takes the
+    words whose counts decide, without hyphens: so they are the same however it decides.
     """
     s = re.sub(rf"[­‐‑](?=[ \t]*\n)", "¬", texto) if "\n" in texto else texto  # the visual form would drop these
     s = visual(s)
@@ -118,6 +120,8 @@ def analizar(texto: str, frecuentes: dict[str, int]) -> tuple[list[str], str, li
             continue
         izq = (_TROZO.findall(m[1]) or [m[1]])[-1].lower()
         der = (_TROZO.findall(x) or [""])[0].lower()
+        if claves is not None:
+            claves |= {izq.replace("-", ""), der.replace("-", ""), (izq + der).replace("-", "")}
         junto, con_guion = frecuentes.get(izq + der, 0), frecuentes.get(f"{izq}-{der}", 0)
         propio = con_guion > junto or (minuscula and not junto and not con_guion and antes.endswith("-") and frecuentes.get(izq, 0) >= MIN_FRECUENTE and frecuentes.get(der, 0) >= MIN_FRECUENTE and len(izq) > 3 and len(der) > 3)
         if propio:
@@ -189,28 +193,55 @@ def correcciones(vocab: DataFrame) -> DataFrame:
     return j1.unionByName(j2).withColumn("k", F.row_number().over(w)).where("k = 1").select("palabra", "correccion", "pasos")
 
 
-def frecuentes(vocab: DataFrame, max_palabras: int = 200_000) -> dict[str, int]:
-    """The frequent words with their counts, bounded: the threshold rises until at most ``max_palabras`` are left."""
+def frecuentes(vocab: DataFrame, max_palabras: int = 200_000) -> tuple[dict[str, int], int]:
+    """``(words with their counts, least count)``: the most frequent words, at most ``max_palabras``, to be broadcast."""
     minimo = MIN_FRECUENTE
     while True:
         v = vocab.where(F.col("n") >= minimo)
         if v.count() <= max_palabras:
-            return {r.palabra: r.n for r in v.collect()}
+            return {r.palabra: r.n for r in v.collect()}, minimo
         minimo *= 4
 
 
-def analizados(bloques: DataFrame, ocr: DataFrame, vocab: DataFrame, con_texto: bool = False) -> DataFrame:
-    """``(bloque_id, campo, defectos, raras, oracion[, reparado])`` per text; no shuffle.
+def _cuentas(df: DataFrame, vocab: DataFrame, minimo: int) -> DataFrame:
+    """``(bloque_id, campo, cuentas)``: counts from ``MIN_FRECUENTE`` to below ``minimo`` of the words that decide on a text's line-end hyphens."""
 
-    ``vocab``: the counted words without those that have a correction; the frequent ones
-    (bounded) are broadcast, and ``raras`` are the words of a text that are not among them.  Empty texts have no defects.
+    def tarea(lotes: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lote in lotes:
+            claves = []
+            for t in lote.column(2).to_pylist():
+                c: set[str] = set()
+                analizar(t, {}, c)
+                claves.append(sorted(c))
+            yield pa.RecordBatch.from_arrays([lote.column(0), lote.column(1), pa.array(claves, pa.list_(pa.string()))], names=["bloque_id", "campo", "claves"])
+
+    c = df.mapInArrow(tarea, "bloque_id string, campo string, claves array<string>").select("bloque_id", "campo", F.explode("claves").alias("clave")).distinct()
+    v = vocab.where((F.col("n") >= MIN_FRECUENTE) & (F.col("n") < minimo)).select(F.replace("palabra", F.lit("-"), F.lit("")).alias("clave"), "palabra", "n")
+    return c.join(v, "clave").groupBy("bloque_id", "campo").agg(F.map_from_entries(F.collect_set(F.struct("palabra", "n"))).alias("cuentas"))
+
+
+def analizados(bloques: DataFrame, ocr: DataFrame, vocab: DataFrame, con_texto: bool = False, max_palabras: int = 200_000) -> DataFrame:
+    """``(bloque_id, campo, defectos, raras, oracion[, reparado])`` per text; no shuffle while the frequent words fit the broadcast.
+
+    ``vocab``: the counted words without those that have a correction; the most frequent
+    (bounded) are broadcast, and ``raras`` are the words of a text that are not known to be
+    frequent.  If not all frequent words fit, the counts that a text's hyphens need are
+    joined to it, so the result is the same.  Empty texts have no defects.
     """
-    b = bloques.sparkSession.sparkContext.broadcast(frecuentes(vocab))
+    frec, minimo = frecuentes(vocab, max_palabras)
+    b = bloques.sparkSession.sparkContext.broadcast(frec)
+    df = textos(bloques, ocr)
+    caben = minimo == MIN_FRECUENTE
+    if not caben:
+        df = df.join(_cuentas(df, vocab, minimo), ["bloque_id", "campo"], "left").select("bloque_id", "campo", "texto", "cuentas")
 
     def tarea(lotes: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frec = b.value
         for lote in lotes:
-            r = [analizar(t, frec) for t in lote.column(2).to_pylist()]
+            if caben:
+                r = [analizar(t, frec) for t in lote.column(2).to_pylist()]
+            else:
+                r = [analizar(t, ChainMap(dict(c), frec) if c else frec) for t, c in zip(lote.column(2).to_pylist(), lote.column(3).to_pylist())]
             cols = [lote.column(0), lote.column(1), pa.array([x[0] for x in r], pa.list_(pa.string())), pa.array([x[2] for x in r], pa.list_(pa.string())), pa.array([hay_oracion(x[1]) for x in r])]
             nombres = ["bloque_id", "campo", "defectos", "raras", "oracion"]
             if con_texto:
@@ -218,7 +249,7 @@ def analizados(bloques: DataFrame, ocr: DataFrame, vocab: DataFrame, con_texto:
                 nombres.append("reparado")
             yield pa.RecordBatch.from_arrays(cols, names=nombres)
 
-    return textos(bloques, ocr).mapInArrow(tarea, "bloque_id string, campo string, defectos array<string>, raras array<string>, oracion boolean" + (", reparado string" if con_texto else ""))
+    return df.mapInArrow(tarea, "bloque_id string, campo string, defectos array<string>, raras array<string>, oracion boolean" + (", reparado string" if con_texto else ""))
 
 
 def _escaneados(bloques: DataFrame) -> DataFrame:

@@ -227,6 +227,18 @@ def test_repair_of_lines():
     assert escaneo.analizar("", {}) == ([], "", []) and escaneo.analizar("\n\n", {})[0] == []
 
 
+def test_hyphens_do_not_depend_on_the_broadcast(spark):
+    t = ["El operador lineal-\ncuadrático es continuo.", "El cálculo bien-\nestar del lector.", "Otro caso int-\nervalo de prueba.", "Sea un mal-\nen-\ntendido muy común.", "La serie pre-\nsocrática-\nlineal de los términos."]
+    b = spark.createDataFrame([(str(i), x) for i, x in enumerate(t)], "id string, texto_plano string")
+    o = spark.createDataFrame([("0", "El método auto-\nadjunto de siempre."), ("9", None)], "id string, contenido string")
+    n = {"lineal-cuadrático": 50, "bienestar": 40, "bien-estar": 60, "intervalo": 30, "malentendido": 70, "mal-en-tendido": 90, "mal-en": 25, "malen": 22, "auto": 300, "adjunto": 24, "presocrática-lineal": 21, "de": 9000, "el": 8000, "poco": 3}
+    v = spark.createDataFrame(list(n.items()), "palabra string, n long")
+    r = lambda k: sorted((x.bloque_id, x.campo, x.defectos, x.reparado) for x in escaneo.analizados(b, o, v, con_texto=True, max_palabras=k).collect())
+    a = r(100)
+    assert a == r(2) == r(0) and {x[3] for x in a} >= {"El operador lineal-cuadrático es continuo.", "El cálculo bien-estar del lector.", "El método auto-adjunto de siempre."}
+    assert len(a) == 6
+
+
 def test_corrections_by_anagram_difference(spark):
     v = spark.createDataFrame([("siempre", 900), ("siernpre", 12), ("función", 800), ("furición", 3), ("fumción", 2), ("mano", 700), ("rnano", 600), ("c0nstarite", 2), ("constante", 900)], "palabra string, n long")
     got = {r.palabra: (r.correccion, r.pasos) for r in escaneo.correcciones(v).collect()}
