@@ -6,10 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legajo.functions.confianza import estructura
-from legajo.functions.texto import normalizar_latex, primero_no_vacio, recortar, reparar_estructura
+from legajo.functions.texto import normalizar_latex, primero_no_vacio, recortar, reparar_entornos, reparar_estructura, reparar_pares, tipo_normal
+from legajo.operators.correccion import inconsistencias, sugerencias
+from legajo.sources.tablas import fijar
 
 CON_FORMULAS = ("parrafo", "teorema", "lema", "definicion", "demostracion", "nota_pie")
 
+# --- fixed values: whole-word substitutions, in order, whatever the case ------------------------
+SUSTITUCIONES = (
+    ("rn", "m"), ("l", "1"), ("O", "0"), ("acá", "acá"), ("tenia", "tenía"), ("sería", "sería"), ("habia", "había"), ("podria", "podría"), ("seria", "sería"), ("recibia", "recibía"),
+)
+# --- end of fixed values ------------------------------------------------------------------------
+
 
 def ruta(tipo: Column, origen: Column, segmentos: Column, modo: Column, transcrito: Column) -> Column:
     """Route of a block by the first rule that holds; propositions and corollaries take the simple one."""
@@ -45,13 +53,58 @@ def recomponer_tabla(celdas: DataFrame) -> DataFrame:
 
 
 def corregir(tipo: Column, texto: Column) -> Column:
-    """Correction of a block's text: formulas normalised, text with LaTeX repaired, code and plain text kept, blank to empty."""
+    """Structure of a block's text (spelling: ``corregir_bloques``): formulas normalised, text with LaTeX repaired, code and plain text kept, blank to empty."""
     return (
         F.when(F.coalesce(recortar(texto), F.lit("")) == "", "").when(tipo == "codigo", texto).when(tipo.isin("formula_display", "formula_inline"), reparar_estructura(normalizar_latex(texto)))
         .when(texto.contains("$") | texto.contains("\\"), reparar_estructura(texto)).otherwise(texto)
     )
 
 
+def sustituir_fijas(texto: Column) -> Column:
+    for mal, bien in SUSTITUCIONES:
+        texto = F.regexp_replace(texto, rf"(?iU)\b{mal}\b", bien)
+    return texto
+
+
+def corregir_bloques(bloques: DataFrame, general: DataFrame, tecnico: DataFrame) -> DataFrame:
+    """``(bloque_id, texto)``: every block corrected, structure first, then spelling; code keeps its spelling.
+
+    Spelling: the fixed substitutions, then each word outside the dictionary (``tecnico`` for
+    formulas, ``general`` else; column ``palabra``) becomes its suggestion, an initial
+    capital kept.  Suggestions are sought once per distinct word.
+    """
+    # the steps of ``corregir`` one by one: nested, each repeats the one before many times
+    tipo, texto = tipo_normal(F.col("tipo")), F.col("texto")
+    b = bloques.select(F.col("id").alias("bloque_id"), tipo.alias("tipo"), F.when(F.coalesce(recortar(F.col("texto_plano")), F.lit("")) == "", "").otherwise(F.col("texto_plano")).alias("texto")).distinct()
+    b = b.select("bloque_id", F.when(F.col("tipo") == "codigo", "codigo").when(F.col("tipo").isin("formula_display", "formula_inline"), "tecnico").otherwise("general").alias("lista"), "texto")
+    formula = F.col("lista") == "tecnico"
+    b = b.withColumn("texto", F.when(formula, normalizar_latex(texto)).otherwise(texto))
+    repara = (texto != "") & (formula | (F.col("lista") == "general") & (texto.contains("$") | texto.contains("\\")))
+    for paso in (lambda c: reparar_pares(c, "{", "}"), lambda c: reparar_pares(c, "(", ")"), reparar_entornos):
+        b = b.withColumn("texto", F.when(repara, paso(texto)).otherwise(texto))
+    b = b.withColumn("texto", F.when(F.col("lista") == "codigo", texto).otherwise(sustituir_fijas(texto)))
+    palabras = F.regexp_extract_all("texto", F.lit(r"(?U)\w+"), F.lit(0))
+    # cut here, so that texts are corrected once and a number stands for the block where words are shuffled
+    b = fijar(b.withColumn("k", F.monotonically_increasing_id()))
+    w = b.where("lista <> 'codigo'").select("k", "lista", F.explode(F.array_distinct(F.transform(palabras, F.lower))).alias("palabra"))
+    v = fijar(w.select("lista", "palabra").distinct())
+    s = [sugerencias(v.where(F.col("lista") == n), fijar(d.select("palabra").distinct())).select(F.lit(n).alias("lista"), "palabra", "sugerencia") for n, d in (("general", general), ("tecnico", tecnico))]
+    m = w.join(fijar(s[0].unionByName(s[1])), ["lista", "palabra"]).groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct("palabra", "sugerencia"))).alias("mapa"))
+
+    def pon(x: Column) -> Column:
+        c = F.try_element_at("mapa", F.lower(x))
+        mayuscula = F.substring(x, 1, 1).rlike(r"^\p{Lu}")
+        return F.when(c.isNull(), x).when(mayuscula, F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1_000_000_000))).otherwise(c)
+
+    trozos = F.regexp_extract_all("texto", F.lit(r"(?U)\w+|\W+"), F.lit(0))
+    return b.join(m, "k", "left").select("bloque_id", F.when(F.col("mapa").isNull(), F.col("texto")).otherwise(F.array_join(F.transform(trozos, pon), "")).alias("texto"))
+
+
+def corregir_documento(bloques: DataFrame, general: DataFrame, tecnico: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Corrected blocks, and the inconsistencies (gaps, unresolved references) of the blocks as they were read."""
+    return corregir_bloques(bloques, general, tecnico), inconsistencias(bloques)
+
+
 def escalar(segmentos: DataFrame, respuestas: DataFrame, tope: float) -> DataFrame:
     """Answers for low micro-segments under a spend cap per document.
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from legajo.functions import confianza, geometria, texto
-from legajo.operators import correccion, disposicion, render, revision
+from legajo.operators import correccion, disposicion, reconocimiento, render, revision
 from legajo.sources.tablas import borrar_en_cascada, registrar, tabla, unicos
 from legajo.streaming import estado
 
@@ -214,6 +214,7 @@ op("t43_decisiones_recortadas", lambda s, d: unicos(_t(s, d, "decisiones"), "con
    "select id, left(contenido_original, 500) original, left(contenido_final, 500) final, left(comentarios, 200) nota, contenido_original is distinct from contenido_final cambio from {decisiones}")
 op("t21_similitud_de_versiones", lambda s, d: unicos(_t(s, d, "decisiones"), "contenido_original", "contenido_final").where("contenido_original <> contenido_final").select("id", F.round(texto.similitud(F.col("contenido_original"), F.col("contenido_final")), 8).alias("similitud")))
 op("t20_sugerencias", lambda s, d: _sugerencias(s, d))
+op("p13_bloques_corregidos", lambda s, d: reconocimiento.corregir_bloques(_t(s, d, "bloques"), _frecuentes(s, d), _frecuentes(s, d)))
 op("t32_encabezados", lambda s, d: unicos(_t(s, d, "bloques"), "tipo", "texto_plano").where((texto.tipo_normal(F.col("tipo")) == "encabezado") & F.col("texto_plano").isNotNull()).select("id", texto.nivel_encabezado(F.col("texto_plano")).alias("nivel")),
    f"select id, case when m = '' then '##' else repeat('#', least(6, length(m) - length(replace(m, '.', '')) + 2)) end nivel from (select id, regexp_extract(texto_plano, '^(\\d+(?:\\.\\d+)*)[.)]?\\s+\\S', 1) m from {{bloques}} where {TIPO} = 'encabezado' and texto_plano is not null)")
 op("t47_bigramas", lambda s, d: unicos(_t(s, d, "bloques"), "texto_plano").select(F.explode(texto.ngramas(F.filter(F.split(F.lower("texto_plano"), r"[^\p{L}]+"), lambda x: x != ""), 2)).alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n >= 20"),
@@ -246,11 +247,18 @@ op("st5_ultimo_estado", lambda s, d: estado.progreso(unicos(_t(s, d, "decisiones
    "select bloque_id documento_id, 5 capa, printf('%012d', id) || '/' || decision estado from (select *, row_number() over (partition by bloque_id order by registrado_en desc, id desc) k from {decisiones} where bloque_id is not null) where k = 1")
 
 
+def _palabras(df, c):
+    return df.select(F.explode(F.split(F.lower(c), r"[^\p{L}]+")).alias("palabra")).where("palabra <> ''").groupBy("palabra").agg(F.count("*").alias("n"))
+
+
+def _frecuentes(s, d):
+    """The frequent words of native blocks, as a dictionary."""
+    return _palabras(unicos(_t(s, d, "bloques"), "origen_contenido", "texto_plano").where("origen_contenido = 'texto_nativo'"), "texto_plano").where("n >= 5")
+
+
 def _sugerencias(s, d):
     """Rare words of scanned results against the frequent words of native blocks."""
-    palabras = lambda df, c: df.select(F.explode(F.split(F.lower(c), r"[^\p{L}]+")).alias("palabra")).where("palabra <> ''").groupBy("palabra").agg(F.count("*").alias("n"))
-    dic = palabras(unicos(_t(s, d, "bloques"), "origen_contenido", "texto_plano").where("origen_contenido = 'texto_nativo'"), "texto_plano").where("n >= 5")
-    return correccion.sugerencias(palabras(unicos(_t(s, d, "ocr_resultados"), "contenido"), "contenido"), dic)
+    return correccion.sugerencias(_palabras(unicos(_t(s, d, "ocr_resultados"), "contenido"), "contenido"), _frecuentes(s, d))
 
 
 def queries():

@@ -7,6 +7,8 @@ needs are read and shuffled, and filters reach the scan.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,14 @@ def unicos(df: DataFrame, *columnas: str) -> DataFrame:
     return df.select("id", *[c for c in columnas if c != "id"]).distinct()
 
 
+def fijar(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in ``spark.checkpoint.dir``; a session without one (tests) gets a folder of its own."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="legajo-ckpt-"))
+    return df.checkpoint(eager=True)
+
+
 def registrar(spark: SparkSession, sf_dir: str) -> None:
     """Temporary views of the tables, repeated deliveries collapsed, for queries in SQL.
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from legajo.functions import confianza, geometria, texto
-from legajo.operators import correccion, disposicion, render, revision
+from legajo.operators import correccion, disposicion, reconocimiento, render, revision
 from legajo.plans import consultas
 from legajo.sources import tablas
 from legajo.streaming import estado
@@ -210,6 +210,18 @@ def test_suggestions_have_no_bound_on_length(spark):
     assert r == esperado and len(r) > 300 and r["siificientemente"] == "suficientemente" and r["mannigfaltigkcit"] == "mannigfaltigkeit"
 
 
+def test_blocks_are_corrected_with_spelling(spark):
+    f = lambda i, tipo, t: {"id": i, "documento_id": "d", "tipo": tipo, "pagina": 0, "texto_plano": t}
+    casos = {
+        "1": ("Párrafo", "El Teorena, tenia un espacio. Seria teorena\n", "El Teorema, tenía un espacio. sería teorema\n"), "2": ("código", "teorena tenia", "teorena tenia"),
+        "3": ("formula_display", r"\dfrac{teorena}{vectos", r"\frac{teorena}{vector}"), "4": ("parrafo", " \n", ""), "5": ("lista", None, ""), "6": (None, "vectos y ESPACIP", "vectos y Espacio"),
+    }
+    df = lambda *xs: spark.createDataFrame([(x,) for x in xs], "palabra string")
+    b = bloques(spark, [f(i, t, x) for i, (t, x, _) in casos.items()])
+    r, inc = reconocimiento.corregir_documento(b.unionByName(b), df("el", "teorema", "espacio", "un", "tenía", "sería"), df("vector", "frac"))
+    assert {x.bloque_id: x.texto for x in r.collect()} == {i: s for i, (_, _, s) in casos.items()} and r.count() == len(casos) and inc.count() == 0
+
+
 def test_bleu_bounds(spark):
     p = spark.createDataFrame([(1, "a b c d e f", "a b c d e f"), (2, "g h i j k", "g h i j k")], "id long, candidato string, referencia string")
     assert revision.bleu(p).first().bleu == pytest.approx(1.0)
