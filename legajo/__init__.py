@@ -1 +1,11 @@
-"""legajo: document analytics on Spark DataFrames."""
+"""Document analytics on Spark.
+
+Functions and classes of the package travel to the executors by value: nothing has to be
+installed there.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,6 +7,7 @@ needs are read and shuffled, and filters reach the scan.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,12 +34,24 @@ def unicos(df: DataFrame, *columnas: str) -> DataFrame:
     return df.select("id", *[c for c in columnas if c != "id"]).distinct()
 
 
-def fijar(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in ``spark.checkpoint.dir``; a session without one (tests) gets a folder of its own."""
+def con_carpeta(df: DataFrame) -> DataFrame:
+    """Make sure that the session has a checkpoint folder: its own or ``spark.checkpoint.dir``.
+
+    Where neither is set, a local session (tests) gets a temporary folder; on a cluster that
+    would be one machine's disk, so it is an error there.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="legajo-ckpt-"))
-    return df.checkpoint(eager=True)
+        carpeta = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not carpeta and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(carpeta or tempfile.mkdtemp(prefix="legajo-"))
+    return df
+
+
+def fijar(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint (see ``con_carpeta``)."""
+    return con_carpeta(df).checkpoint(eager=True)
 
 
 def registrar(spark: SparkSession, sf_dir: str) -> None:
