@@ -1,10 +1,3 @@
 """Training-data operators.  Nothing outside this package imports it."""
 
-import sys
-
-from pyspark import cloudpickle
-
 from legajo.llm import calidad, comun, corte, escaneo, forma, fuga, idioma, tokens, toxicidad, truncado  # noqa: F401
-
-# Functions of this package travel to the executors by value: nothing has to be installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

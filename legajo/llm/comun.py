@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
 import re
-import tempfile
 import unicodedata
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from legajo.sources.tablas import con_carpeta
+
 
 def leer(spark: SparkSession, sf_dir: str, tabla: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{tabla}.parquet")
@@ -17,14 +21,20 @@ def leer(spark: SparkSession, sf_dir: str, tabla: str) -> DataFrame:
 def fijar(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session without that setting (tests) gets a folder of its own.
+    The folder is the one the session has or the cluster names in ``spark.checkpoint.dir``.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="legajo-ckpt-"))
-    return df.checkpoint(eager=True)
+    return con_carpeta(df).checkpoint(eager=True)
+
+
+class Difundido:
+    """A value for all tasks, sent by value with its classes: executors need not have the package."""
+
+    def __init__(self, spark: SparkSession, valor: Any):
+        self.b = spark.sparkContext.broadcast(cloudpickle.dumps(valor))
+
+    @property
+    def valor(self) -> Any:
+        return pickle.loads(self.b.value)
 
 
 # --- fixed values: letters of other scripts that display like a Latin letter -------------

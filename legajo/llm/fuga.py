@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legajo.llm.comun import TABLA_VISUAL
+from legajo.llm.comun import TABLA_VISUAL, Difundido
 
 VENTANA = 10
 PALABRA = re.compile(r"[^\W_]+")
@@ -102,7 +102,6 @@ def fugas(
     Items shorter than the window, null and empty texts give no row; repeated rows of
     either table change nothing; documents may be arbitrarily long.
     """
-    sc = corpus.sparkSession.sparkContext
     ti, td = items.schema[item_col].dataType.simpleString(), corpus.schema[id_col].dataType.simpleString()
     it = items.where(F.col(item_texto).isNotNull() & F.col(item_col).isNotNull()).select(item_col, item_texto).distinct()
     mb = (it.agg(F.sum(F.octet_length(item_texto))).first()[0] or 0) / 1e6
@@ -126,10 +125,10 @@ def fugas(
             for fila in cam.cubetas(plano, np.arange(len(claves)) * ventana):
                 for n, c in enumerate(fila.tolist()):
                     cub.setdefault(c, []).append(n)
-        datos = sc.broadcast((vocab, claves, [sorted(ventanas[c]) for c in claves], cub, np.sort(np.fromiter(cub, np.int64, len(cub))), cam))
+        datos = Difundido(corpus.sparkSession, (vocab, claves, [sorted(ventanas[c]) for c in claves], cub, np.sort(np.fromiter(cub, np.int64, len(cub))), cam))
 
         def tarea(lotes: Iterator[pa.RecordBatch], datos=datos) -> Iterator[pa.RecordBatch]:
-            vocab, claves, de_items, cub, conocidas, cam = datos.value
+            vocab, claves, de_items, cub, conocidas, cam = datos.valor
             de = vocab.get
             vistos: dict[str, list[int]] = {}  # piece of text → codes of its words
             for lote in lotes:

@@ -170,6 +170,20 @@ def test_field_on_held_out_sentences(spark):
     assert idioma.idioma_de_documentos(D, B.limit(0)).where("idioma is not null").count() == 0
 
 
+def test_segments_cut_within_sentences_and_text_in_no_language(spark):
+    D, B = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documentos.parquet"), spark.read.parquet(f"{SF.replace('0.001', '0.01')}/bloques.parquet")
+    crf = idioma.entrenar(idioma.muestra(D, B))
+    nada = ["test " * 60, "qx zvk bnm kjh trw pqs vbn " * 6, "Ã©ž™ªð™Âž ðœžÃ©¢ª ±Ã©¢ž œÃžŸ ðžÃÂ " * 8, "zCq4rEq1xcG51XzTfJahEJecd9IQdxmdC0IsDeLrjNQ2WJmp0KG8nK/c7elZxSgJrC3ojZGG5LYrM41aOoE+Stl7zG6J3yp5XS1VbG6s" * 3]
+    dentro = "Se demuestra que la función continua tiene un límite, as we shall see in the next chapter of this book, y el argumento se repite sin cambios para todos los casos."
+    largo = "palabra" * 40_000
+    filas = [("d", str(i), t) for i, t in enumerate(nada)] + [("d", "dentro", dentro), ("d", "largo", largo)]
+    r = idioma.segmentos(spark.createDataFrame(filas, "documento_id string, id string, texto_plano string"), crf).orderBy("bloque_id", "n").collect()
+    assert {x.bloque_id for x in r if x.pasaje} == {"dentro"}
+    assert [x.idioma for x in r if x.bloque_id == "dentro"] == ["es", "en", "es"] and {x.idioma for x in r if x.bloque_id == "dentro" and x.pasaje} == {"es"}
+    assert sum(x.palabras for x in r if x.bloque_id == "dentro") == len(idioma._palabras(dentro))
+    assert idioma.rasgos(largo) != idioma.rasgos(largo[:-1] + "z")
+
+
 def test_forward_backward_against_enumeration():
     crf = idioma.Crf()
     g = np.random.default_rng(0)
@@ -316,3 +330,19 @@ def test_network_learns_and_edges(spark):
     assert np.mean([(r[i].puntaje >= 0.5) == bool(m) for i, m in enumerate(metas[90:])]) > 0.9
     assert r[900].puntaje == r[901].puntaje == 0 and r[902].ventanas == 0 and r[903].ventanas > 1000
     assert isinstance(toxicidad.entrenar([], []), toxicidad.Red)
+    p, m = np.array([0.1, 0.2, 0.62, 0.7, 0.9, 0.95]), np.array([0, 0, 0, 1, 1, 1])
+    assert toxicidad.elegir_umbral(p, m) == 0.7 and toxicidad.elegir_umbral(p[:0], m[:0]) == toxicidad.UMBRAL_PREVIO
+
+
+def test_masks_and_numbers():
+    assert toxicidad.normalizar_trozo("m13rd4") == ["mierda"] and toxicidad.normalizar_trozo("i.d.i.o.t") == ["idiot"]
+    assert toxicidad.normalizar_trozo("871t") == ["0t"] and toxicidad.normalizar_trozo("12") == ["0"]
+    assert toxicidad.normalizar_trozo("a" + "bc" * 50) != toxicidad.normalizar_trozo("a" + "bc" * 49 + "bd")
+
+
+def test_sample_of_judgements(spark):
+    d = spark.createDataFrame([(i, f"texto {i}", ["es", "de", None][i % 3], "f") for i in range(60)] + [(60, None, "es", "f"), (3, "texto 3", "es", "f")], "doc_id long, text string, lang string, source string")
+    e = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0), (4, None), (60, 1), (99, 1)], "doc_id long, toxic int")
+    t, m, j = toxicidad.muestra_etiquetada(d, e)
+    assert sorted((a, b) for a, b, c in zip(t, m, j) if c) == [("texto 1", 1.0), ("texto 3", 0.0)] and len(t) == len(set(t)) > 50 and all(b == 0 for b, c in zip(m, j) if not c)
+    assert toxicidad.hallados(d, e.limit(0)).count() == 0 and toxicidad.tasas(d, e).count() == 1
