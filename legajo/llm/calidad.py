@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from legajo.llm.comun import clave_tipo, fijar
+from legajo.llm.comun import TABLA_VISUAL, clave_tipo, fijar
 from legajo.llm.idioma import FUNCIONALES, IDIOMAS
 
 # --- fixed values: block types whose texts are mostly prose ----------------------------------
@@ -19,6 +19,9 @@ PROSA = ("parrafo", "teorema", "lema", "proposicion", "definicion", "corolario",
 ESTADISTICAS = ("log_palabras", "largo_palabra", "simbolos", "digitos", "fin_linea", "comunes", "lineas_lista", "lineas_tabla", "sin_vocal", "repetidas")
 K = len(ESTADISTICAS)
 CORTE_D2 = 23.2  # 99 % point of a chi-square distribution with ten degrees of freedom
+CORTE_C = 6.63  # the same with one: what one statistic contributes to the distance by more than chance
+_ESPACIOS = "".join(chr(c) for c, v in TABLA_VISUAL.items() if c < 0x10000 and v == " ")
+_NADA = "".join(chr(c) for c, v in TABLA_VISUAL.items() if c < 0x10000 and v is None)
 
 _MARCADA = r"^\s*(?:[-•*▪‣◦]|\(?(?:\d{1,3}|\p{L}|[ivxlIVXL]{1,6})[.)])\s+\S"
 _INDICE = r"\.\s?\.\s?\.\s?\.\s*\d+\s*$|^[^.,;|&]*\p{L}[^.,;|&]*(?:,\s*\d{1,4})+\s*$"
@@ -49,13 +52,15 @@ def estadisticas_de_bloques(bloques: DataFrame) -> DataFrame:
     shuffled, never the texts.
     """
     b = bloques.where("id is not null and documento_id is not null and trim(texto_plano) <> ''").select(
-        "documento_id", F.col("id").alias("bloque_id"), clave_tipo(F.col("tipo")).alias("tipo"), F.col("texto_plano").alias("t")
-    )
+        "documento_id", F.col("id").alias("bloque_id"), clave_tipo(F.col("tipo")).alias("tipo"), F.length("texto_plano").alias("n"),
+        # spaces of any kind are spaces, what cannot be seen is nothing
+        F.when(F.col("texto_plano").rlike(r"^[\x00-\x7f]*$"), F.col("texto_plano")).otherwise(F.translate("texto_plano", _ESPACIOS + _NADA, " " * len(_ESPACIOS))).alias("t"),
+    ).where("trim(t) <> ''")
     b = b.withColumn("palabras", F.filter(F.split(F.lower("t"), r"[^\p{L}\p{M}]+"), lambda w: F.length(w) > 0)).withColumn("lineas", F.filter(F.split("t", r"\n"), lambda x: F.trim(x) != ""))
     suma_largo = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.length(x))
     b = b.select(
         "documento_id", "bloque_id", "tipo", "t",
-        F.length("t").alias("n"), F.greatest(F.size("palabras"), F.lit(1)).alias("np"), F.greatest(F.size("lineas"), F.lit(1)).alias("nl"),
+        "n", F.greatest(F.size("palabras"), F.lit(1)).alias("np"), F.greatest(F.size("lineas"), F.lit(1)).alias("nl"),
         suma_largo("palabras").alias("letras"), F.size(F.array_distinct("palabras")).alias("nd"),
         F.size(F.filter("palabras", lambda w: (F.length(w) > 1) & (F.translate(w, "aeiouyàáâãäåèéêëìíîïòóôõöùúûüœæ", "") == w))).alias("sv"),
         *[F.size(F.filter("palabras", _esta_en(v.split()))).alias(f"c_{k}") for k, v in FUNCIONALES.items()],
@@ -177,22 +182,28 @@ def distancias(bloques: DataFrame, pasos: int = 3) -> DataFrame:
 def clases_de_bloques(bloques: DataFrame) -> DataFrame:
     """Distances with ``lista``, ``tabla``, ``basura``: characters of the block that are of this class.
 
-    Only blocks beyond the 99 % point of their language's prose have any.  Rows of tables
-    and entries of lists count by line.  An outlier whose words are no words of the
-    language (hardly any common ones, and a share of symbols, vowelless, repeated or
-    overlong words beyond prose) is without meaning as a whole.
+    Only blocks beyond the 99 % point of their language's prose have any, and what put
+    them there decides which.  If the share of list lines (or of table rows) contributes
+    more than chance, its lines are entries (or rows).  If lines contribute nothing, an
+    outlier of at least 30 characters is without meaning if the word statistics (vowelless,
+    repeated and overlong words, symbols, lack of common words) make up half of its
+    distance or more, and not the brevity of the text; or, from 100 characters on, if it
+    has no words and symbols, digits and the lack of words make up half.  Code and formulas
+    have symbols and vowelless names of their own, so there these alone do not tell.
     """
     d = distancias(bloques)
-    z = lambda n: F.col("z")[ESTADISTICAS.index(n)]
-    fuera = F.col("d2") > CORTE_D2
-    sin_palabras = (z("comunes") < 0.1) & (
-        (z("sin_vocal") > 0.25) | (z("simbolos") > 0.35) | (z("repetidas") > 0.6) | (z("largo_palabra") > 14)
-        | ((z("lineas_lista") < 0.5) & (z("lineas_tabla") < 0.5) & (F.col("n") >= 60) & (z("log_palabras") > 2.2) & ((z("digitos") + z("simbolos")) < 0.45) & (z("fin_linea") < 0.99))
+    c = lambda *ns: sum((F.col("contribuciones")[ESTADISTICAS.index(n)] for n in ns), F.lit(0.0))
+    fuera, largo = F.col("d2") > CORTE_D2, F.col("n") >= 100
+    lista, tabla = fuera & (c("lineas_lista") > CORTE_C), fuera & (c("lineas_tabla") > CORTE_C)
+    palabras = c("sin_vocal", "repetidas", "largo_palabra", "simbolos", "comunes")
+    sin_palabras = F.col("z")[0] <= float(np.log1p(1)) + 1e-9
+    tecnico = F.col("tipo").isin("codigo", "formula_display", "formula_inline") & (c("sin_vocal", "repetidas") < 0.5 * F.col("d2")) & ~sin_palabras
+    basura = (
+        fuera & ~lista & ~tabla & (F.col("n") >= 30) & ~tecnico
+        & ((palabras > 0.5 * F.col("d2")) & ((c("log_palabras") < CORTE_C) | largo) | largo & sin_palabras & (c("log_palabras", "simbolos", "digitos") > 0.5 * F.col("d2")))
     )
-    basura = fuera & sin_palabras & (F.col("n") >= 30) & (z("lineas_lista") < 0.5) & ((z("lineas_tabla") < 0.5) | (z("simbolos") > 0.35)) & ~(F.col("tipo").isin("codigo", "formula_display", "formula_inline") & (z("simbolos") < 0.35) & (z("sin_vocal") < 0.5))
-    return d.select(
-        "*", F.when(basura, F.col("n")).otherwise(0).alias("basura"), F.when(fuera & ~basura, F.col("n_tabla")).otherwise(0).alias("tabla"), F.when(fuera & ~basura, F.col("n_lista")).otherwise(0).alias("lista")
-    )
+    parte = lambda si, n: F.when(si, F.col(n)).otherwise(0)
+    return d.select("*", parte(basura, "n").alias("basura"), parte(tabla, "n_tabla").alias("tabla"), parte(lista, "n_lista").alias("lista"))
 
 
 def documentos_no_prosa(bloques: DataFrame) -> DataFrame:

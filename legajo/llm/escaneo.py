@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import ChainMap
-from collections.abc import Iterator, Mapping
+from collections.abc import Container, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,8 +18,11 @@ CONFUSIONES = [
     ("2", "z"), ("7", "t"), ("@", "a"), ("$", "s"), ("|", "l"), ("!", "i"), ("€", "e"),
 ]
 # --- end of fixed values -----------------------------------------------------------------------
-MIN_FRECUENTE = 20  # uses of a word that may correct others
 RAZON = 15  # a correction is at least so many times as frequent as what it corrects
+TASA = 1e-6  # least share of all words of a word that may correct others
+TASA_DIFUSION = 5e-6  # words from this share of all words on are broadcast; there are at most 200,000 of them
+MIN_EVIDENCIA = 20  # uses of both halves that speak for a compound's own hyphen
+MODULO = (1 << 61) - 1  # of the anagram hash
 GUIONES = "-¬­‐‑"
 _PARTIDA = re.compile(rf"([^\W\d_][^\s]*?)[{GUIONES}][ \t]*$")
 _NUM = r"(?:\d{1,4}(?:\s*(?:/|de|of|von|sur)\s*\d{1,4})?|[ivxlc]{1,7})"
@@ -91,12 +93,13 @@ def lineas_de_pagina(lineas: list[str]) -> dict[int, str]:
     return salida
 
 
-def analizar(texto: str, frecuentes: Mapping[str, int], claves: set[str] | None = None) -> tuple[list[str], str, list[str]]:
+def analizar(texto: str, frecuentes: Mapping[str, int], claves: set[str] | None = None, comunes: Container[str] = ()) -> tuple[list[str], str, list[str]]:
     """``(defects, repaired text, words to look up)`` of one text.
 
     A word divided at a line end is joined without its hyphen unless the corpus has its
     parts with the hyphen within a line (a compound's own hyphen).  ``claves`` takes the
-    words whose counts decide, without hyphens: so they are the same however it decides.
+    words whose counts (``frecuentes``) decide, without hyphens: so they are the same however
+    it decides.  Words to look up are those that are not ``comunes``.
     """
     s = re.sub(rf"[­‐‑](?=[ \t]*\n)", "¬", texto) if "\n" in texto else texto  # the visual form would drop these
     s = visual(s)
@@ -113,7 +116,7 @@ def analizar(texto: str, frecuentes: Mapping[str, int], claves: set[str] | None
         if not x:
             continue
         antes = partes[-1] if partes else ""
-        m = _PARTIDA.search(antes[-120:]) if antes[-1:] and antes[-1] in GUIONES else None
+        m = _PARTIDA.search(antes[max(antes.rfind(" "), antes.rfind("\t")) + 1 :]) if antes[-1:] and antes[-1] in GUIONES else None
         minuscula = x[0].islower()
         if not m or not (minuscula or (x[0].isupper() and antes.rsplit(None, 1)[-1].isupper())):
             partes.append(x)
@@ -123,14 +126,14 @@ def analizar(texto: str, frecuentes: Mapping[str, int], claves: set[str] | None
         if claves is not None:
             claves |= {izq.replace("-", ""), der.replace("-", ""), (izq + der).replace("-", "")}
         junto, con_guion = frecuentes.get(izq + der, 0), frecuentes.get(f"{izq}-{der}", 0)
-        propio = con_guion > junto or (minuscula and not junto and not con_guion and antes.endswith("-") and frecuentes.get(izq, 0) >= MIN_FRECUENTE and frecuentes.get(der, 0) >= MIN_FRECUENTE and len(izq) > 3 and len(der) > 3)
+        propio = con_guion > junto or (minuscula and not junto and not con_guion and antes.endswith("-") and frecuentes.get(izq, 0) >= MIN_EVIDENCIA and frecuentes.get(der, 0) >= MIN_EVIDENCIA and len(izq) > 3 and len(der) > 3)
         if propio:
             partes[-1] = antes.rstrip(GUIONES) + "-" + x
         else:
             defectos.add("guion")
             partes[-1] = antes.rstrip(GUIONES) + x
     salida = " ".join(partes)
-    raras = sorted({w for w in _TROZO.findall(salida.lower()) if 2 <= len(w) <= 30 and w not in frecuentes and any(c.isalpha() for c in w) and "\\" not in w and "_" not in w})
+    raras = sorted({w for w in _TROZO.findall(salida.lower()) if 2 <= len(w) and w not in comunes and any(c.isalpha() for c in w) and "\\" not in w and "_" not in w})
     return sorted(defectos), salida, raras
 
 
@@ -149,62 +152,68 @@ def vocabulario(textos_: DataFrame) -> DataFrame:
     t = F.regexp_replace("texto", r"(?<=\p{L})[-¬­‐][ \t]*\n(?=\p{L})", "")
     t = F.lower(F.translate(t, de + fuera, a))
     w = F.explode(F.split(t, r"(?U)[\s.,;:?«»“”()\[\]…\"]+"))
-    return textos_.select(w.alias("palabra")).where(r"char_length(palabra) between 2 and 30 and palabra rlike '\\p{L}' and not palabra rlike '[\\\\_]'").groupBy("palabra").agg(F.count("*").alias("n"))
+    return textos_.select(w.alias("palabra")).where(r"char_length(palabra) >= 2 and palabra rlike '\\p{L}' and not palabra rlike '[\\\\_]'").groupBy("palabra").agg(F.count("*").alias("n"))
+
+
+def _valor(s: str) -> int:
+    return sum((ord(c) if ord(c) < 512 else 512 + ord(c) % 509) ** 5 for c in s)
 
 
 def _anagrama(c):
     """Anagram hash: sum of the fifth powers of the character values, the same for any order of characters."""
     v = lambda x: F.when(x == "", 0).when(F.ascii(x) < 512, F.ascii(x)).otherwise(512 + F.ascii(x) % 509)
-    return F.aggregate(F.split(c, ""), F.lit(0).cast("bigint"), lambda a, x: a + F.pow(v(x).cast("double"), F.lit(5.0)).cast("bigint"))
+    return F.aggregate(F.split(c, ""), F.lit(0).cast("bigint"), lambda a, x: F.pmod(a + F.pow(v(x).cast("double"), F.lit(5.0)).cast("bigint"), F.lit(MODULO)))
 
 
-def _valor(s: str) -> int:
-    return sum((ord(c) if ord(c) < 512 else 512 + ord(c) % 509) ** 5 for c in s)
+def _deshechas(forma: str, a: str, b: str) -> str:
+    """SQL: the array of what ``forma`` becomes if ``b`` stands for ``a`` at one of its places."""
+    return f"transform(filter(sequence(1, length({forma})), i -> substring({forma}, i, length({a})) = {a}), i -> concat(substring({forma}, 1, i - 1), {b}, substring({forma}, i + length({a}))))"
 
 
 def correcciones(vocab: DataFrame) -> DataFrame:
     """``(palabra, correccion, pasos)``: rare words and the best frequent word that a confusion or two turns into them.
 
-    A confusion changes the anagram hash by a fixed difference, so frequent variants are
-    found by an equi-join on hash plus difference; a candidate counts if undoing the
-    confusion at some place of the word gives exactly the frequent one.  Candidates rank by
-    number of confusions, then frequency, then alphabet.  The table of confusions is a
-    small literal, not a joined side.
+    A confusion changes the anagram hash by a fixed difference, two by the sum of theirs.
+    The hash of a rare word plus each difference of a confusion whose characters the word
+    holds (for the second: or may hold after the first) is joined with the hashes of the
+    frequent words, on the hash alone.  Candidates are then verified: undoing the
+    confusions at some places of the word has to give exactly the frequent one.  They rank
+    by number of confusions, then frequency, then alphabet.  Two confusions in a word of
+    four or five characters need the square of ``RAZON``; in fewer they tell nothing (any
+    two words of three letters are two confusions apart).  Frequent is a word with at
+    least ``RAZON`` times the uses of the rare one and the share ``TASA`` of all words, so the
+    choice is the same at any size of corpus.  The table of confusions is a small literal.
     """
-    # the counts decide what is frequent: at least MIN_FRECUENTE uses and RAZON times the rare word's
-    f = vocab.where((F.col("n") >= MIN_FRECUENTE) & F.col("palabra").rlike(r"^[\p{L}\p{M}'’-]+$")).select(F.col("palabra").alias("buena"), F.col("n").alias("nb"), _anagrama("palabra").alias("h"))
-    tabla = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(_valor(b) - _valor(a)).alias("d")) for a, b in CONFUSIONES])
-
-    def paso(df: DataFrame) -> DataFrame:
-        """Every undoing of one confusion, at each place where it may have happened."""
-        x = df.withColumn("c", F.explode(F.filter(tabla, lambda c: F.contains(F.col("forma"), c["a"]))))
-        x = x.withColumn("i", F.explode(F.expr("filter(sequence(1, length(forma)), i -> substring(forma, i, length(c.a)) = c.a)")))
-        nueva = F.expr("concat(substring(forma, 1, i - 1), c.b, substring(forma, i + length(c.a)))")
-        return x.select("palabra", "n", nueva.alias("forma"), (F.col("hash") + F.col("c.d")).alias("hash")).dropDuplicates(["palabra", "forma"])
-
-    r = vocab.where(F.col("palabra").rlike(r"^[\p{L}\p{M}\d@$|!€'’-]+$") & F.col("palabra").rlike(r"\p{L}")).select("palabra", "n", F.col("palabra").alias("forma"), _anagrama("palabra").alias("hash"))
-    p1 = paso(r)
-    j1 = p1.join(f, (p1.hash == f.h) & (p1.forma == f.buena)).where(F.col("nb") >= RAZON * F.col("n")).select("palabra", F.col("buena").alias("correccion"), F.lit(1).alias("pasos"), "nb")
-    # words with digits or signs inside and longer words may hold two
-    resto = p1.join(j1.select("palabra").distinct(), "palabra", "left_anti").where(F.length("palabra") >= 6)
-    p2 = paso(resto)
-    j2 = p2.join(f, (p2.hash == f.h) & (p2.forma == f.buena)).where(F.col("nb") >= RAZON * F.col("n")).select("palabra", F.col("buena").alias("correccion"), F.lit(2).alias("pasos"), "nb")
+    total, mayor = vocab.agg(F.sum("n"), F.max("n")).first()
+    if not total:
+        return vocab.sparkSession.createDataFrame([], "palabra string, correccion string, pasos int")
+    f = vocab.where((F.col("n") >= max(RAZON, TASA * total)) & F.col("palabra").rlike(r"^[\p{L}\p{M}'’-]+$")).select(F.col("palabra").alias("correccion"), F.col("n").alias("nb"), _anagrama("palabra").alias("hash"))
+    uno = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit((_valor(b) - _valor(a)) % MODULO).alias("d")) for a, b in CONFUSIONES])
+    r = vocab.where((F.col("n") * RAZON <= mayor) & F.col("palabra").rlike(r"^[\p{L}\p{M}\d@$|!€'’-]+$") & F.col("palabra").rlike(r"\p{L}"))
+    r = r.select("palabra", "n", _anagrama("palabra").alias("h"), F.filter(uno, lambda c: F.contains(F.col("palabra"), c["a"])).alias("c1"))
+
+    def hallar(x: DataFrame) -> DataFrame:
+        return x.join(f, "hash").where(F.col("nb") >= RAZON * F.col("n"))
+
+    p1 = r.withColumn("c", F.explode("c1")).select("palabra", "n", F.pmod(F.col("h") + F.col("c.d"), F.lit(MODULO)).alias("hash"), "c")
+    j1 = hallar(p1).where(f"array_contains({_deshechas('palabra', 'c.a', 'c.b')}, correccion)").select("palabra", "correccion", F.lit(1).alias("pasos"), "nb").distinct()
+    j1 = fijar(j1)
+    # a second one: its characters stand in the word or come up where the first was undone
+    resto = r.where("char_length(palabra) >= 4").join(j1.select("palabra").distinct(), "palabra", "left_anti").withColumn("c", F.explode("c1")).withColumn("k", F.explode(uno))
+    surge = F.exists(F.split(F.col("k.a"), ""), lambda x: (x != "") & F.contains(F.col("c.b"), x))
+    resto = resto.where(F.contains("palabra", F.col("k.a")) & (F.col("k.a") >= F.col("c.a")) | surge)
+    p2 = resto.select("palabra", "n", F.pmod(F.col("h") + F.col("c.d") + F.col("k.d"), F.lit(MODULO)).alias("hash"), "c", "k")
+    dos = f"exists({_deshechas('palabra', 'c.a', 'c.b')}, x -> array_contains({_deshechas('x', 'k.a', 'k.b').replace('i ->', 'j ->').replace(' i,', ' j,').replace(' i -', ' j -').replace(' i +', ' j +')}, correccion))"
+    j2 = hallar(p2).where((F.char_length("palabra") >= 6) | (F.col("nb") >= RAZON**2 * F.col("n"))).where(dos).select("palabra", "correccion", F.lit(2).alias("pasos"), "nb").distinct()
     w = Window.partitionBy("palabra").orderBy("pasos", F.desc("nb"), "correccion")
     return j1.unionByName(j2).withColumn("k", F.row_number().over(w)).where("k = 1").select("palabra", "correccion", "pasos")
 
 
-def frecuentes(vocab: DataFrame, max_palabras: int = 200_000) -> tuple[dict[str, int], int]:
-    """``(words with their counts, least count)``: the most frequent words, at most ``max_palabras``, to be broadcast."""
-    minimo = MIN_FRECUENTE
-    while True:
-        v = vocab.where(F.col("n") >= minimo)
-        if v.count() <= max_palabras:
-            return {r.palabra: r.n for r in v.collect()}, minimo
-        minimo *= 4
+_PARTIDAS = r"[-¬\u00ad\u2010\u2011][ \t]*\n"
 
 
-def _cuentas(df: DataFrame, vocab: DataFrame, minimo: int) -> DataFrame:
-    """``(bloque_id, campo, cuentas)``: counts from ``MIN_FRECUENTE`` to below ``minimo`` of the words that decide on a text's line-end hyphens."""
+def _cuentas(df: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(bloque_id, campo, cuentas)``: corpus counts of the words that decide on a text's line-end hyphens."""
 
     def tarea(lotes: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lote in lotes:
@@ -216,32 +225,30 @@ def _cuentas(df: DataFrame, vocab: DataFrame, minimo: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([lote.column(0), lote.column(1), pa.array(claves, pa.list_(pa.string()))], names=["bloque_id", "campo", "claves"])
 
     c = df.mapInArrow(tarea, "bloque_id string, campo string, claves array<string>").select("bloque_id", "campo", F.explode("claves").alias("clave")).distinct()
-    v = vocab.where((F.col("n") >= MIN_FRECUENTE) & (F.col("n") < minimo)).select(F.replace("palabra", F.lit("-"), F.lit("")).alias("clave"), "palabra", "n")
+    v = vocab.select(F.replace("palabra", F.lit("-"), F.lit("")).alias("clave"), "palabra", "n").where("n > 1")
     return c.join(v, "clave").groupBy("bloque_id", "campo").agg(F.map_from_entries(F.collect_set(F.struct("palabra", "n"))).alias("cuentas"))
 
 
-def analizados(bloques: DataFrame, ocr: DataFrame, vocab: DataFrame, con_texto: bool = False, max_palabras: int = 200_000) -> DataFrame:
-    """``(bloque_id, campo, defectos, raras, oracion[, reparado])`` per text; no shuffle while the frequent words fit the broadcast.
+def analizados(df: DataFrame, vocab: DataFrame, con_texto: bool = False, tasa: float = TASA_DIFUSION) -> DataFrame:
+    """``(bloque_id, campo, defectos, raras, oracion[, reparado])`` of ``df(bloque_id, campo, texto)``.
 
-    ``vocab``: the counted words without those that have a correction; the most frequent
-    (bounded) are broadcast, and ``raras`` are the words of a text that are not known to be
-    frequent.  If not all frequent words fit, the counts that a text's hyphens need are
-    joined to it, so the result is the same.  Empty texts have no defects.
+    ``vocab``: the counted words without those that have a correction.  Texts with a hyphen
+    at a line end get the counts that decide on it by a join; the others are not shuffled.
+    ``raras`` are the words of a text that may have a correction: those with a share of
+    ``tasa`` or more of all words (at most 1 / tasa words, which are broadcast) have none.
+    Empty texts have no defects.
     """
-    frec, minimo = frecuentes(vocab, max_palabras)
-    b = bloques.sparkSession.sparkContext.broadcast(frec)
-    df = textos(bloques, ocr)
-    caben = minimo == MIN_FRECUENTE
-    if not caben:
-        df = df.join(_cuentas(df, vocab, minimo), ["bloque_id", "campo"], "left").select("bloque_id", "campo", "texto", "cuentas")
+    total = vocab.agg(F.sum("n")).first()[0] or 0
+    b = df.sparkSession.sparkContext.broadcast({r.palabra for r in vocab.where((F.col("n") >= tasa * total) & (F.col("n") >= RAZON)).select("palabra").collect()})
+    partido = F.col("texto").rlike(_PARTIDAS)
+    con = df.where(partido)
+    con = con.join(_cuentas(con, vocab), ["bloque_id", "campo"], "left").select("bloque_id", "campo", "texto", "cuentas")
+    todo = df.where(~partido).withColumn("cuentas", F.lit(None).cast("map<string,bigint>")).unionByName(con)
 
     def tarea(lotes: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frec = b.value
+        comunes = b.value
         for lote in lotes:
-            if caben:
-                r = [analizar(t, frec) for t in lote.column(2).to_pylist()]
-            else:
-                r = [analizar(t, ChainMap(dict(c), frec) if c else frec) for t, c in zip(lote.column(2).to_pylist(), lote.column(3).to_pylist())]
+            r = [analizar(t, dict(c) if c else {}, None, comunes) for t, c in zip(lote.column(2).to_pylist(), lote.column(3).to_pylist())]
             cols = [lote.column(0), lote.column(1), pa.array([x[0] for x in r], pa.list_(pa.string())), pa.array([x[2] for x in r], pa.list_(pa.string())), pa.array([hay_oracion(x[1]) for x in r])]
             nombres = ["bloque_id", "campo", "defectos", "raras", "oracion"]
             if con_texto:
@@ -249,13 +256,18 @@ def analizados(bloques: DataFrame, ocr: DataFrame, vocab: DataFrame, con_texto:
                 nombres.append("reparado")
             yield pa.RecordBatch.from_arrays(cols, names=nombres)
 
-    return df.mapInArrow(tarea, "bloque_id string, campo string, defectos array<string>, raras array<string>, oracion boolean" + (", reparado string" if con_texto else ""))
+    return todo.mapInArrow(tarea, "bloque_id string, campo string, defectos array<string>, raras array<string>, oracion boolean" + (", reparado string" if con_texto else ""))
 
 
 def _escaneados(bloques: DataFrame) -> DataFrame:
     return bloques.where("origen_contenido = 'requiere_ocr' and id is not null").select(F.col("id").alias("bloque_id")).distinct()
 
 
+def _por_revisar(bloques: DataFrame, ocr: DataFrame) -> DataFrame:
+    """Texts of scanned blocks; of results all, since which block is scanned is known only after a join."""
+    return textos(bloques.where("origen_contenido = 'requiere_ocr'"), ocr)
+
+
 def defectos(bloques: DataFrame, ocr: DataFrame) -> DataFrame:
     """``(bloque_id, campo, defecto)`` of texts of scanned blocks with a full sentence, each defect once.
 
@@ -264,7 +276,7 @@ def defectos(bloques: DataFrame, ocr: DataFrame) -> DataFrame:
     """
     vocab = fijar(vocabulario(textos(bloques, ocr)))
     cor = fijar(correcciones(vocab))
-    a = fijar(analizados(bloques, ocr, vocab.join(cor, "palabra", "left_anti")).where("oracion and (size(defectos) > 0 or size(raras) > 0)").drop("oracion"))
+    a = fijar(analizados(_por_revisar(bloques, ocr), vocab.join(cor, "palabra", "left_anti")).where("oracion and (size(defectos) > 0 or size(raras) > 0)").drop("oracion"))
     lineas = a.select("bloque_id", "campo", F.explode("defectos").alias("defecto"))
     caracter = a.select("bloque_id", "campo", F.explode("raras").alias("palabra")).join(cor.select("palabra"), "palabra", "left_semi").select("bloque_id", "campo", F.lit("caracter").alias("defecto"))
     return lineas.unionByName(caracter).distinct().join(_escaneados(bloques), "bloque_id", "left_semi")
@@ -279,7 +291,7 @@ def reparados(bloques: DataFrame, ocr: DataFrame) -> DataFrame:
     """
     vocab = fijar(vocabulario(textos(bloques, ocr)))
     cor = fijar(correcciones(vocab)).select("palabra", "correccion")
-    a = fijar(analizados(bloques, ocr, vocab.join(cor, "palabra", "left_anti"), con_texto=True).join(_escaneados(bloques), "bloque_id", "left_semi").select("bloque_id", "campo", "reparado", "raras").distinct())
+    a = fijar(analizados(_por_revisar(bloques, ocr), vocab.join(cor, "palabra", "left_anti"), con_texto=True).join(_escaneados(bloques), "bloque_id", "left_semi").select("bloque_id", "campo", "reparado", "raras").distinct())
     clave = F.xxhash64("reparado")
     m = a.select("bloque_id", "campo", clave.alias("h"), F.explode("raras").alias("palabra")).join(cor, "palabra")
     # a text's corrections are at most its own rare words

@@ -74,6 +74,8 @@ class Caminata:
 
 
 def distancia_edicion(a: list[int], b: list[int]) -> int:
+    if list(a) == b:
+        return 0
     fila = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         diag, fila[0] = fila[0], i
@@ -84,7 +86,7 @@ def distancia_edicion(a: list[int], b: list[int]) -> int:
 
 def fugas(
     corpus: DataFrame, items: DataFrame, id_col: str = "doc_id", texto: str = "text", item_col: str = "item_id", item_texto: str = "text",
-    ventana: int = VENTANA, ediciones: int = 1, repeticiones: int = 6, muestra: int = 6, max_items_mb: int = 64,
+    ventana: int = VENTANA, ediciones: int = 1, repeticiones: int = 6, muestra: int = 6, max_mb: int = 200,
 ) -> DataFrame:
     """``(id, item, distancia)``: the smallest word edit distance of a window of the document to one of the item, up to ``ediciones``.
 
@@ -95,21 +97,23 @@ def fugas(
 
     Windows with more than ``ediciones`` words outside the items' vocabulary cannot come
     within the distance and are left out before embedding.  No shuffle before the verified
-    pairs; the items' windows are collected and broadcast after a check of their size
-    (``max_items_mb``; the held-out set is a fixed, small table), a larger set is processed
-    in slices of that size, each over the whole corpus.
+    pairs; the items' windows are collected and broadcast as arrays: per window its words,
+    and its bucket and number for each repetition.  Their size is bounded by ``max_mb`` (an
+    item text of n bytes has at most n / 2 words and two windows a word); a larger set of
+    items is processed in slices, each over the whole corpus.
 
     Items shorter than the window, null and empty texts give no row; repeated rows of
     either table change nothing; documents may be arbitrarily long.
     """
     ti, td = items.schema[item_col].dataType.simpleString(), corpus.schema[id_col].dataType.simpleString()
     it = items.where(F.col(item_texto).isNotNull() & F.col(item_col).isNotNull()).select(item_col, item_texto).distinct()
-    mb = (it.agg(F.sum(F.octet_length(item_texto))).first()[0] or 0) / 1e6
-    rebanadas = max(1, int(np.ceil(mb / max_items_mb)))
+    bytes_ventana = 4 * ventana + 12 * repeticiones + 16
+    mb = (it.agg(F.sum(F.octet_length(item_texto))).first()[0] or 0) * bytes_ventana / 1e6
+    rebanadas = max(1, int(np.ceil(mb / max_mb)))
     salida = None
     for k in range(rebanadas):
         parte = it if rebanadas == 1 else it.where(F.pmod(F.xxhash64(item_col), F.lit(rebanadas)) == k)
-        filas = parte.collect()  # at most about max_items_mb of text
+        filas = parte.collect()  # a slice: its text is smaller than its windows
         vocab: dict[str, int] = {}
         ventanas: dict[tuple, set] = {}
         for r in filas:
@@ -117,22 +121,20 @@ def fugas(
                 w = [vocab.setdefault(p, len(vocab) + 1) for p in palabras(r[1], unir)]
                 for i in range(len(w) - ventana + 1):
                     ventanas.setdefault(tuple(w[i : i + ventana]), set()).add(r[0])
-        claves = list(ventanas)
+        claves = np.array(list(ventanas), np.int32).reshape(-1, ventana)
+        de_items = [sorted(x) for x in ventanas.values()]
         cam = Caminata(len(vocab) + 1, ventana, repeticiones, muestra)
-        cub: dict[int, list[int]] = {}
-        if claves:
-            plano = np.array(claves, np.int64).ravel()
-            for fila in cam.cubetas(plano, np.arange(len(claves)) * ventana):
-                for n, c in enumerate(fila.tolist()):
-                    cub.setdefault(c, []).append(n)
-        datos = Difundido(corpus.sparkSession, (vocab, claves, [sorted(ventanas[c]) for c in claves], cub, np.sort(np.fromiter(cub, np.int64, len(cub))), cam))
+        cub = cam.cubetas(claves.ravel().astype(np.int64), np.arange(len(claves)) * ventana).ravel() if len(claves) else np.zeros(0, np.int64)
+        orden = np.argsort(cub, kind="stable")
+        # sorted buckets, and the window of each entry
+        datos = Difundido(corpus.sparkSession, (vocab, claves, de_items, cub[orden], (orden % max(1, len(claves))).astype(np.int32), cam))
 
         def tarea(lotes: Iterator[pa.RecordBatch], datos=datos) -> Iterator[pa.RecordBatch]:
-            vocab, claves, de_items, cub, conocidas, cam = datos.valor
+            vocab, claves, de_items, cub, de_cub, cam = datos.valor
             de = vocab.get
             vistos: dict[str, list[int]] = {}  # piece of text → codes of its words
             for lote in lotes:
-                if not claves:
+                if not len(claves):
                     continue
                 if len(vistos) > 400_000:
                     vistos.clear()
@@ -160,13 +162,13 @@ def fugas(
                 vistas: dict[tuple, list] = {}
                 if len(inicio):
                     for fila in cam.cubetas(x, inicio):
-                        p = np.minimum(np.searchsorted(conocidas, fila), len(conocidas) - 1)
-                        for i in np.flatnonzero(conocidas[p] == fila):
+                        p, q = np.searchsorted(cub, fila), np.searchsorted(cub, fila, "right")
+                        for i in np.flatnonzero(p < q):
                             s = int(inicio[i])
                             v = tuple(codigos[s : s + ventana])
                             k2 = (v, int(fila[i]))
                             if k2 not in vistas:
-                                vistas[k2] = [(m, d) for m in cub[k2[1]] if (d := 0 if claves[m] == v else distancia_edicion(v, claves[m])) <= ediciones]
+                                vistas[k2] = [(m, d) for m in de_cub[p[i] : q[i]].tolist() if (d := distancia_edicion(v, claves[m].tolist())) <= ediciones]
                             for m, d in vistas[k2]:
                                 for item in de_items[m]:
                                     k3 = (dueno[s], item)

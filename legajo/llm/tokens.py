@@ -13,8 +13,6 @@ from pyspark.sql import DataFrame
 PATRON = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # --- end of fixed values -----------------------------------------------------------------
 
-RUTA = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-
 
 def leer_rangos(ruta: str) -> dict[bytes, int]:
     with open(ruta, "rb") as f:
@@ -96,10 +94,10 @@ class TrieBpe:
         return salida
 
 
-def codificar_corpus(df: DataFrame, id_col: str = "doc_id", texto: str = "text", ruta: str = RUTA, cache_palabras: int = 400_000) -> DataFrame:
+def codificar_corpus(df: DataFrame, ruta: str, id_col: str = "doc_id", texto: str = "text", cache_palabras: int = 400_000) -> DataFrame:
     """One row ``(id, ids array<int>)`` per row of ``df``; a null or empty text has the empty list.
 
-    No shuffle: each task keeps the encodings of the distinct words it has met; when there
+    ``ruta``: the vocabulary file, read in the driver.  No shuffle: each task keeps the encodings of the distinct words it has met; when there
     are more than ``cache_palabras`` they are forgotten (memory only, results stay).  The
     vocabulary (fixed size, about 50k entries) is broadcast.  Special-token strings are
     ordinary text.  Texts may be arbitrarily long; blank texts are encoded like any other.

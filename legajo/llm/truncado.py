@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from legajo.llm.comun import fijar
 
 CAMPOS = ("contenido_original", "contenido_final", "comentarios")
-MAX_DIFUSION = 200_000  # block ids, about 80 bytes each
+BITS = 1 << 26  # of the filter of decided blocks: 8 MB, whatever the number of blocks
 MARCA = r"(?:…|\.\.\.|\[…\]|\[\.\.\.\]|�)+[\s]*$"
 _MARCA = re.compile(MARCA)
 _TERMINAL = re.compile(r"[.!?∎][»”\"')\]$*_ ]*$|[.!?]\s*(?:\\end\{\w+\*?\}|\\\])\s*$")
@@ -64,7 +64,6 @@ def fin_de(valor: str, completo: list[str], nota: bool = False) -> str:
         return "corto" if marcado and not _TERMINAL.search(v) else "entero"
     if t.count("{") > t.count("}") or t.count("\\begin") > t.count("\\end") or t.endswith("\\"):
         return "cortado" if not t.endswith("\\\\") else "libre"
-    ultima = lineas[-1]
     if _CODIGO.search(sin) or sum(bool(_ENTRADA.search(x) or _FILA.search(x)) for x in lineas) * 2 > len(lineas):
         return "corto" if marcado else "libre"
     palabras = _PALABRA.findall(t)
@@ -72,7 +71,7 @@ def fin_de(valor: str, completo: list[str], nota: bool = False) -> str:
         return "corto" if marcado and len(palabras) > 3 else "libre"
     if not re.search(r"[.!?:,;»] ", t) and len(palabras) < 10 and not marcado:
         return "libre"
-    return "cortado" if marcado or len(ultima) else "corto"
+    return "cortado"
 
 
 def _hasta(c: str, letras: int) -> int:
@@ -91,12 +90,25 @@ def _fin(lotes: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd
         yield pd.Series([None if v is None else fin_de(v, [x for x in (c if c is not None else []) if x], k == "comentarios") for v, c, k in zip(valor, completo, campo)], dtype=object)
 
 
+def _decididos(bloques: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``bloques`` whose ``bloque_id`` may be in ``ids``: a bitmap of fixed size over hashed ids.
+
+    The bitmap has at most ``BITS`` bits, so it may be broadcast; a block that is let through
+    by a clash of hashes drops out in the join that follows.
+    """
+    h = F.pmod(F.xxhash64("bloque_id"), F.lit(BITS)) + 1
+    mapa = ids.select(F.bitmap_bucket_number(h).alias("cubo"), F.bitmap_bit_position(h).alias("bit")).groupBy("cubo").agg(F.bitmap_construct_agg("bit").alias("mapa"))
+    b = bloques.withColumn("cubo", F.bitmap_bucket_number(h)).withColumn("bit", F.bitmap_bit_position(h)).join(F.broadcast(mapa), "cubo")
+    octeto = F.expr("cast(conv(hex(substring(mapa, cast(bit div 8 as int) + 1, 1)), 16, 10) as int)")
+    return b.where(F.shiftrightunsigned(octeto, 0).bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0).select(*bloques.columns)
+
+
 def valores(decisiones: DataFrame, bloques: DataFrame | None = None) -> DataFrame:
     """``(decision_id, fuente, campo, valor, fin)`` of the non-empty values of distinct decisions; null is a source.
 
     ``bloques`` gives the stored whole texts of the decided blocks, which show what a cut
-    value went on with.  It is reduced to the decided blocks before its texts are shuffled,
-    as long as there are at most ``MAX_DIFUSION`` of these; beyond it is shuffled whole.
+    value went on with.  It is reduced to the decided blocks, by a filter of fixed size,
+    before its texts are shuffled.
     """
     d = decisiones.where("id is not null").select(F.col("id").alias("decision_id"), F.col("revisor").alias("fuente"), "bloque_id", *CAMPOS).dropDuplicates(["decision_id"])
     pares = ", ".join(f"'{c}', {c}" for c in CAMPOS)
@@ -104,54 +116,59 @@ def valores(decisiones: DataFrame, bloques: DataFrame | None = None) -> DataFram
     if bloques is None:
         v = v.withColumn("completo", F.array().cast("array<string>"))
     else:
-        ids = d.select("bloque_id").where("bloque_id is not null").distinct()
         b = bloques.select(F.col("id").alias("bloque_id"), F.array_compact(F.array("texto_plano", "latex", "contenido_final")).alias("completo"))
-        if ids.count() <= MAX_DIFUSION:
-            b = b.join(F.broadcast(ids), "bloque_id", "left_semi")
-        b = b.dropDuplicates(["bloque_id"])
+        b = _decididos(b, decisiones.select("bloque_id").where("bloque_id is not null")).dropDuplicates(["bloque_id"])
         v = v.join(b, "bloque_id", "left").withColumn("completo", F.when(F.col("campo") != "comentarios", F.col("completo")))
     return v.select("decision_id", "fuente", "campo", "valor", _fin("valor", "completo", "campo").alias("fin"))
 
 
+UNIDADES = {"caracteres": "char_length(valor)", "bytes": "octet_length(valor)", "sin_marca": f"char_length(regexp_replace(valor, '{MARCA.replace(chr(92), chr(92) * 2)}', ''))"}
+
+
 def picos(v: DataFrame, minimo: int = 3, factor: float = 4.0, ancho: int = 12) -> DataFrame:
-    """``(fuente, campo, unidad, largo, n)``: lengths at which a source's values pile up, in characters and in bytes.
+    """``(fuente, campo, unidad, largo, n, maximo)``: lengths at which a source's values pile up, in characters, in bytes, and in characters before a cut mark.
 
     Histograms of the lengths of values without terminal punctuation; a length is a spike
-    if it holds at least ``minimo`` values and ``factor`` times what its neighbours within
-    ``ancho`` hold on average.  Aggregated by length before any window, so a source with a
-    third of all rows is a histogram like any other.
+    if it holds at least ``minimo`` values, ``factor`` times what its neighbours within
+    ``ancho`` hold on average, and half of its values, at least ``minimo``, are different
+    ones (a remark that is given again and again makes no spike).  It is at the ``maximo`` if
+    it holds as many different values as all greater lengths together.  Aggregated by length before any window, so a
+    source with a third of all rows is a histogram like any other.
     """
+    pares = ", ".join(f"'{k}', {x}" for k, x in UNIDADES.items())
     h = (
-        v.where(F.col("fin") != "entero").select("fuente", "campo", F.expr("stack(2, 'caracteres', char_length(valor), 'bytes', octet_length(valor)) as (unidad, largo)"))
-        .groupBy("fuente", "campo", "unidad", "largo").agg(F.count("*").alias("n"))
+        v.where(F.col("fin") != "entero").select("fuente", "campo", F.xxhash64("valor").alias("h"), F.expr(f"stack({len(UNIDADES)}, {pares}) as (unidad, largo)"))
+        .groupBy("fuente", "campo", "unidad", "largo").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d"))
     )
     w = Window.partitionBy("fuente", "campo", "unidad").orderBy("largo").rangeBetween(-ancho, ancho)
     vecinos = (F.sum("n").over(w) - F.col("n")) / (2 * ancho)
-    return h.withColumn("vecinos", vecinos).where((F.col("n") >= minimo) & (F.col("n") >= factor * F.col("vecinos")) & (F.col("largo") >= 20)).drop("vecinos")
+    encima = F.sum("d").over(Window.partitionBy("fuente", "campo", "unidad").orderBy(F.desc("largo")).rowsBetween(Window.unboundedPreceding, -1))
+    h = h.withColumn("vecinos", vecinos).withColumn("maximo", F.col("d") >= F.coalesce(encima, F.lit(0)))
+    return h.where((F.col("n") >= factor * F.col("vecinos")) & (F.col("d") >= minimo) & (2 * F.col("d") >= F.col("n"))).drop("vecinos", "d")
 
 
 def analizados(decisiones: DataFrame, bloques: DataFrame | None = None) -> DataFrame:
-    """``(decision_id, fuente, campo, fin, en_pico, cortado)`` of every non-empty value.
-
-    A value at a spike length of its source and field without terminal punctuation is cut,
-    unless a stored whole text shows it complete.  Values cut in transfer, at any length,
-    are those that end in the middle of running text, of a formula or with a cut mark; for
-    these the end of the text decides.  Null and empty values give no row.
+    """``(decision_id, fuente, campo, fin, en_pico, regla, cortado)`` of every non-empty value.
+
+    First rule, ``pico``: a value at a spike length of its source and field without terminal
+    punctuation is cut, one whose end tells nothing (a list, a table, code, a few words) if
+    the spike is at the maximum; an exact check follows, a stored whole text that equals the
+    value shows it complete.  Second rule, ``transferencia``: a value cut in transfer has no common
+    length; it stops in the middle of running text, of a formula or of the stored whole
+    text.  ``regla`` names the rule that holds first.  Null and empty values give no row.
     """
     v = fijar(valores(decisiones, bloques))
     # lengths at which some source spikes; one row per source, field and spike
     p = picos(v)
     nulo = F.lit("\u0000")
-    pc = p.where("unidad = 'caracteres'").select(F.coalesce("fuente", nulo).alias("f"), "campo", F.col("largo").alias("lc"), F.lit(True).alias("pc"))
-    pb = p.where("unidad = 'bytes'").select(F.coalesce("fuente", nulo).alias("f"), "campo", F.col("largo").alias("lb"), F.lit(True).alias("pb"))
-    m = v.withColumn("f", F.coalesce("fuente", nulo)).withColumn("lc", F.char_length("valor")).withColumn("lb", F.octet_length("valor"))
-    m = m.join(pc, ["f", "campo", "lc"], "left").join(pb, ["f", "campo", "lb"], "left")
-    en_pico = F.coalesce("pc", F.lit(False)) | F.coalesce("pb", F.lit(False))
-    marcado = F.col("valor").rlike(MARCA)
-    return m.select(
-        "decision_id", "fuente", "campo", "fin", en_pico.alias("en_pico"),
-        F.when(F.col("fin") == "entero", False).when(F.col("fin").isin("cortado", "corto"), True).otherwise(en_pico & ((F.col("lc") >= 60) | marcado)).alias("cortado"),
-    )
+    m = v.withColumn("f", F.coalesce("fuente", nulo))
+    for k, x in UNIDADES.items():
+        pk = p.where(F.col("unidad") == k).select(F.coalesce("fuente", nulo).alias("f"), "campo", F.col("largo").alias(f"l_{k}"), F.col("maximo").alias(f"p_{k}"))
+        m = m.withColumn(f"l_{k}", F.expr(x)).join(pk, ["f", "campo", f"l_{k}"], "left")
+    alguno = F.greatest(*[F.col(f"p_{k}") for k in UNIDADES])  # null: at no spike
+    en_pico = alguno.isNotNull()
+    regla = F.when(F.col("fin") == "entero", None).when(F.when(F.col("fin") == "libre", F.coalesce(alguno, F.lit(False))).otherwise(en_pico), "pico").when(F.col("fin").isin("cortado", "corto"), "transferencia")
+    return m.select("decision_id", "fuente", "campo", "fin", en_pico.alias("en_pico"), regla.alias("regla"), regla.isNotNull().alias("cortado"))
 
 
 def cortados(decisiones: DataFrame, bloques: DataFrame | None = None) -> DataFrame:
@@ -160,9 +177,9 @@ def cortados(decisiones: DataFrame, bloques: DataFrame | None = None) -> DataFra
 
 
 def tasas(decisiones: DataFrame, bloques: DataFrame | None = None) -> DataFrame:
-    """``(revisor, campo, n_valores, n_cortados, n_en_pico, tasa)`` per source and field; null is a source."""
+    """``(revisor, campo, n_valores, n_cortados, n_por_pico, n_por_transferencia, tasa)`` per source and field; null is a source."""
     return (
         analizados(decisiones, bloques).groupBy(F.col("fuente").alias("revisor"), "campo")
-        .agg(F.count("*").alias("n_valores"), F.count_if("cortado").alias("n_cortados"), F.count_if(F.col("cortado") & F.col("en_pico")).alias("n_en_pico"))
+        .agg(F.count("*").alias("n_valores"), F.count_if("cortado").alias("n_cortados"), F.count_if(F.col("regla") == "pico").alias("n_por_pico"), F.count_if(F.col("regla") == "transferencia").alias("n_por_transferencia"))
         .withColumn("tasa", F.col("n_cortados") / F.col("n_valores"))
     )

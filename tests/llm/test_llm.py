@@ -6,8 +6,9 @@ import sys
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from legajo.llm import calidad, comun, corte, escaneo, forma, fuga, idioma, tokens, toxicidad, truncado
+from legajo.llm import calidad, comun, consultas, corte, escaneo, forma, fuga, idioma, tokens, toxicidad, truncado
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +19,7 @@ def tabla(spark, n):
 
 # ---- 7: tokens -------------------------------------------------------------------------------
 def test_trie_equals_merges_by_rank():
-    r = tokens.leer_rangos(tokens.RUTA)
+    r = tokens.leer_rangos(consultas.VOCABULARIO)
     trie = tokens.TrieBpe(r)
     g = random.Random(3)
     ws = {bytes(g.choice(b"abcetionsr XYZ.,-=_") for _ in range(g.randint(1, 30))) for _ in range(2000)} | {("ñandú " * 5).encode(), b"\xf0\x9f\x98\x80"}
@@ -29,12 +30,12 @@ def test_trie_equals_merges_by_rank():
 def test_tokens_edges_and_round_trip(spark):
     filas = [(1, None), (2, ""), (3, " \t "), (4, "fin <|endoftext|> fin"), (5, "a" * 20_000), (6, "Hola, ¿qué tal? 123"), (6, "Hola, ¿qué tal? 123")]
     df = spark.createDataFrame(filas, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as `raro.col`")
-    r = [(x.doc_id, list(x.ids)) for x in tokens.codificar_corpus(df).collect()]
+    r = [(x.doc_id, list(x.ids)) for x in tokens.codificar_corpus(df, consultas.VOCABULARIO).collect()]
     assert len(r) == 7 and dict(r)[1] == [] and dict(r)[2] == []
-    inv = {v: k for k, v in tokens.leer_rangos(tokens.RUTA).items()}
+    inv = {v: k for k, v in tokens.leer_rangos(consultas.VOCABULARIO).items()}
     textos = dict(filas)
     assert all(b"".join(inv[i] for i in ids).decode() == (textos[d] or "") for d, ids in r)
-    assert tokens.codificar_corpus(df.limit(0)).count() == 0
+    assert tokens.codificar_corpus(df.limit(0), consultas.VOCABULARIO).count() == 0
 
 
 # ---- 2: cutoffs --------------------------------------------------------------------------------
@@ -85,6 +86,8 @@ def test_pairs_that_look_the_same(spark):
                 esperado.add((i, j, c))
     assert got == esperado and len(got) == 10
     assert forma.pares_iguales_a_la_vista(df.limit(0)).count() == 0
+    n = {(r.bloque_id, r.campo): r.enlaces for r in forma.enlaces(df).collect()}
+    assert all(n[(b, c)] == sum(1 for p in esperado if p[2] == c and b in p[:2]) for b, c in n) and {(x, p[2]) for p in esperado for x in p[:2]} == set(n)
 
 
 # ---- 8: leaks -------------------------------------------------------------------------------------
@@ -106,6 +109,26 @@ def test_leaks_against_brute_force(spark):
     assert got == esperado and esperado
 
 
+@pytest.mark.parametrize("ediciones", [1, 2])
+@pytest.mark.parametrize("cambio", ["quita", "pone", "cambia"])
+def test_leak_recall_by_kind_of_edit(spark, ediciones, cambio):
+    g = random.Random(ediciones)
+    vocab = [f"palabra{chr(97 + i % 26)}{i}" for i in range(300)]
+    base = [[g.choice(vocab) for _ in range(10)] for _ in range(120)]
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(base)], "item_id long, text string")
+    docs = []
+    for i, w in enumerate(base):
+        v = list(w)
+        for _ in range(ediciones):
+            k = g.randrange(1, len(v) - 1)
+            v[k : k + (cambio != "pone")] = [] if cambio == "quita" else [g.choice(vocab)]
+        docs.append((i, " ".join([g.choice(vocab) for _ in range(6)] + v + [g.choice(vocab) for _ in range(6)])))
+    # a window has as many words as the item, so a word taken out or put in moves one at the edge too
+    d = ediciones if cambio == "cambia" else 2 * ediciones
+    f = fuga.fugas(spark.createDataFrame(docs, "doc_id long, text string"), items, ediciones=d, repeticiones=6 if d == 1 else 12, muestra=6 if d == 1 else 3)
+    assert len({r.doc_id for r in f.collect() if r.doc_id == r.item_id}) >= 0.9 * len(base)
+
+
 def test_leak_forms_and_recall_at_distance_one(spark):
     g = random.Random(1)
     vocab = [f"palabra{chr(97 + i % 26)}{i}" for i in range(400)]
@@ -222,10 +245,11 @@ def test_spikes_and_nulls(spark):
     base = "Lista de palabras sueltas sin verbo alguno | tabla | celda " * 3
     filas = [(i, "r", None, base[:100], None, "") for i in range(20)] + [(100 + i, None, None, base[: 60 + i], "La nota está completa.", None) for i in range(20)]
     df = spark.createDataFrame(filas, "id long, revisor string, bloque_id string, contenido_original string, contenido_final string, comentarios string")
-    p = truncado.picos(truncado.valores(df)).where("unidad = 'caracteres'").collect()
+    df = df.unionByName(spark.createDataFrame([(500 + i, "r", None, base[i : i + 80] + str(i), None, "ver nota") for i in range(9)], df.schema)).withColumn("contenido_original", F.when(F.col("id") < 20, F.concat(F.substring("contenido_original", 1, 98), F.format_string("%02d", "id"))).otherwise(F.col("contenido_original")))
+    p = truncado.picos(truncado.valores(df)).where("unidad = 'caracteres' and largo = 100").collect()
     assert [(r.fuente, r.campo, r.largo) for r in p] == [("r", "contenido_original", 100)]
     t = {(r.revisor, r.campo): r.n_cortados for r in truncado.tasas(df).collect()}
-    assert t[("r", "contenido_original")] == 20 and t[(None, "contenido_final")] == 0
+    assert t[("r", "contenido_original")] >= 20 and t[("r", "comentarios")] == 0 and t[(None, "contenido_final")] == 0
     assert truncado.cortados(df.limit(0)).count() == 0
 
 
@@ -247,18 +271,45 @@ def test_hyphens_do_not_depend_on_the_broadcast(spark):
     o = spark.createDataFrame([("0", "El método auto-\nadjunto de siempre."), ("9", None)], "id string, contenido string")
     n = {"lineal-cuadrático": 50, "bienestar": 40, "bien-estar": 60, "intervalo": 30, "malentendido": 70, "mal-en-tendido": 90, "mal-en": 25, "malen": 22, "auto": 300, "adjunto": 24, "presocrática-lineal": 21, "de": 9000, "el": 8000, "poco": 3}
     v = spark.createDataFrame(list(n.items()), "palabra string, n long")
-    r = lambda k: sorted((x.bloque_id, x.campo, x.defectos, x.reparado) for x in escaneo.analizados(b, o, v, con_texto=True, max_palabras=k).collect())
-    a = r(100)
-    assert a == r(2) == r(0) and {x[3] for x in a} >= {"El operador lineal-cuadrático es continuo.", "El cálculo bien-estar del lector.", "El método auto-adjunto de siempre."}
+    r = lambda k: sorted((x.bloque_id, x.campo, x.defectos, x.reparado) for x in escaneo.analizados(escaneo.textos(b, o), v, con_texto=True, tasa=k).collect())
+    a = r(1e-9)
+    assert a == r(0.1) == r(1.0) and {x[3] for x in a} >= {"El operador lineal-cuadrático es continuo.", "El cálculo bien-estar del lector.", "El método auto-adjunto de siempre."}
     assert len(a) == 6
 
 
 def test_corrections_by_anagram_difference(spark):
     v = spark.createDataFrame([("siempre", 900), ("siernpre", 12), ("función", 800), ("furición", 3), ("fumción", 2), ("mano", 700), ("rnano", 600), ("c0nstarite", 2), ("constante", 900)], "palabra string, n long")
     got = {r.palabra: (r.correccion, r.pasos) for r in escaneo.correcciones(v).collect()}
+    assert escaneo.correcciones(v.limit(0)).count() == 0
     assert got == {"siernpre": ("siempre", 1), "furición": ("función", 1), "c0nstarite": ("constante", 2)}
 
 
+def test_corrections_against_brute_force(spark):
+    """Every place of every confusion, once and twice, over random words of any length."""
+    g = random.Random(5)
+    buenas = {"".join(g.choice("abcdehilmnorstuvw") for _ in range(n)): 5000 for n in [4, 5, 6, 7, 9, 12, 20, 45] * 3}
+
+    def mal(w):
+        a, b = g.choice([(a, b) for a, b in escaneo.CONFUSIONES if b in w])
+        i = g.choice([i for i in range(len(w)) if w.startswith(b, i)])
+        return w[:i] + a + w[i + len(b) :]
+
+    def desde(w):
+        return {w[:i] + b + w[i + len(a) :] for a, b in escaneo.CONFUSIONES for i in range(len(w)) if w.startswith(a, i)}
+
+    malas = {mal(w) for w in buenas for _ in range(2)} | {mal(mal(w)) for w in buenas for _ in range(3)}
+    malas -= set(buenas)
+    v = spark.createDataFrame([*buenas.items(), *((w, 2) for w in malas)], "palabra string, n long")
+    got = {r.palabra: r.correccion for r in escaneo.correcciones(v).collect()}
+    esperado = {}
+    for w in malas:
+        uno = desde(w)
+        c = sorted(x for x in uno if x in buenas) or (sorted({y for x in uno for y in desde(x) if y in buenas}) if len(w) >= 4 else [])
+        if c:
+            esperado[w] = c[0]
+    assert got == esperado and len(got) > 80
+
+
 def test_scan_defects_edges(spark):
     b, o = tabla(spark, "bloques"), tabla(spark, "ocr_resultados")
     r = escaneo.defectos(b, o)
