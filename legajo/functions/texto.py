@@ -137,6 +137,11 @@ def numero(c: Column) -> Column:
     return F.filter(F.transform(F.split(n, r"\."), lambda x: x.try_cast("bigint")), lambda x: x.isNotNull())
 
 
+def numero_corto(c: Column) -> Column:
+    """First number of a text as it stands, two levels at most; null without one."""
+    return F.nullif(F.regexp_extract(c, r"\d+(?:\.\d+)?", 0), F.lit(""))
+
+
 def nivel_encabezado(c: Column) -> Column:
     n = F.regexp_extract(c, r"^(\d+(?:\.\d+)*)[.)]?\s+\S", 1)
     return F.repeat(F.lit("#"), F.when(n == "", 2).otherwise(F.least(cuantas(n, ".") + 2, F.lit(6))))
@@ -170,12 +175,20 @@ def a_markdown(tipo: Column, texto: Column) -> Column:
     )
 
 
+FORMULA = r"(\$\$[^$]*\$\$|\$[^$]+\$|\\\\\[.*?\\\\\])"
+
+
 def segmentos_de_formula(c: Column) -> Column:
-    """Alternating text and inline formula segments of a text, empty ones left out: array of (tipo, contenido)."""
+    """Alternating text and formula segments of a text, stripped, empty ones left out: array of (tipo, contenido).
+
+    Formulas stand between dollars or between ``\\[`` and ``\\]`` with two backslashes each,
+    as recognisers write them.  A text without any segment is one text segment.
+    """
     marca = "\u0001"
-    piezas = F.split(F.regexp_replace(c, r"(\$\$[\s\S]+?\$\$|\$[^$\n]+\$)", f"{marca}$1{marca}"), marca)
-    t = F.transform(piezas, lambda x: F.struct(F.when(x.rlike(r"^\$[\s\S]+\$$"), "formula").otherwise("texto").alias("tipo"), x.alias("contenido")))
-    return F.filter(t, lambda x: recortar(x["contenido"]) != "")
+    piezas = F.split(F.regexp_replace(c, FORMULA, f"{marca}$1{marca}"), marca)
+    t = F.transform(piezas, lambda x, i: F.struct(F.when(i % 2 == 1, "formula_inline").otherwise("texto").alias("tipo"), recortar(x).alias("contenido")))
+    t = F.filter(t, lambda x: x["contenido"] != "")
+    return F.when(F.size(t) > 0, t).otherwise(F.array(F.struct(F.lit("texto").alias("tipo"), F.coalesce(c, F.lit("")).alias("contenido"))))
 
 
 def objeto_json(c: Column) -> Column:
@@ -183,6 +196,18 @@ def objeto_json(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+def sin_extension(titulo: Column) -> Column:
+    """A title without what follows its last full stop; "documento" if nothing is left."""
+    return primero_no_vacio(F.regexp_replace(titulo, r"(?s)\.[^.]*$", ""), F.lit("documento"))
+
+
+def cabecera_de_descarga(nombre: Column) -> Column:
+    """Content-Disposition with the name in ASCII ("_" for other signs) and percent-encoded."""
+    ascii_ = F.replace(F.regexp_replace(nombre, r"[^\x00-\x7f]", "_"), F.lit("?"), F.lit("_"))
+    codificado = F.replace(F.replace(F.url_encode(nombre), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+    return F.concat(F.lit('attachment; filename="'), ascii_, F.lit("\"; filename*=UTF-8''"), F.replace(codificado, F.lit("%7E"), F.lit("~")))
+
+
 def ngramas(palabras: Column, n: int) -> Column:
     k = F.size(palabras) - n + 1
     return F.when(k > 0, F.transform(F.sequence(F.lit(1), k), lambda i: F.array_join(F.slice(palabras, i, n), " "))).otherwise(F.array().cast("array<string>"))

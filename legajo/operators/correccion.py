@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from legajo.functions.texto import numero, tipo_normal
+from legajo.functions.texto import numero, numero_corto, tipo_normal
 from legajo.sources.tablas import unicos
 
 NUMERADOS = ("teorema", "lema", "proposicion", "definicion", "corolario")
@@ -55,6 +55,16 @@ def inconsistencias(bloques: DataFrame) -> DataFrame:
     return h.unionByName(r)
 
 
+def contexto_de_pagina(bloques: DataFrame, largo: int = 100) -> DataFrame:
+    """``(documento_id, pagina, contexto)``: the end of the first block's text, and the beginning of the last one's if there is another; ties by id."""
+    t = F.coalesce("texto_plano", F.lit(""))
+    lugar = F.struct("orden_lectura", "id")
+    # cut first, so whole texts are not shuffled
+    b = bloques.select("documento_id", "pagina", lugar.alias("k"), F.right(t, F.lit(largo)).alias("fin"), F.left(t, F.lit(largo)).alias("ini")).distinct()
+    g = b.groupBy("documento_id", "pagina").agg(F.count("*").alias("n"), F.min_by("fin", "k").alias("fin"), F.max_by("ini", "k").alias("ini"))
+    return g.select("documento_id", "pagina", F.concat("fin", F.when(F.col("n") > 1, F.concat(F.lit("\n"), "ini")).otherwise("")).alias("contexto"))
+
+
 def paginas_inconsistentes(bloques: DataFrame) -> DataFrame:
     """Blocks on a page with an inconsistency, each once."""
     p = inconsistencias(bloques).select("documento_id", "pagina").distinct()
@@ -87,6 +97,19 @@ def indice_de_entradas(bloques: DataFrame) -> DataFrame:
     return b.select("documento_id", "clase", F.row_number().over(w).alias("posicion"), "numero", "contenido", "pagina", "bloque_id")
 
 
+def indice_para_modelo(bloques: DataFrame) -> DataFrame:
+    """``(documento_id, clase, numero, pagina, bloque_id, posicion)``: the index that goes into a prompt.
+
+    Theorems, lemmas and definitions that carry a number, as text of two levels at most and
+    ordered as text ("10" before "9"), then page (0 and none last), and all proofs.
+    """
+    tipo = tipo_normal(F.col("tipo"))
+    b = bloques.select("documento_id", tipo.alias("clase"), F.when(tipo != "demostracion", numero_corto(F.col("texto_plano"))).alias("numero"), "pagina", F.col("id").alias("bloque_id"))
+    b = b.where("clase in ('teorema', 'lema', 'definicion') and numero is not null or clase = 'demostracion'").distinct()
+    w = Window.partitionBy("documento_id", "clase").orderBy(F.asc_nulls_last("numero"), F.coalesce(F.nullif("pagina", F.lit(0)), F.lit(999)), "bloque_id")
+    return b.withColumn("posicion", F.row_number().over(w))
+
+
 def _por_trozos(p: DataFrame, d: DataFrame) -> DataFrame:
     """``(palabra, sugerencia)``: every pair within d = m div 5 edits, m >= 15 the length of the longer, and others.
 

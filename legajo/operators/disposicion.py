@@ -77,6 +77,11 @@ def perfil_de_paginas(bloques: DataFrame) -> DataFrame:
     return g.withColumn("perfil", F.array_max(candidatos)["p"]).withColumn("dpi", dpi)
 
 
+def con_dpi(filas: DataFrame, dpi: DataFrame, otro: int = 200) -> DataFrame:
+    """Rows with the resolution of their page, ``otro`` for a page without one."""
+    return filas.join(dpi.select(*PAGINA, "dpi"), PAGINA, "left").withColumn("dpi", F.coalesce("dpi", F.lit(otro)))
+
+
 def zonas(p: DataFrame) -> DataFrame:
     """Contiguous pages with equal resolution and profile: gaps and islands over the pages of a document."""
     w = Window.partitionBy("documento_id").orderBy("pagina")

@@ -21,7 +21,7 @@ SUSTITUCIONES = (
 
 def ruta(tipo: Column, origen: Column, segmentos: Column, modo: Column, transcrito: Column) -> Column:
     """Route of a block by the first rule that holds; propositions and corollaries take the simple one."""
-    formula = F.coalesce(F.exists(segmentos, lambda s: s["tipo"] == "formula"), F.lit(False))
+    formula = F.coalesce(F.exists(segmentos, lambda s: s["tipo"].startswith("formula")), F.lit(False))
     nativo = origen == "texto_nativo"
     return (
         F.when(tipo.isin("ruido", "figura"), "sin_reconocer").when(modo == "solo_ia", "solo_ia").when(nativo & ~formula & (tipo != "formula_display"), "nativo").when(nativo & formula, "nativo_con_formulas")
@@ -36,7 +36,7 @@ def sustituir_formulas(segmentos: DataFrame, resultados: DataFrame, corte: float
     """
     j = segmentos.join(resultados, ["bloque_id", "idx"], "left")
     envuelta = F.when(F.col("latex").startswith("$"), F.col("latex")).otherwise(F.concat(F.lit("$"), "latex", F.lit("$")))
-    pieza = F.when((F.col("tipo") == "formula") & (F.col("latex") != "") & (F.col("confianza") >= corte), envuelta).otherwise(F.coalesce("contenido", F.lit("")))
+    pieza = F.when(F.col("tipo").startswith("formula") & (F.col("latex") != "") & (F.col("confianza") >= corte), envuelta).otherwise(F.coalesce("contenido", F.lit("")))
     return j.groupBy("bloque_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", pieza.alias("p")))), lambda x: x["p"]), " ").alias("texto"))
 
 

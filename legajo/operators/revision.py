@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from legajo.functions.texto import primero_no_vacio, recortar, tipo_normal
+from legajo.operators.orden import numerar
 from legajo.sources.tablas import unicos
 
 NO_TRADUCIBLES = ("formula_display", "formula_inline", "codigo", "figura", "ruido", "tabla")
@@ -50,11 +51,19 @@ def pagina_de_documentos(documentos: DataFrame, limite: int = 20, cursor: str |
     return d.orderBy(F.desc_nulls_last("micros"), F.desc("id")).limit(max(1, min(limite, 200)) + 1)
 
 
+def en_orden(bloques: DataFrame) -> DataFrame:
+    """``(documento_id, bloque_id, puesto)``: reading order of a document's blocks."""
+    b = unicos(bloques, "documento_id", "pagina", "orden_lectura").withColumnRenamed("id", "bloque_id")
+    return numerar(b, "documento_id", F.col("pagina"), ["orden_lectura", "bloque_id"], "puesto").select("documento_id", "bloque_id", "puesto")
+
+
 def cola_de_revision(bloques: DataFrame) -> DataFrame:
     """Pending blocks with their place in the document's queue: lowest confidence first, null last, then reading order."""
     b = unicos(bloques, "documento_id", "pagina", "orden_lectura", "confianza_global", "estado_revision").where("estado_revision = 'pendiente'")
-    w = Window.partitionBy("documento_id").orderBy(F.asc_nulls_last("confianza_global"), "pagina", "orden_lectura", "id")
-    return b.select("documento_id", F.col("id").alias("bloque_id"), "confianza_global", F.row_number().over(w).alias("puesto"))
+    # a step of confidence and a page cut the queue of a large document into pieces; none comes last
+    paso = F.struct(F.coalesce(F.col("confianza_global"), F.lit(float("inf"))).alias("c"), F.col("pagina").alias("p"))
+    n = numerar(b, "documento_id", paso, ["orden_lectura", "id"], "puesto")
+    return n.select("documento_id", F.col("id").alias("bloque_id"), "confianza_global", "puesto")
 
 
 def siguiente_pendiente(bloques: DataFrame) -> DataFrame:
@@ -87,10 +96,16 @@ def traducibles(bloques: DataFrame) -> DataFrame:
     return b.select("documento_id", "pagina", F.col("orden_lectura").alias("orden"), F.col("id").alias("bloque_id"), "tipo", "texto")
 
 
+def en_lotes(t: DataFrame, tamano: int = 12) -> DataFrame:
+    """Adds ``lote``: the batch of ``tamano`` blocks in reading order."""
+    n = numerar(t, "documento_id", F.col("pagina"), ["orden", "bloque_id"], "puesto")
+    return n.withColumn("lote", F.floor((F.col("puesto") - 1) / tamano)).drop("puesto")
+
+
 def lotes(t: DataFrame, tamano: int = 12) -> DataFrame:
-    """Batches of ``tamano`` blocks in reading order."""
-    w = Window.partitionBy("documento_id").orderBy("pagina", "orden", "bloque_id")
-    return t.withColumn("lote", F.floor((F.row_number().over(w) - 1) / tamano)).groupBy("documento_id", "lote").agg(F.count("*").alias("n"), F.sum(F.length("texto")).alias("caracteres"))
+    """``(documento_id, lote, n, caracteres)`` of the batches."""
+    # only lengths are shuffled, not the texts
+    return en_lotes(t.withColumn("texto", F.length("texto")), tamano).groupBy("documento_id", "lote").agg(F.count("*").alias("n"), F.sum("texto").alias("caracteres"))
 
 
 # --- fixed values: words that are no terms -----------------------------------------------------
@@ -103,14 +118,15 @@ TERMINO = r"[A-Za-zÁÉÍÓÚÑáéíóúñ][A-Za-zÁÉÍÓÚÑáéíóúñ-]{2,
 
 
 def terminos(bloques: DataFrame, minimo: int = 3, cuantos: int = 40) -> DataFrame:
-    """``(documento_id, termino, apariciones)``: the ``cuantos`` most frequent terms of each document, ties by alphabet.
+    """``(documento_id, termino, apariciones)``: the ``cuantos`` most frequent terms of each document in their first surface form, ties by alphabet.
 
     Counted per document and term before the window, which Spark limits to the group's head.
     """
-    p = traducibles(bloques).select("documento_id", F.explode(F.regexp_extract_all("texto", F.lit(rf"(?U)\b({TERMINO})\b"), F.lit(1))).alias("forma"))
-    g = p.groupBy("documento_id", F.lower("forma").alias("termino")).agg(F.count("*").alias("apariciones")).where(~F.col("termino").isin(*VACIAS) & (F.col("apariciones") >= minimo))
-    w = Window.partitionBy("documento_id").orderBy(F.desc("apariciones"), "termino")
-    return g.withColumn("k", F.row_number().over(w)).where(F.col("k") <= cuantos).drop("k")
+    p = traducibles(bloques).select("documento_id", "pagina", "orden", "bloque_id", F.posexplode(F.regexp_extract_all("texto", F.lit(rf"(?U)\b({TERMINO})\b"), F.lit(1))).alias("i", "forma"))
+    primera = F.min(F.struct("pagina", "orden", "bloque_id", "i", "forma"))["forma"]
+    g = p.groupBy("documento_id", F.lower("forma").alias("clave")).agg(F.count("*").alias("apariciones"), primera.alias("termino")).where(~F.col("clave").isin(*VACIAS) & (F.col("apariciones") >= minimo))
+    w = Window.partitionBy("documento_id").orderBy(F.desc("apariciones"), "clave")
+    return g.withColumn("k", F.row_number().over(w)).where(F.col("k") <= cuantos).select("documento_id", "termino", "apariciones")
 
 
 def gasto_acumulado(costos: DataFrame, tope: float) -> DataFrame:
@@ -135,6 +151,23 @@ def recomendaciones(decisiones: DataFrame, umbrales: DataFrame) -> DataFrame:
     return g.withColumn("aplicable", (F.col("confianza") > 0.7) & (F.abs(F.col("nuevo") - F.col("actual")) > 0.02))
 
 
+def actualizar(viejo: DataFrame, nuevo: DataFrame, clave: str = "clave", valor: str = "valor") -> DataFrame:
+    """``(clave, antes, valor)``: a map with some entries replaced or added."""
+    j = viejo.select(clave, F.col(valor).alias("antes")).join(nuevo.select(clave, F.col(valor).alias("nuevo")), clave, "full")
+    return j.select(clave, "antes", F.coalesce("nuevo", "antes").alias(valor))
+
+
+def aplicar_recomendaciones(decisiones: DataFrame, umbrales: DataFrame, claves: list[str] | None = None, solo_aplicables: bool = True) -> DataFrame:
+    """``(clave, antes, despues)`` of every threshold once the proposals are applied: the applicable ones, of the asked types or all."""
+    r = recomendaciones(decisiones, umbrales)
+    if solo_aplicables:
+        r = r.where("aplicable")
+    if claves:
+        r = r.where(F.col("tipo_bloque").isin(*claves))
+    u = umbrales.where("ambito = 'global'").select("clave", "valor")
+    return actualizar(u, r.select(F.col("tipo_bloque").alias("clave"), F.col("nuevo").alias("valor"))).withColumnRenamed("valor", "despues")
+
+
 def contenido_vigente(bloques: DataFrame, decisiones: DataFrame) -> DataFrame:
     """``(bloque_id, decision, contenido)``: the latest decision that settles a block, by time, then id."""
     d = unicos(decisiones, "bloque_id", "decision", "contenido_final", "registrado_en").where("bloque_id is not null and decision in ('aceptar', 'rechazar', 'editar')")

@@ -3,34 +3,25 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from legajo.functions import confianza, geometria, texto
-from legajo.operators import correccion, disposicion, reconocimiento, render, revision
-from legajo.sources.tablas import borrar_en_cascada, registrar, tabla, unicos
+from legajo.operators import consulta, correccion, disposicion, estadisticas, reconocimiento, render, revision, traduccion
+from legajo.sources.tablas import borrar_en_cascada, fusionar_manifiesto, tabla, unicos
 from legajo.streaming import estado
 
 _Q: dict[str, tuple] = {}
 _TABLA = re.compile(r"\{(documentos|bloques|ocr_resultados|decisiones|costos)\}")
 
 
-def comun(nombre: str, sql: str) -> None:
-    """One SQL text for both engines; {tabla} stands for its distinct deliveries."""
-
-    def corre(spark, d):
-        registrar(spark, d)
-        return spark.sql(_TABLA.sub(lambda m: m[1], sql))
-
-    _Q[nombre] = (corre, _duck(sql))
-
-
 def _duck(sql: str) -> str:
     return _TABLA.sub(lambda m: f"(select distinct on (id) * from {m[1]})", sql)
 
 
-def op(nombre: str, fn, sql: str | None = None) -> None:
-    _Q[nombre] = (fn, sql and _duck(sql))
+def op(nombre: str, fn, sql=None) -> None:
+    _Q[nombre] = (fn, sql and _duck(sql() if callable(sql) else sql))
 
 
 def _t(s, d, n):
@@ -38,31 +29,23 @@ def _t(s, d, n):
 
 
 TIPO = "regexp_replace(lower(strip_accents(tipo)), '^\\s+|\\s+$', '', 'g')"
+HOY = datetime(2026, 6, 1)
 AHORA = "timestamp '2026-06-01 00:00:00'"
 RECORTE = r"'^[\s\p{Z}]+|[\s\p{Z}]+$'"
 
 # ---- filters and projections -------------------------------------------------------------------
 op("f1_documentos", lambda s, d: revision.filtrar_documentos(_t(s, d, "documentos"), "completado", " matriz ", False).select("id", "titulo", "total_paginas"),
    "select id, titulo, total_paginas from {documentos} where estado='completado' and titulo ilike '%matriz%' and necesita_revision = false")
-comun("f2_bloques_filtrados", "select id, documento_id, pagina, tipo from {bloques} where pagina = 1 and tipo in ('parrafo','teorema') and estado_revision = 'pendiente' and confianza_global <= 0.7")
-comun("f3_bloques_sin_columnas_pesadas", "select id, documento_id, pagina, orden_lectura, tipo, confianza_global, estado_revision from {bloques}")
-comun("f4_bloque_por_clave", "select id, documento_id, texto_plano from {bloques} where id = (select min(id) from bloques) and documento_id is not null")
 op("f5_cola_de_revision", lambda s, d: revision.cola_de_revision(_t(s, d, "bloques")),
    "select documento_id, id bloque_id, confianza_global, cast(row_number() over (partition by documento_id order by confianza_global asc nulls last, pagina, orden_lectura, id) as int) puesto from {bloques} where estado_revision='pendiente'")
 op("f6_siguiente_pendiente", lambda s, d: revision.siguiente_pendiente(_t(s, d, "bloques")),
    "select documento_id, bloque_id from (select documento_id, id bloque_id, row_number() over (partition by documento_id order by confianza_global asc nulls last, pagina, orden_lectura, id) k from {bloques} where estado_revision='pendiente') where k = 1")
 op("f8_poca_confianza", lambda s, d: revision.poca_confianza(_t(s, d, "bloques")),
    "select documento_id, id bloque_id from {bloques} where confianza_layout < 0.7 or coalesce(len(list_filter(micro_segmentos, lambda s: s.confianza_engine < 0.6)) > 0, false)")
-comun("f9_poca_confianza_panel", "select documento_id, id bloque_id from {bloques} where confianza_global < 0.7 or confianza_layout < 0.7")
-comun("f10_decisiones_filtradas", "select id, documento_id, bloque_id, decision from {decisiones} where tipo_bloque = 'parrafo' and decision = 'editar'")
-op("f11_traducibles", lambda s, d: revision.traducibles(_t(s, d, "bloques")).select("documento_id", "bloque_id", "tipo"),
-   f"select documento_id, id bloque_id, {TIPO} tipo from {{bloques}} where {TIPO} not in ('formula_display','formula_inline','codigo','figura','ruido','tabla') and regexp_replace(coalesce(nullif(contenido_final,''), nullif(texto_plano,''), ''), {RECORTE}, '', 'g') <> ''")
 op("f12_micro_segmentos_bajos", lambda s, d: revision.micro_segmentos_bajos(_t(s, d, "bloques")),
    "select documento_id, pagina, bloque_id, cast(idx as int) idx, s.tipo tipo, s.contenido contenido, s.confianza_estructural confianza from (select documento_id, pagina, id bloque_id, unnest(micro_segmentos) s, generate_subscripts(micro_segmentos, 1) - 1 idx from {bloques}) where s.confianza_estructural < 0.6")
 op("f13_estado_derivado", lambda s, d: unicos(_t(s, d, "bloques"), "escalacion", "confianza_global").select("id", revision.estado_derivado(F.col("escalacion.requiere_revision_humana"), F.col("confianza_global")).alias("estado")),
    "select id, case when coalesce(escalacion.requiere_revision_humana, false) or coalesce(confianza_global < 0.7, false) then 'pendiente' else 'no_requiere' end estado from {bloques}")
-comun("f14_vencidos", f"select id, ruta_pdf from {{documentos}} where ruta_pdf is not null and creado_en <= {AHORA} - interval '30' day")
-comun("f15_colgados", f"select id, estado from {{documentos}} where estado in ('procesando','en_cola') and (coalesce(latido_en, creado_en) <= {AHORA} - interval '10' minute or coalesce(latido_en, creado_en) is null)")
 op("f18_contenido_efectivo", lambda s, d: unicos(_t(s, d, "bloques"), "contenido_final", "latex", "texto_plano").select("id", texto.primero_no_vacio(F.col("contenido_final"), F.col("latex"), F.col("texto_plano")).alias("contenido")),
    "select id, coalesce(nullif(contenido_final,''), nullif(latex,''), nullif(texto_plano,''), '') contenido from {bloques}")
 
@@ -71,30 +54,11 @@ _NUM = f"""n as (select documento_id, bloque_id, tipo, pagina, string_split(m, '
 _REF = f"""r as (select documento_id, bloque_id, pagina, lower(strip_accents(regexp_extract(x, '^\\p{{L}}+'))) tipo_ref, regexp_extract(x, '\\d+(?:\\.\\d+)*$') num_ref from (select documento_id, id bloque_id, pagina, unnest(regexp_extract_all(texto_plano, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])((?:Teorema|Lema|Proposición|Definición|Corolario)[\\s\\p{{Z}}]+\\d+(?:\\.\\d+)*)', 1)) x from {{bloques}} where {TIPO} in ('parrafo','demostracion')))"""
 op("j1_referencias_colgadas", lambda s, d: correccion.referencias_colgadas(_t(s, d, "bloques")),
    f"with {_NUM}, {_REF} select r.* from r where not exists (select 1 from n where n.documento_id=r.documento_id and n.tipo=r.tipo_ref and array_to_string(n.num,'.')=r.num_ref)")
-op("j5_bloques_en_paginas_inconsistentes", lambda s, d: correccion.paginas_inconsistentes(_t(s, d, "bloques")))
-comun("j11_bloques_por_pagina", """select p.documento_id, p.pagina, cast(coalesce(n, 0) as bigint) n from
- (select distinct documento_id, pagina from {bloques}) p left join (select documento_id, pagina, count(*) n from {bloques} where estado_revision = 'pendiente' group by documento_id, pagina) c
- on p.documento_id = c.documento_id and p.pagina = c.pagina""")
-comun("j2_resultados_con_bloque", "select o.id, b.documento_id, coalesce(o.contenido, b.texto_plano, '') contenido from {ocr_resultados} o left join {bloques} b on o.id = b.id")
-comun("j12_coste_con_documento", "select c.id, d.titulo, c.tokens_entrada + c.tokens_salida as tokens from {costos} c join {documentos} d on c.documento_id = d.id")
 op("j15_umbrales_pedidos", lambda s, d: _t(s, d, "umbrales").where("ambito = 'global'").join(_t(s, d, "decisiones").select(F.col("tipo_bloque").alias("clave")), "clave", "left_semi").select("clave", "valor"),
    "select clave, valor from umbrales where ambito = 'global' and clave in (select tipo_bloque from decisiones)")
-op("j10_documentos_sin_bloques", lambda s, d: unicos(_t(s, d, "documentos")).join(_t(s, d, "bloques").select(F.col("documento_id").alias("id")), "id", "left_anti"),
-   "select id from {documentos} where id not in (select documento_id from bloques where documento_id is not null)")
-op("s16_resultados_sin_bloque", lambda s, d: unicos(_t(s, d, "ocr_resultados"), "confianza_global").join(_t(s, d, "bloques").select("id"), "id", "left_anti").select("id"),
-   "select id from {ocr_resultados} where id not in (select id from bloques where id is not null)")
-
 # ---- aggregates ---------------------------------------------------------------------------------------
 op("a1_costos_por_cola", lambda s, d: unicos(_t(s, d, "costos"), "tipo_cola", "tokens_entrada", "tokens_salida", "costo_usd").rollup("tipo_cola").agg(F.count("*").alias("n"), F.sum("tokens_entrada").alias("entrada"), F.sum("tokens_salida").alias("salida"), F.round(F.sum("costo_usd"), 6).alias("costo")),
    "select tipo_cola, count(*) n, cast(sum(tokens_entrada) as bigint) entrada, cast(sum(tokens_salida) as bigint) salida, round(sum(costo_usd), 6) costo from {costos} group by rollup(tipo_cola)")
-comun("a3_decisiones_por_conjunto", """select decision, tipo_bloque, count(*) as n, round(avg(confianza_usuario), 8) as confianza,
- round(100.0 * sum(case when contenido_original is distinct from contenido_final then 1e0 else 0e0 end) / count(*), 8) as cambio
- from {decisiones} group by grouping sets ((decision), (tipo_bloque), ())""")
-comun("a4_tipos_mas_rechazados", "select decision, tipo_bloque, n, k from (select decision, tipo_bloque, n, cast(row_number() over (partition by decision order by n desc, tipo_bloque) as int) k from (select decision, tipo_bloque, count(*) n from {decisiones} where decision in ('rechazar','escalar') group by decision, tipo_bloque)) where k <= 5")
-comun("a5_tipos_con_poca_confianza", "select tipo_bloque, round(avg(confianza_engine), 8) as confianza from {decisiones} group by tipo_bloque having avg(confianza_engine) < 0.85")
-comun("a6_acierto_del_modelo", "select cast(count(*) as bigint) n, coalesce(round(sum(case when decision = 'aceptar' then 1e0 else 0e0 end) / nullif(sum(case when decision in ('aceptar','rechazar') then 1 else 0 end), 0), 8), 0e0) as acierto from {decisiones} where confianza_llm > 0")
-comun("a7_tipos_problematicos", "select tipo_bloque, round(avg(case when decision in ('rechazar','escalar','editar') then 1e0 else 0e0 end), 8) as tasa from {decisiones} where tipo_bloque <> '' group by tipo_bloque")
-comun("a8_ediciones_menores", "select cast(sum(case when decision = 'editar' and abs(length(contenido_original) - length(contenido_final)) < 50 then 1 else 0 end) as bigint) as menores, cast(count(*) as bigint) as total from {decisiones}")
 op("a10_umbrales_recomendados", lambda s, d: revision.recomendaciones(_t(s, d, "decisiones"), _t(s, d, "umbrales")).select("tipo_bloque", F.round("nuevo", 8).alias("nuevo"), F.round("confianza", 8).alias("confianza"), "aplicable"),
    """with g as (select tipo_bloque, avg(case when decision='rechazar' then 1e0 else 0e0 end) r, avg(confianza_engine) ce, avg(confianza_usuario) cu from {decisiones} where tipo_bloque <> '' group by 1),
  j as (select g.*, coalesce(valor, 0.7) actual from g left join umbrales u on u.ambito='global' and u.clave=tipo_bloque where r > 0.3 or cu > ce + 0.2),
@@ -102,17 +66,11 @@ op("a10_umbrales_recomendados", lambda s, d: revision.recomendaciones(_t(s, d, "
  select tipo_bloque, round(nuevo, 8) nuevo, round(confianza, 8) confianza, confianza > 0.7 and abs(nuevo - actual) > 0.02 aplicable from k""")
 op("a12_resumen_por_documento", lambda s, d: unicos(_t(s, d, "bloques"), "documento_id", "tipo", "confianza_global").groupBy("documento_id", texto.tipo_normal(F.col("tipo")).alias("tipo")).agg(F.count("*").alias("n"), F.round(F.avg("confianza_global"), 8).alias("confianza")),
    f"select documento_id, {TIPO} tipo, count(*) n, round(avg(confianza_global), 8) confianza from {{bloques}} group by all")
-comun("a13_metricas", "select (select count(*) from {documentos}) as documentos, (select count(*) from {bloques}) as bloques, (select count(*) from {decisiones}) as decisiones, (select round(avg(confianza_global), 8) from {bloques}) as confianza")
-comun("a14_costo_por_documento", "select d.id, round(coalesce(sum(c.costo_usd), 0e0), 6) as costo from {documentos} d left join {costos} c on c.documento_id = d.id group by d.id")
-comun("a15_totales", "select estado, count(*) as n, cast(sum(total_paginas) as bigint) as paginas from {documentos} group by estado")
-comun("a17_bloques_por_pagina", "select documento_id, pagina, count(*) as n from {bloques} group by documento_id, pagina")
 op("a18_confianza_de_bloque", lambda s, d: unicos(_t(s, d, "bloques"), "micro_segmentos").select("id", F.round(confianza.de_bloque(F.col("micro_segmentos")), 8).alias("confianza")),
    "select id, round(coalesce(least(1.0, greatest(0.0, list_avg(list_filter(list_transform(micro_segmentos, lambda s: s.confianza_estructural), lambda x: x is not null)))), 0.0), 8) confianza from {bloques}")
 op("a19_motores", lambda s, d: unicos(_t(s, d, "bloques"), "micro_segmentos").select(F.explode("micro_segmentos").alias("s")).groupBy(F.col("s.engine_usado").alias("engine")).agg(F.count("*").alias("n"), F.round(F.avg("s.confianza_engine"), 8).alias("confianza")),
    "select s.engine_usado engine, count(*) n, round(avg(s.confianza_engine), 8) confianza from (select unnest(micro_segmentos) s from {bloques}) group by 1")
 op("a25_terminos", lambda s, d: revision.terminos(_t(s, d, "bloques")))
-op("a26_vocabulario", lambda s, d: unicos(_t(s, d, "bloques"), "documento_id", "texto_plano").select("documento_id", F.explode(F.split(F.lower("texto_plano"), r"[^\p{L}]+")).alias("palabra")).where("palabra <> ''").groupBy("documento_id").agg(F.count_distinct("palabra").alias("palabras")),
-   "select documento_id, count(distinct w) palabras from (select documento_id, unnest(regexp_split_to_array(lower(texto_plano), '[^\\p{L}]+')) w from {bloques}) where w <> '' group by 1")
 op("a27_indice_estructural", lambda s, d: correccion.indice_estructural(_t(s, d, "bloques")),
    f"with {_NUM} select documento_id, tipo clase, count(*) n, array_to_string(min(num), '.') primero, array_to_string(max(num), '.') ultimo from n group by 1, 2")
 op("a27_indice_entradas", lambda s, d: correccion.indice_de_entradas(_t(s, d, "bloques")),
@@ -128,8 +86,6 @@ op("a30_bleu", lambda s, d: revision.bleu(unicos(_t(s, d, "decisiones"), "conten
  s as (select n, sum(gc.k) total, sum(least(gc.k, coalesce(gr.k, 0))) igual from gc left join gr using (id, n, g) group by n),
  l as (select sum(len(c)) lc, sum(len(r)) lr, count(*) pares from p)
  select round(case when lc > lr then 1 else exp(1 - lr/lc) end * exp((select avg(ln(igual/total)) from s)), 8) bleu, pares from l""")
-comun("a31_diferencias_entre_versiones", "select count(*) as n, cast(sum(case when contenido_original <> contenido_final then 1 else 0 end) as bigint) as distintas from {decisiones} where contenido_original is not null and contenido_final is not null")
-
 # ---- windows ----------------------------------------------------------------------------------------------
 op("w1_huecos_de_numeracion", lambda s, d: correccion.huecos_numeracion(correccion.numerados(_t(s, d, "bloques"))),
    f"with {_NUM} select documento_id, tipo, prefijo, desde, hasta, pagina from (select *, lead(desde) over (partition by documento_id, tipo, prefijo order by desde, bloque_id) hasta from (select documento_id, tipo, bloque_id, pagina, array_to_string(num[1:len(num)-1], '.') prefijo, num[len(num)] desde from n)) where hasta - desde > 1")
@@ -154,22 +110,14 @@ op("w12_tope_de_gasto", lambda s, d: revision.gasto_acumulado(_t(s, d, "costos")
    "select documento_id, id costo_id, coalesce(sum(costo_usd) over (partition by documento_id order by registrado_en, id rows between unbounded preceding and 1 preceding), 0e0) < 0.05e0 dentro from {costos} where documento_id is not null")
 op("w14_lotes", lambda s, d: revision.lotes(revision.traducibles(_t(s, d, "bloques"))).select("documento_id", F.col("lote").cast("int").alias("lote"), "n", "caracteres"),
    f"select documento_id, cast(lote as int) lote, count(*) n, cast(sum(length(t)) as bigint) caracteres from (select documento_id, t, floor((row_number() over (partition by documento_id order by pagina, orden_lectura, id) - 1) / 12) lote from (select documento_id, pagina, orden_lectura, id, coalesce(nullif(contenido_final,''), nullif(texto_plano,''), '') t from {{bloques}} where {TIPO} not in ('formula_display','formula_inline','codigo','figura','ruido','tabla')) where regexp_replace(t, {RECORTE}, '', 'g') <> '') group by 1, 2")
-comun("w16_contexto_de_pagina", "select documento_id, pagina, right(max_by(coalesce(texto_plano,''), -(orden_lectura * 1e0)), 100) as primero, left(max_by(coalesce(texto_plano,''), orden_lectura * 1e0), 100) as ultimo from {bloques} group by documento_id, pagina having count(*) > 1")
-
 # ---- sorts, pages ----------------------------------------------------------------------------------------------
-comun("l1_orden_de_bloques", "select documento_id, id as bloque_id, cast(row_number() over (partition by documento_id order by pagina, orden_lectura, id) as int) as puesto from {bloques}")
 op("l2_pagina_de_documentos", lambda s, d: revision.pagina_de_documentos(_t(s, d, "documentos"), 25, revision.cifrar_cursor(1_750_000_000_000_000, "8")).select("id", "micros"),
    "select id, epoch_us(creado_en) micros from {documentos} where epoch_us(creado_en) < 1750000000000000 or (epoch_us(creado_en) = 1750000000000000 and id < '8') order by micros desc nulls last, id desc limit 26")
-comun("l3_pagina_de_bloques", "select id, documento_id, pagina, orden_lectura from {bloques} where documento_id = (select max(documento_id) from bloques) and (pagina > 0 or (pagina = 0 and orden_lectura > 1)) order by pagina, orden_lectura limit 51")
-comun("l6_documentos_recientes", "select id, titulo from (select id, titulo, row_number() over (order by creado_en desc nulls last, id) k from {documentos}) where k <= 40")
-
 # ---- set operations ------------------------------------------------------------------------------------------------
 op("u2_inconsistencias", lambda s, d: correccion.inconsistencias(_t(s, d, "bloques")),
    f"""with {_NUM}, {_REF}, h as (select *, lead(desde) over (partition by documento_id, tipo, prefijo order by desde, bloque_id) hasta from (select documento_id, tipo, bloque_id, pagina, array_to_string(num[1:len(num)-1], '.') prefijo, num[len(num)] desde from n))
  select documento_id, 'salto_numeracion' clase, tipo || ' ' || case when prefijo = '' then '' else prefijo || '.' end || desde || ' -> ' || case when prefijo = '' then '' else prefijo || '.' end || hasta detalle, pagina from h where hasta - desde > 1
  union all select documento_id, 'referencia_sin_resolver', tipo_ref || ' ' || num_ref, pagina from r where not exists (select 1 from n where n.documento_id=r.documento_id and n.tipo=r.tipo_ref and array_to_string(n.num,'.')=r.num_ref)""")
-comun("u4_version_mas_reciente", "select bloque_id, max_by(contenido_final, id) as contenido from {decisiones} where bloque_id is not null and contenido_final is not null group by bloque_id")
-comun("u6_umbrales_actualizados", "select clave, max(case when ambito = 'objetivo_corte' then valor end) as nuevo, max(case when ambito = 'global' then valor end) as viejo, coalesce(max(case when ambito = 'objetivo_corte' then valor end), max(case when ambito = 'global' then valor end)) as valor from umbrales group by clave")
 op("u8_borrado_en_cascada", lambda s, d: borrar_en_cascada(unicos(_t(s, d, "bloques"), "documento_id"), _t(s, d, "documentos").where("estado = 'error'")).select("id", "documento_id"),
    "select id, documento_id from {bloques} where documento_id is null or documento_id not in (select id from documentos where estado = 'error' and id is not null)")
 op("p22_contenido_vigente", lambda s, d: revision.contenido_vigente(_t(s, d, "bloques"), _t(s, d, "decisiones")),
@@ -182,11 +130,7 @@ _T1 = f"""case when regexp_replace(coalesce(t,''), {RECORTE}, '', 'g') = '' then
  when regexp_matches({_BAJO}, '^(definici[óo]n|definition)\\s+\\d+') then 'definicion' when regexp_matches({_BAJO}, '^(corolario|corollary)\\s+\\d+') then 'corolario' when regexp_matches({_BAJO}, '^(proof|prueba|demostraci[óo]n)\\s*[.:]') then 'demostracion'
  when contains(t, '∎') or contains(t, '\\qed') then 'demostracion' when regexp_matches({_BAJO}, '^(nota|note)\\s*\\d*\\s*[.:]') then 'nota_pie' when regexp_matches(t, '^(\\s*[-•*]|\\s*\\d+[.)]\\s+)') then 'lista'
  when regexp_matches(t, '^\\s*(def |class |function |for |while |if |elif |else:|return |import |from |print\\(|#include|<\\?|\\{{)') and (regexp_matches(t, ':\\s*$') or contains(t, chr(10))) then 'codigo'
- when regexp_matches(t, '^\\s*\\$\\$|\\$\\$\\s*$') then 'formula_display' when regexp_matches(t, '[α-ωΑ-Ω∫∑∏∂∇∞∀∃∈∉⊂⊃∪∩]') and length(t) < 200 then 'formula_inline' else 'parrafo' end"""
-op("t1_clasificar", lambda s, d: unicos(_t(s, d, "bloques"), "texto_plano").select("id", texto.clasificar(F.col("texto_plano")).alias("clase")),
-   f"select id, {_T1} clase from (select id, texto_plano t from {{bloques}})")
-op("t1_confusion_de_clases", lambda s, d: unicos(_t(s, d, "bloques"), "tipo", "texto_plano").groupBy(texto.tipo_normal(F.col("tipo")).alias("tipo"), texto.clasificar(F.col("texto_plano")).alias("clase")).agg(F.count("*").alias("n")),
-   f"select tipo, clase, count(*) n from (select {TIPO} tipo, {_T1} clase from (select tipo, texto_plano t from {{bloques}})) group by 1, 2")
+ when regexp_matches(t, '^\\s*(\\$\\$|\\\\\\\\\\[)|(\\$\\$|\\\\\\\\\\])\\s*$') then 'formula_display' when regexp_matches(t, '[α-ωΑ-Ω∫∑∏∂∇∞∀∃∈∉⊂⊃∪∩]') and length(t) < 200 then 'formula_inline' else 'parrafo' end"""
 op("t4_limpiar", lambda s, d: unicos(_t(s, d, "bloques"), "texto_plano").select("id", texto.limpiar(F.col("texto_plano")).alias("texto")),
    f"select id, regexp_replace(regexp_replace(regexp_replace(texto_plano, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '[\\s\\p{{Z}}\\x0b\\x85]+', ' ', 'g'), {RECORTE}, '', 'g') texto from {{bloques}}")
 op("t12_normalizar_latex", lambda s, d: unicos(_t(s, d, "bloques"), "latex").select("id", texto.normalizar_latex(F.col("latex")).alias("latex")),
@@ -200,30 +144,15 @@ op("t18_estructura_valida", lambda s, d: unicos(_t(s, d, "decisiones"), "conteni
  m as (select id, min(b) mb, min(p) mp, arg_max(b, i) fb, arg_max(p, i) fp from c group by id)
  select d.id, case when d.contenido_original is null then null else coalesce(mb >= 0 and mp >= 0 and fb = 0 and fp = 0, true) end valida from (select distinct on (id) * from decisiones) d left join m using (id)""")
 op("t17_reparar_estructura", lambda s, d: unicos(_t(s, d, "decisiones"), "contenido_original").where(F.col("contenido_original").contains("\\")).select("id", texto.reparar_estructura(F.col("contenido_original")).alias("reparado"), texto.estructura_valida(texto.reparar_estructura(F.col("contenido_original"))).alias("valida")))
-op("t23_numeros", lambda s, d: unicos(_t(s, d, "bloques"), "texto_plano").select("id", F.array_join(texto.numero(F.col("texto_plano")).cast("array<string>"), ".").alias("num")).where("num <> ''"),
-   "select id, array_to_string(string_split(m, '.')::bigint[], '.') num from (select id, regexp_extract(texto_plano, '\\d+(?:\\.\\d+)*') m from {bloques}) where m <> ''")
 op("t25_referencias", lambda s, d: correccion.referencias(_t(s, d, "bloques")), f"with {_REF} select * from r")
-op("t26_segmentos_de_formula", lambda s, d: unicos(_t(s, d, "bloques"), "texto_plano").select("id", F.posexplode(texto.segmentos_de_formula(F.col("texto_plano"))).alias("idx", "s")).select("id", "idx", "s.tipo", "s.contenido"))
-op("t27_puntaje_latex", lambda s, d: unicos(_t(s, d, "bloques"), "latex", "texto_plano").select("id", texto.puntaje_latex(F.coalesce("latex", "texto_plano")).alias("puntaje")),
-   f"""select id, case when regexp_replace(coalesce(t,''), {RECORTE}, '', 'g') = '' then 0e0 when f >= 2 then 0e0 when f >= 1 then 0.5e0 else 1e0 end puntaje from (select id, t, case when n1 <> n2 then 1e0 else 0e0 end + case when n3 % 2 <> 0 then 1e0 else 0e0 end + case when n4 <> n5 then 0.5e0 else 0e0 end + case when contains(t, '\\\\') and suffix(t, '\\') and not suffix(t, '\\\\') then 0.5e0 else 0e0 end f
- from (select id, t, length(t)-length(replace(t, chr(123), '')) n1, length(t)-length(replace(t, chr(125), '')) n2, length(t)-length(replace(t,'$','')) n3, length(t)-length(replace(t,'(','')) n4, length(t)-length(replace(t,')','')) n5 from (select id, coalesce(latex, texto_plano) t from {{bloques}})))""")
-op("t29_confianza_de_segmentos", lambda s, d: unicos(_t(s, d, "ocr_resultados"), "micro_segmentos").select("id", F.posexplode("micro_segmentos").alias("idx", "s")).select("id", "idx", F.round(confianza.micro_segmento(F.col("s.confianza_engine"), F.col("s.contenido"), F.col("s.tipo") == "formula"), 8).alias("confianza")))
-op("t30_pseudo_confianza", lambda s, d: unicos(_t(s, d, "bloques"), "latex").where("latex is not null").select("id", F.round(confianza.pseudo(F.col("latex")), 8).alias("confianza")),
-   "select id, round(greatest(0.7e0, least(0.95e0, 0.95e0 - length(latex) * 0.001e0)), 8) confianza from {bloques} where latex is not null")
 op("t43_decisiones_recortadas", lambda s, d: unicos(_t(s, d, "decisiones"), "contenido_original", "contenido_final", "comentarios").select("id", F.left("contenido_original", F.lit(500)).alias("original"), F.left("contenido_final", F.lit(500)).alias("final"), F.left("comentarios", F.lit(200)).alias("nota"), (~F.col("contenido_original").eqNullSafe(F.col("contenido_final"))).alias("cambio")),
    "select id, left(contenido_original, 500) original, left(contenido_final, 500) final, left(comentarios, 200) nota, contenido_original is distinct from contenido_final cambio from {decisiones}")
-op("t21_similitud_de_versiones", lambda s, d: unicos(_t(s, d, "decisiones"), "contenido_original", "contenido_final").where("contenido_original <> contenido_final").select("id", F.round(texto.similitud(F.col("contenido_original"), F.col("contenido_final")), 8).alias("similitud")))
 op("t20_sugerencias", lambda s, d: _sugerencias(s, d))
 op("p13_bloques_corregidos", lambda s, d: reconocimiento.corregir_bloques(_t(s, d, "bloques"), _frecuentes(s, d), _frecuentes(s, d)))
 op("t32_encabezados", lambda s, d: unicos(_t(s, d, "bloques"), "tipo", "texto_plano").where((texto.tipo_normal(F.col("tipo")) == "encabezado") & F.col("texto_plano").isNotNull()).select("id", texto.nivel_encabezado(F.col("texto_plano")).alias("nivel")),
    f"select id, case when m = '' then '##' else repeat('#', least(6, length(m) - length(replace(m, '.', '')) + 2)) end nivel from (select id, regexp_extract(texto_plano, '^(\\d+(?:\\.\\d+)*)[.)]?\\s+\\S', 1) m from {{bloques}} where {TIPO} = 'encabezado' and texto_plano is not null)")
-op("t47_bigramas", lambda s, d: unicos(_t(s, d, "bloques"), "texto_plano").select(F.explode(texto.ngramas(F.filter(F.split(F.lower("texto_plano"), r"[^\p{L}]+"), lambda x: x != ""), 2)).alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n >= 20"),
-   "with w as (select list_filter(regexp_split_to_array(lower(texto_plano), '[^\\p{L}]+'), lambda x: x <> '') l from {bloques}) select g, count(*) n from (select l[i] || ' ' || l[i+1] g from (select l, unnest(range(1, len(l))) i from w)) group by 1 having count(*) >= 20")
 op("n1_cajas_normalizadas", lambda s, d: disposicion.cajas(_t(s, d, "bloques")).select("bloque_id", *[geometria.desnormalizar(F.col(c), F.lit(w)).alias(f"p{c}") for c, w in (("x0", 1240), ("y0", 1754), ("x1", 1240), ("y1", 1754))], *[F.round(geometria.normalizar(F.col(c) * 612, F.lit(600)), 8).alias(c) for c in ("x0", "x1")]),
    "select id bloque_id, " + ", ".join(f"greatest(0, least(cast(trunc(bbox.{c} * {w}) as int), {w})) p{c}" for c, w in (("x0", 1240), ("y0", 1754), ("x1", 1240), ("y1", 1754))) + ", " + ", ".join(f"round(least(1e0, greatest(0e0, bbox.{c} * 612 / 600)), 8) {c}" for c in ("x0", "x1")) + " from {bloques} where bbox.x0 is not null")
-op("s6_rangos_de_paginas", lambda s, d: unicos(_t(s, d, "documentos"), "total_paginas").select("id", F.array_join(texto.paginas(F.lit("1-2, 2-3, 5-999"), F.col("total_paginas")).cast("array<string>"), ",").alias("paginas")),
-   "select id, case when total_paginas < 5 then null else array_to_string(list_sort(list_distinct(list_concat([0,1,2], range(4, total_paginas)))), ',') end paginas from {documentos}")
-
 # ---- rendered documents ---------------------------------------------------------------------------------------------------
 _EN = r"(?i)^((?:teorema|theorem|lema|lemma|proposici[óo]n|proposition|definici[óo]n|definition|corolario|corollary|proof|prueba|demostraci[óo]n)(?:\s+\d+(?:\.\d+)*)?(?:\s*\([^)]{0,60}\))?\s*[.:])"
 _LIN = "string_split_regex({x}, '\\r\\n|\\n|\\r')"
@@ -237,9 +166,190 @@ op("r1_markdown", lambda s, d: render.markdown(_t(s, d, "documentos"), _t(s, d,
    f"""with {_MD}, p as (select *, case when row_number() over w = 1 then chr(10) || chr(10) || '<!-- página ' || (pagina + 1) || ' -->' || chr(10) || chr(10) when tipo = 'lista' and lag(tipo) over w = 'lista' then chr(10) else chr(10) || chr(10) end || md parte from m window w as (partition by documento_id, pagina order by orden, bloque_id)),
  c as (select documento_id, string_agg(parte, '' order by pagina, orden, bloque_id) cuerpo from p group by 1)
  select d.id documento_id, '# ' || regexp_replace(coalesce(nullif(titulo, ''), 'documento'), '(?i)\\.pdf$', '') || coalesce(cuerpo, '') || chr(10) texto from {{documentos}} d left join c on c.documento_id = d.id""")
-op("r2_latex", lambda s, d: render.latex(_t(s, d, "documentos"), _t(s, d, "bloques")))
-op("r3_cuaderno", lambda s, d: render.cuaderno(_t(s, d, "documentos"), _t(s, d, "bloques")))
-op("r4_nodos", lambda s, d: render.nodos(_t(s, d, "documentos"), _t(s, d, "bloques")))
+# ---- functions and renderers, computed before repeated deliveries are collapsed ------------------
+_SQL_T27 = f"""select id, case when regexp_replace(coalesce(t,''), {RECORTE}, '', 'g') = '' then 0e0 when f >= 2 then 0e0 when f >= 1 then 0.5e0 else 1e0 end puntaje from (select id, t, case when n1 <> n2 then 1e0 else 0e0 end + case when n3 % 2 <> 0 then 1e0 else 0e0 end + case when n4 <> n5 then 0.5e0 else 0e0 end + case when contains(t, '\\\\') and suffix(t, '\\') and not suffix(t, '\\\\') then 0.5e0 else 0e0 end f
+ from (select id, t, length(t)-length(replace(t, chr(123), '')) n1, length(t)-length(replace(t, chr(125), '')) n2, length(t)-length(replace(t,'$','')) n3, length(t)-length(replace(t,'(','')) n4, length(t)-length(replace(t,')','')) n5 from (select id, coalesce(latex, texto_plano) t from {{bloques}})))"""
+_FORMULA_SQL = r"'(\$\$[^$]*\$\$|\$[^$]+\$|\\\\\[.*?\\\\\])'"
+op("t26_segmentos_de_formula", lambda s, d: _t(s, d, "bloques").select("id", F.posexplode(texto.segmentos_de_formula(F.col("texto_plano"))).alias("idx", "s")).select("id", "idx", "s.tipo", "s.contenido").distinct(),
+   f"""with p as (select id, texto_plano t, string_split(regexp_replace(texto_plano, {_FORMULA_SQL}, chr(1) || '\\1' || chr(1), 'g'), chr(1)) l from {{bloques}}),
+ q as (select id, t, list_filter(list_transform(range(1, len(l) + 1), lambda i: {{'tipo': case when i % 2 = 0 then 'formula_inline' else 'texto' end, 'contenido': regexp_replace(l[i], {RECORTE}, '', 'g')}}), lambda x: x.contenido <> '') l from p),
+ r as (select id, case when len(coalesce(l, [])) > 0 then l else [{{'tipo': 'texto', 'contenido': coalesce(t, '')}}] end l from q)
+ select id, cast(generate_subscripts(l, 1) - 1 as int) idx, unnest(l).tipo tipo, unnest(l).contenido contenido from r""")
+op("t21_similitud_de_versiones", lambda s, d: unicos(_t(s, d, "decisiones"), "contenido_original", "contenido_final").where("contenido_original <> contenido_final").select("id", F.round(texto.similitud(F.col("contenido_original"), F.col("contenido_final")), 8).alias("similitud")))
+op("t29_confianza_de_segmentos", lambda s, d: _t(s, d, "ocr_resultados").select("id", F.posexplode("micro_segmentos").alias("idx", "s")).select("id", "idx", F.round(confianza.micro_segmento(F.col("s.confianza_engine"), F.col("s.contenido"), F.col("s.tipo").startswith("formula")), 8).alias("confianza")).distinct(),
+   f"""with s as (select id, cast(generate_subscripts(micro_segmentos, 1) - 1 as int) idx, unnest(micro_segmentos) s from {{ocr_resultados}}),
+ p as (select id, idx, s.confianza_engine e, s.contenido t, starts_with(s.tipo, 'formula') f from s),
+ v as (select *, case when regexp_replace(coalesce(t,''), {RECORTE}, '', 'g') = '' then 0e0 when f then (select case when n >= 2 then 0e0 when n >= 1 then 0.5e0 else 1e0 end from (select case when length(t)-length(replace(t, chr(123), '')) <> length(t)-length(replace(t, chr(125), '')) then 1e0 else 0e0 end
+  + case when (length(t)-length(replace(t,'$',''))) % 2 <> 0 then 1e0 else 0e0 end + case when length(t)-length(replace(t,'(','')) <> length(t)-length(replace(t,')','')) then 0.5e0 else 0e0 end + case when contains(t, '\\\\') and suffix(t, '\\') and not suffix(t, '\\\\') then 0.5e0 else 0e0 end n)) else 1e0 end st from p)
+ select id, idx, round(case when f and st = 0 then 0.3e0 * e else least(1e0, greatest(0e0, 0.4e0 * e + 0.3e0 * st + 0.15e0)) end, 8) confianza from v""")
+op("j5_bloques_en_paginas_inconsistentes", lambda s, d: correccion.paginas_inconsistentes(_t(s, d, "bloques")),
+   f"""with {_NUM}, {_REF}, h as (select *, lead(desde) over (partition by documento_id, tipo, prefijo order by desde, bloque_id) hasta from (select documento_id, tipo, bloque_id, pagina, array_to_string(num[1:len(num)-1], '.') prefijo, num[len(num)] desde from n)),
+ x as (select documento_id, pagina from h where hasta - desde > 1 union select documento_id, pagina from r where not exists (select 1 from n where n.documento_id=r.documento_id and n.tipo=r.tipo_ref and array_to_string(n.num,'.')=r.num_ref))
+ select b.documento_id, b.pagina, b.id bloque_id from {{bloques}} b join x on x.documento_id = b.documento_id and x.pagina = b.pagina""")
+_CUERPO = f"select documento_id, id bloque_id, pagina, orden_lectura orden, {TIPO} tipo, origen_contenido, bbox, confianza_global, regexp_replace(coalesce(nullif(contenido_final,''), nullif(latex,''), nullif(texto_plano,''), ''), {RECORTE}, '', 'g') t, estado_revision = 'resuelto' revisado from {{bloques}}"
+op("r3_cuaderno", lambda s, d: render.cuaderno(_t(s, d, "documentos"), _t(s, d, "bloques")),
+   f"""with m as (select *, case when tipo = 'formula_display' then '$$' || chr(10) || t || chr(10) || '$$' else t end f from ({_CUERPO}) where tipo <> 'ruido' and t <> ''),
+ l as (select *, list_filter(list_transform(string_split(f, chr(10)), lambda x, i: x || case when i < len(string_split(f, chr(10))) then chr(10) else '' end), lambda x: x <> '') src from m),
+ c as (select documento_id, string_agg(case when tipo = 'codigo' then ',{{{{"cell_type":"code","execution_count":null,"metadata":{{{{}}}},"outputs":[],"source":' else ',{{{{"cell_type":"markdown","metadata":{{{{}}}},"source":' end || cast(to_json(src) as varchar) || '}}}}', '' order by pagina, orden, bloque_id) cuerpo from l group by 1)
+ select d.id documento_id, '{{{{"cells":[{{{{"cell_type":"markdown","metadata":{{{{}}}},"source":' || cast(to_json(['# ' || coalesce(titulo, '')]) as varchar) || '}}}}' || coalesce(cuerpo, '') || '],"metadata":{{{{"kernelspec":{{{{"display_name":"Python 3","language":"python","name":"python3"}}}},"language_info":{{{{"name":"python"}}}}' || '}}}},"nbformat":4,"nbformat_minor":5}}}}' as json from {{documentos}} d left join c on c.documento_id = d.id""".replace("{{{{", "{").replace("}}}}", "}").replace("{{", "{").replace("}}", "}"))
+op("r4_nodos", lambda s, d: render.nodos(_t(s, d, "documentos"), _t(s, d, "bloques")),
+   f"""with m as ({_CUERPO}), c as (select documento_id, count(*) n, string_agg(cast(to_json({{'id': bloque_id, 'pagina': pagina, 'orden_lectura': orden, 'tipo': tipo, 'origen_contenido': origen_contenido, 'bbox': bbox, 'confianza_global': confianza_global, 'contenido': t, 'revisado_por_humano': revisado}}) as varchar), ',' order by pagina, orden, bloque_id) cuerpo from m group by 1)
+ select d.id documento_id, regexp_replace(cast(to_json({{'documento_id': d.id, 'titulo': titulo, 'total_paginas': total_paginas, 'total_bloques': coalesce(n, 0)}}) as varchar), '\\}}$', '') || ',"bloques":[' || coalesce(cuerpo, '') || ']' || chr(125) as json from {{documentos}} d left join c on c.documento_id = d.id""")
+op("r5_volcado", lambda s, d: render.volcado(_t(s, d, "documentos"), _t(s, d, "bloques")))
+op("s6_rangos_de_paginas", lambda s, d: _t(s, d, "documentos").select("id", F.array_join(texto.paginas(F.when(F.col("total_paginas") % 3 == 0, "1-2, 2-3, 5-999").when(F.col("total_paginas") % 3 == 1, F.concat(F.col("total_paginas").cast("string"), F.lit(",1"))).otherwise(" "), F.col("total_paginas")).cast("array<string>"), ",").alias("paginas")).distinct(),
+   "select id, case when total_paginas % 3 = 0 then case when total_paginas < 5 then null else array_to_string(list_sort(list_distinct(list_concat([0,1,2], range(4, total_paginas)))), ',') end when total_paginas % 3 = 1 then case when total_paginas = 1 then '0' else '0,' || (total_paginas - 1) end else array_to_string(range(total_paginas), ',') end paginas from {documentos}")
+op("t1_clasificar", lambda s, d: _t(s, d, "bloques").select("id", texto.clasificar(F.col("texto_plano")).alias("clase")).distinct(), f"select id, {_T1} clase from (select id, texto_plano t from {{bloques}})")
+op("t1_confusion_de_clases", lambda s, d: _t(s, d, "bloques").select("id", texto.tipo_normal(F.col("tipo")).alias("tipo"), texto.clasificar(F.col("texto_plano")).alias("clase")).distinct().groupBy("tipo", "clase").agg(F.count("*").alias("n")),
+   f"select tipo, clase, count(*) n from (select {TIPO} tipo, {_T1} clase from (select tipo, texto_plano t from {{bloques}})) group by 1, 2")
+op("t23_numeros", lambda s, d: _t(s, d, "bloques").select("id", F.array_join(texto.numero(F.col("texto_plano")).cast("array<string>"), ".").alias("num")).where("num <> ''").distinct(),
+   "select id, array_to_string(string_split(m, '.')::bigint[], '.') num from (select id, regexp_extract(texto_plano, '\\d+(?:\\.\\d+)*') m from {bloques}) where m <> ''")
+op("t24_numeros_de_dos_niveles", lambda s, d: _t(s, d, "bloques").select("id", texto.numero_corto(F.col("texto_plano")).alias("num")).where("num is not null").distinct(),
+   "select id, m num from (select id, regexp_extract(texto_plano, '\\d+(?:\\.\\d+)?') m from {bloques}) where m <> ''")
+op("t27_puntaje_latex", lambda s, d: _t(s, d, "bloques").select("id", texto.puntaje_latex(F.coalesce("latex", "texto_plano")).alias("puntaje")).distinct(), _SQL_T27)
+op("t30_pseudo_confianza", lambda s, d: _t(s, d, "bloques").where("latex is not null").select("id", F.round(confianza.pseudo(F.col("latex")), 8).alias("confianza")).distinct(),
+   "select id, round(greatest(0.7e0, least(0.95e0, 0.95e0 - length(latex) * 0.001e0)), 8) confianza from {bloques} where latex is not null")
+op("a26_vocabulario", lambda s, d: _t(s, d, "bloques").select("documento_id", F.explode(F.array_distinct(F.split(F.lower("texto_plano"), r"[^\p{L}]+"))).alias("palabra")).where("palabra <> ''").groupBy("documento_id").agg(F.count_distinct("palabra").alias("palabras")),
+   "select documento_id, count(distinct w) palabras from (select documento_id, unnest(regexp_split_to_array(lower(texto_plano), '[^\\p{L}]+')) w from {bloques}) where w <> '' group by 1")
+op("t47_bigramas", lambda s, d: unicos(_t(s, d, "bloques"), "texto_plano").select(F.explode(texto.ngramas(F.filter(F.split(F.lower("texto_plano"), r"[^\p{L}]+"), lambda x: x != ""), 2)).alias("g")).groupBy("g").agg(F.count("*").alias("n")),
+   "with w as (select list_filter(regexp_split_to_array(lower(texto_plano), '[^\\p{L}]+'), lambda x: x <> '') l from {bloques}) select g, count(*) n from (select l[i] || ' ' || l[i+1] g from (select l, unnest(range(1, len(l))) i from w)) group by 1")
+op("a28_indice_para_el_modelo", lambda s, d: correccion.indice_para_modelo(_t(s, d, "bloques")),
+   f"""with e as (select documento_id, {TIPO} clase, nullif(regexp_extract(coalesce(texto_plano, ''), '\\d+(?:\\.\\d+)?'), '') numero, pagina, id bloque_id from {{bloques}})
+ select documento_id, clase, case when clase <> 'demostracion' then numero end numero, pagina, bloque_id, cast(row_number() over (partition by documento_id, clase order by case when clase <> 'demostracion' then numero end nulls last, coalesce(nullif(pagina, 0), 999), bloque_id) as int) posicion from e where clase in ('teorema', 'lema', 'definicion') and numero is not null or clase = 'demostracion'""")
+op("f11_traducibles", lambda s, d: revision.traducibles(_t(s, d, "bloques")).select("documento_id", "bloque_id", "tipo", "texto"),
+   f"select documento_id, id bloque_id, {TIPO} tipo, coalesce(nullif(contenido_final,''), nullif(texto_plano,''), '') texto from {{bloques}} where {TIPO} not in ('formula_display','formula_inline','codigo','figura','ruido','tabla') and regexp_replace(coalesce(nullif(contenido_final,''), nullif(texto_plano,''), ''), {RECORTE}, '', 'g') <> ''")
+
+def _sql_latex() -> str:
+    """LaTeX of a block in SQL: character tables as maps; the compatibility letters follow from the Unicode decompositions."""
+    import unicodedata
+
+    c39 = lambda x: "'" + x.replace("'", "''") + "'"
+    mapa = lambda *p: "map {" + ", ".join(f"{c39(k)}: {c39(v)}" for q in p for k, v in q.items()) + "}"
+    resto = {}
+    for c in range(render.ULTIMO_DIRECTO + 1, 0x10000):
+        if not 0xD800 <= c < 0xE000 and (v := "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if ord(x) <= render.ULTIMO_DIRECTO and not unicodedata.combining(x))):
+            resto[chr(c)] = v
+    limpio = lambda t: f"nfc_normalize(regexp_replace({t}, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}\\x{{ad}}\\x{{200b}}-\\x{{200f}}\\x{{2028}}-\\x{{202e}}\\x{{feff}}]', '', 'g'))"
+    pasa = lambda t, m: f"array_to_string(list_transform(string_split({limpio(t)}, ''), lambda c: coalesce(tb.{m}[c], case when unicode(c) <= {render.ULTIMO_DIRECTO} then c else coalesce(tb.resto[c], '') end)), '')"
+    mixto = f"array_to_string(list_transform(string_split(regexp_replace(t, '\\$([^$]+)\\$', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x, i: case when i % 2 = 0 then '$' || {pasa('x', 'formula')} || '$' else {pasa('x', 'prosa')} end), '')"
+    entorno = "case tipo " + " ".join(f"when '{k}' then '{v}'" for k, v in {**render.ENTORNOS, "formula_display": "equation*", "codigo": "lstlisting", "tabla": "verbatim"}.items()) + " end"
+    sql = f"""with tb as (select {mapa(render.ESCAPES, render.SIMBOLOS)} prosa, {mapa(render.SIMBOLOS)} formula, {mapa(render.EN_CODIGO)} codigo, {mapa(resto)} resto),
+ m as (select *, {entorno} e from ({_CUERPO}) where t <> ''),
+ x as (select m.*, case when tipo = 'formula_display' then {pasa('t', 'formula')} when tipo in ('codigo', 'tabla') then replace({pasa('t', 'codigo')}, '\\end<' || e || '>', '\\end <' || e || '>') else {mixto} end f from m, tb),
+ c as (select documento_id, string_agg(case when e is not null then '\\begin<' || e || '>' || chr(10) || f || chr(10) || '\\end<' || e || '>' when tipo = 'encabezado' then '\\section<' || f || '>' when tipo = 'caption' then '\\textit<' || f || '>' else f end || chr(10) || chr(10), '' order by pagina, orden, bloque_id) cuerpo from x group by 1),
+ d as (select id, coalesce(nullif(regexp_replace(coalesce(nullif(titulo, ''), 'Documento'), '\\.[^.]*$', ''), ''), 'Documento') t from {{documentos}})
+ select d.id documento_id, {c39(render.PREAMBULO)} || chr(10) || chr(10) || '\\title<' || {pasa('t', 'prosa')} || '>' || chr(10) || '\\date<>' || chr(10) || '\\begin<document>' || chr(10) || '\\maketitle' || chr(10) || chr(10) || coalesce(cuerpo, '') || '\\end<document>' as texto from d cross join tb left join c on c.documento_id = d.id"""
+    for k in ("end", "begin", "section", "textit", "title", "date"):  # "<" and ">" stand for braces of commands
+        sql = sql.replace(f"\\{k}<>", f"\\{k}' || chr(123) || chr(125) || '").replace(f"\\{k}<document>", f"\\{k}' || chr(123) || 'document' || chr(125) || '").replace(f"\\{k}<'", f"\\{k}' || chr(123)").replace(f"\\{k} <'", f"\\{k} ' || chr(123)")
+    return sql.replace("'>'", "chr(125)")
+
+
+op("r2_latex", lambda s, d: render.latex(_t(s, d, "documentos"), _t(s, d, "bloques")), _sql_latex)
+
+# ---- the query surface ---------------------------------------------------------------------------
+def _primero(s, d):
+    return _t(s, d, "bloques").agg(F.min(F.struct("id", "documento_id")).alias("x")).first().x
+
+
+op("f2_bloques_filtrados", lambda s, d: consulta.bloques_filtrados(_t(s, d, "bloques"), 1, ["parrafo", "teorema"], "pendiente", 0.7).select("id", "documento_id", "pagina", "tipo"),
+   "select id, documento_id, pagina, tipo from {bloques} where pagina = 1 and tipo in ('parrafo','teorema') and estado_revision = 'pendiente' and confianza_global <= 0.7")
+op("f3_bloques_sin_columnas_pesadas", lambda s, d: consulta.bloques_filtrados(_t(s, d, "bloques")), "select id, documento_id, pagina, orden_lectura, tipo, confianza_global, estado_revision from {bloques}")
+op("f4_bloque_por_clave", lambda s, d: consulta.bloque(_t(s, d, "bloques"), (x := _primero(s, d)).documento_id, x.id).select("id", "documento_id", "texto_plano"),
+   "select id, documento_id, texto_plano from {bloques} where id = (select min(id) from bloques)")
+op("f9_poca_confianza_panel", lambda s, d: consulta.poca_confianza_panel(_t(s, d, "bloques")), "select documento_id, id bloque_id from {bloques} where confianza_global < 0.7 or confianza_layout < 0.7")
+op("f10_decisiones_filtradas", lambda s, d: consulta.decisiones_filtradas(_t(s, d, "decisiones"), "", "parrafo", "editar").select("id", "documento_id", "bloque_id", "decision"),
+   "select id, documento_id, bloque_id, decision from {decisiones} where tipo_bloque = 'parrafo' and decision = 'editar'")
+op("f14_vencidos", lambda s, d: consulta.vencidos(_t(s, d, "documentos"), HOY, 30), f"select id, ruta_pdf from {{documentos}} where ruta_pdf is not null and creado_en <= {AHORA} - interval '30' day")
+op("f15_colgados", lambda s, d: consulta.colgados(_t(s, d, "documentos"), HOY),
+   f"select id, estado from {{documentos}} where estado in ('procesando','en_cola') and (coalesce(latido_en, creado_en) <= {AHORA} - interval '10' minute or coalesce(latido_en, creado_en) is null)")
+op("f16_modo_y_dpi", lambda s, d: unicos(_t(s, d, "documentos"), "modo_motor", "total_paginas").select("id", consulta.modo_valido(F.concat(F.lit(" "), F.upper("modo_motor"))).alias("modo"), consulta.dpi_valido(F.when(F.col("total_paginas") % 5 == 0, "Auto").otherwise((F.col("total_paginas") * 40).cast("string"))).alias("x")).select("id", "modo", "x.dpi", "x.valido"),
+   """select id, case when modo_motor is null or trim(modo_motor) = '' then 'hibrido' when lower(trim(modo_motor)) in ('hibrido','solo_ia') then lower(trim(modo_motor)) end modo,
+ case when total_paginas % 5 <> 0 and total_paginas * 40 between 72 and 600 then cast(total_paginas * 40 as int) end dpi, coalesce(total_paginas % 5 = 0 or total_paginas * 40 between 72 and 600, true) valido from {documentos}""")
+op("f17_umbrales_fuera_de_escala", lambda s, d: consulta.fuera_de_escala(_t(s, d, "umbrales").withColumn("valor", F.col("valor") + F.when(F.col("clave") < "f", 0.3).otherwise(0.0))),
+   "select ambito, clave, valor from (select ambito, clave, valor + case when clave < 'f' then 0.3e0 else 0e0 end valor from umbrales) where not coalesce(valor between 0 and 1 and not isnan(valor), false)")
+op("f7_por_reconocer", lambda s, d: unicos(_t(s, d, "bloques"), "documento_id", "origen_contenido", "texto_plano").join(unicos(_t(s, d, "documentos"), "modo_motor").select(F.col("id").alias("documento_id"), consulta.modo_valido(F.col("modo_motor")).alias("modo")), "documento_id")
+   .where(consulta.requiere_reconocimiento(F.col("origen_contenido"), texto.segmentos_de_formula(F.col("texto_plano")), F.col("modo"))).select("id", "modo"),
+   r"""select b.id, m.modo from {bloques} b join (select id, case when modo_motor is null or trim(modo_motor) = '' then 'hibrido' when lower(trim(modo_motor)) in ('hibrido','solo_ia') then lower(trim(modo_motor)) end modo from {documentos}) m on m.id = b.documento_id
+ where m.modo = 'solo_ia' or b.origen_contenido is distinct from 'texto_nativo' or regexp_matches(coalesce(texto_plano, ''), '\$\$[^$]*\$\$|\$[^$]+\$|\\\\\[.*?\\\\\]')""")
+op("j11_bloques_por_pagina", lambda s, d: consulta.bloques_por_pagina(_t(s, d, "documentos"), _t(s, d, "bloques")),
+   "select p.documento_id, p.pagina, coalesce(n, 0) n from (select id documento_id, cast(unnest(range(total_paginas)) as int) pagina from {documentos} where total_paginas > 0) p left join (select documento_id, pagina, count(*) n from {bloques} group by 1, 2) c on p.documento_id = c.documento_id and p.pagina = c.pagina")
+op("j10_dpi_de_pagina", lambda s, d: disposicion.con_dpi(unicos(_t(s, d, "bloques"), "documento_id", "pagina"), disposicion.perfil_de_paginas(_t(s, d, "bloques")).where("dpi <> 300").select("documento_id", "pagina", "dpi")).select("id", "dpi"),
+   lambda: f"with {_PERFIL} select b.id, cast(coalesce(p.dpi, 200) as int) dpi from {{bloques}} b left join (select * from p where dpi <> 300) p on p.documento_id = b.documento_id and p.pagina = b.pagina")
+op("s16_manifiesto", lambda s, d: fusionar_manifiesto(unicos(_t(s, d, "documentos"), "ruta_pdf", "estado").select(F.col("ruta_pdf").alias("pdf"), "estado").where("pdf is not null"), unicos(_t(s, d, "documentos"), "ruta_pdf", "estado").where("estado = 'error' and ruta_pdf is not null").select(F.col("ruta_pdf").alias("pdf"), F.lit("en_cola").alias("estado"))),
+   "select ruta_pdf pdf, estado from {documentos} where ruta_pdf is not null and ruta_pdf not in (select ruta_pdf from documentos where estado = 'error' and ruta_pdf is not null) union all select ruta_pdf, 'en_cola' from {documentos} where estado = 'error' and ruta_pdf is not null")
+op("l1_orden_de_bloques", lambda s, d: revision.en_orden(_t(s, d, "bloques")), "select documento_id, id as bloque_id, cast(row_number() over (partition by documento_id order by pagina, orden_lectura, id) as int) as puesto from {bloques}")
+op("l3_pagina_de_bloques", lambda s, d: consulta.pagina_de_bloques(_t(s, d, "bloques"), _t(s, d, "bloques").agg(F.max("documento_id")).first()[0], 50, (0, 1)).select("id", "documento_id", "pagina", "orden_lectura"),
+   "select id, documento_id, pagina, orden_lectura from {bloques} where documento_id = (select max(documento_id) from bloques) and (pagina > 0 or (pagina = 0 and orden_lectura > 1)) order by pagina, orden_lectura, id limit 51")
+
+# ---- statistics ----------------------------------------------------------------------------------
+_r = lambda df, *cs: df.select(*[F.round(c, 8).alias(c) if c in cs else c for c in df.columns])
+op("a3_decisiones_por_conjunto", lambda s, d: _r(estadisticas.de_decisiones(_t(s, d, "decisiones")), "confianza", "cambio"),
+   """select decision, tipo_bloque, count(*) as n, round(avg(confianza_usuario), 8) as confianza, round(100.0 * sum(case when contenido_original is distinct from contenido_final then 1e0 else 0e0 end) / count(*), 8) as cambio
+ from {decisiones} group by grouping sets ((decision), (tipo_bloque), ())""")
+op("a4_tipos_mas_rechazados", lambda s, d: estadisticas.patrones(_t(s, d, "decisiones")),
+   "select decision, tipo_bloque, n, puesto from (select decision, tipo_bloque, n, cast(row_number() over (partition by decision order by n desc, tipo_bloque) as int) puesto from (select decision, tipo_bloque, count(*) n from {decisiones} where decision in ('rechazar','escalar') group by decision, tipo_bloque)) where puesto <= 5")
+op("a5_tipos_con_poca_confianza", lambda s, d: _r(estadisticas.poco_confiables(_t(s, d, "decisiones")), "confianza"), "select tipo_bloque, round(avg(confianza_engine), 8) as confianza from {decisiones} group by tipo_bloque having avg(confianza_engine) < 0.7 order by 2, 1")
+op("a5_tipos_bajo_085", lambda s, d: _r(estadisticas.poco_confiables(_t(s, d, "decisiones"), 0.85), "confianza"), "select tipo_bloque, round(avg(confianza_engine), 8) as confianza from {decisiones} group by tipo_bloque having avg(confianza_engine) < 0.85 order by 2, 1")
+op("a6_acierto_del_modelo", lambda s, d: _r(estadisticas.acierto_del_modelo(_t(s, d, "decisiones")), "acierto"),
+   "select count(*) n, coalesce(round(sum(case when decision = 'aceptar' then 1e0 else 0e0 end) / nullif(sum(case when decision in ('aceptar','rechazar') then 1 else 0 end), 0), 8), 0e0) as acierto from {decisiones} where confianza_llm <> 0")
+op("a7_tipos_problematicos", lambda s, d: _r(estadisticas.problematicos(_t(s, d, "decisiones")), "tasa"),
+   "select tipo_bloque, round(avg(case when decision in ('rechazar','escalar','editar') then 1e0 else 0e0 end), 8) as tasa from {decisiones} group by tipo_bloque order by avg(case when decision in ('rechazar','escalar','editar') then 1e0 else 0e0 end) desc, tipo_bloque limit 5")
+op("a8_potencial_de_automatizacion", lambda s, d: _r(estadisticas.potencial(_t(s, d, "decisiones")), "potencial"),
+   "select count(*) filter (where m) menores, count(*) total, round(coalesce(least(100e0, 100e0 * count(*) filter (where m) / nullif(count(*), 0)), 0e0), 8) potencial from (select decision = 'editar' and abs(length(contenido_original) - length(contenido_final)) < 50 m from {decisiones})")
+op("a9_retroalimentacion", lambda s, d: _r(estadisticas.retroalimentacion(_t(s, d, "decisiones")), "actual", "recomendado"),
+   """with g as (select tipo_bloque, avg(case when decision = 'rechazar' then 1e0 else 0e0 end) r, avg(case when decision = 'escalar' then 1e0 else 0e0 end) e, avg(coalesce(confianza_engine, 0)) ce, avg(coalesce(confianza_usuario, 0)) cu,
+ case lower(tipo_bloque) when 'micro_segmento' then 0.6e0 when 'parrafo' then 0.75e0 when 'formula' then 0.65e0 when 'tabla' then 0.7e0 else 0.7e0 end a from {decisiones} where tipo_bloque is not null group by tipo_bloque)
+ select tipo_bloque, 3 capa, round(a, 8) actual, round(case when r > 0.3 then least(0.95e0, a + 0.1e0) else greatest(0.5e0, a - 0.05e0) end, 8) recomendado, case when r > 0.3 then 'rechazo' else 'confianza' end regla from g where r > 0.3 or cu > ce + 0.2e0
+ union all select tipo_bloque, 4, 0.8e0, 0.7e0, 'escalacion' from g where e > 0.2""")
+op("a13_metricas", lambda s, d: _r(estadisticas.metricas(_t(s, d, "documentos"), _t(s, d, "bloques"), _t(s, d, "decisiones")), "cambio", "confianza"),
+   """select (select count(*) from {documentos}) documentos, (select cast(coalesce(sum(total_bloques), 0) as bigint) from {documentos}) bloques, (select count(*) from {decisiones}) decisiones,
+ (select round(100 * avg(case when contenido_original is distinct from contenido_final then 1e0 else 0e0 end), 8) from {decisiones}) cambio, (select round(avg(confianza_global), 8) from {bloques}) confianza""")
+op("a14_costo_por_documento", lambda s, d: estadisticas.costo_por_documento(_t(s, d, "documentos"), _t(s, d, "costos")).select("id", F.round("costo", 6).alias("costo")),
+   "select d.id, round(coalesce(sum(c.costo_usd), 0e0), 6) as costo from {documentos} d left join {costos} c on c.documento_id = d.id group by d.id")
+op("a15_totales", lambda s, d: estadisticas.totales(_t(s, d, "documentos")), "select estado, count(*) as n, cast(sum(total_paginas) as bigint) as paginas from {documentos} group by estado")
+op("a16_salud", lambda s, d: estadisticas.salud(_t(s, d, "documentos")), "select count(*) documentos from {documentos}")
+op("a17_bloques_por_pagina", lambda s, d: estadisticas.por_pagina(_t(s, d, "bloques")), "select documento_id, pagina, count(*) as n from {bloques} group by documento_id, pagina")
+op("a29_cola_de_segmentos", lambda s, d: estadisticas.de_cola(revision.micro_segmentos_bajos(_t(s, d, "bloques"))),
+   "select documento_id, count(distinct pagina) paginas, count(*) segmentos from (select documento_id, pagina, unnest(micro_segmentos) s from {bloques}) where s.confianza_estructural < 0.6 group by 1")
+op("a31_diferencias_entre_versiones", lambda s, d: _r(estadisticas.diferencias(unicos(_t(s, d, "decisiones"), "contenido_original", "contenido_final").select(F.col("contenido_original").alias("a"), F.col("contenido_final").alias("b"))), "porcentaje"),
+   "select count(*) as n, count(*) filter (where contenido_original <> contenido_final) as distintas, round(100e0 * count(*) filter (where contenido_original <> contenido_final) / count(*), 8) porcentaje from {decisiones} where contenido_original is not null and contenido_final is not null")
+
+# ---- context, merges, thresholds -----------------------------------------------------------------
+op("w16_contexto_de_pagina", lambda s, d: correccion.contexto_de_pagina(_t(s, d, "bloques")),
+   """select documento_id, pagina, right(arg_min(t, k), 100) || case when count(*) > 1 then chr(10) || left(arg_max(t, k), 100) else '' end contexto
+ from (select documento_id, pagina, coalesce(texto_plano, '') t, row_number() over (partition by documento_id, pagina order by orden_lectura, id) k from {bloques}) group by 1, 2""")
+op("u4_mezcla_de_mitades", lambda s, d: traduccion.mezclar(unicos(_t(s, d, "bloques"), "contenido_final").where("contenido_final is not null").select("id", F.col("contenido_final").alias("contenido")), unicos(_t(s, d, "ocr_resultados"), "contenido").where("contenido is not null")),
+   "select coalesce(o.id, b.id) id, coalesce(o.contenido, b.contenido_final) contenido from (select * from {bloques} where contenido_final is not null) b full join (select * from {ocr_resultados} where contenido is not null) o on o.id = b.id")
+op("u6_umbrales_actualizados", lambda s, d: revision.actualizar(_t(s, d, "umbrales").where("ambito = 'global'").select("clave", "valor"), _t(s, d, "umbrales").where("ambito = 'objetivo_corte'").select("clave", "valor")),
+   "select coalesce(n.clave, v.clave) clave, v.valor antes, coalesce(n.valor, v.valor) valor from (select * from umbrales where ambito = 'global') v full join (select * from umbrales where ambito = 'objetivo_corte') n on n.clave = v.clave")
+op("p23_umbrales_aplicados", lambda s, d: _r(revision.aplicar_recomendaciones(_t(s, d, "decisiones"), _t(s, d, "umbrales"), solo_aplicables=False), "antes", "despues"),
+   """with g as (select tipo_bloque, avg(case when decision='rechazar' then 1e0 else 0e0 end) r, avg(confianza_engine) ce, avg(confianza_usuario) cu from {decisiones} where tipo_bloque <> '' group by 1),
+ j as (select g.*, coalesce(valor, 0.7) actual from g left join umbrales u on u.ambito='global' and u.clave=tipo_bloque where r > 0.3 or cu > ce + 0.2),
+ k as (select tipo_bloque clave, case when r > 0.3 then least(0.95, actual + 0.1) else greatest(0.5, actual - 0.05) end nuevo from j)
+ select coalesce(u.clave, k.clave) clave, round(u.valor, 8) antes, round(coalesce(k.nuevo, u.valor), 8) despues from (select * from umbrales where ambito = 'global') u full join k on k.clave = u.clave""")
+
+# ---- translation ---------------------------------------------------------------------------------
+def _traducciones(s, d):
+    """Translations: the edited texts of decisions stand for them, the reviewer's language for the target."""
+    t = unicos(_t(s, d, "decisiones"), "bloque_id", "documento_id", "contenido_final", "comentarios", "registrado_en").where("bloque_id is not null")
+    u = t.groupBy("bloque_id").agg(F.max_by(F.struct("documento_id", "contenido_final", "comentarios", "registrado_en"), F.struct("registrado_en", "id")).alias("x"), F.max(F.struct("registrado_en", "id")).alias("k"))
+    return u.select("bloque_id", F.col("x.documento_id").alias("documento_id"), F.lit("en").alias("idioma"), F.col("x.contenido_final").alias("contenido"), F.lit(None).cast("string").alias("contenido_final"), F.col("x.registrado_en").alias("creado_en"), F.col("k.id").alias("id"))
+
+
+_TR = "tr as (select bloque_id, documento_id, contenido_final contenido, registrado_en, id from (select *, row_number() over (partition by bloque_id order by registrado_en desc nulls last, id desc) k from {decisiones} where bloque_id is not null) where k = 1)"
+op("j2_bloques_traducidos", lambda s, d: render.traducidos(unicos(_t(s, d, "bloques"), "contenido_final"), _traducciones(s, d)).select("id", "contenido_final"),
+   f"with {_TR} select b.id, coalesce(nullif(tr.contenido, ''), b.contenido_final) contenido_final from {{bloques}} b left join tr on tr.bloque_id = b.id")
+op("j3_mapa_traducido", lambda s, d: traduccion.mapa(_traducciones(s, d), "en").select("documento_id", "bloque_id", "contenido"), f"with {_TR} select documento_id, bloque_id, coalesce(nullif(contenido, ''), '') contenido from tr where coalesce(contenido, '') <> ''")
+op("l6_traducciones_recientes", lambda s, d: traduccion.recientes(_traducciones(s, d), 40).select("bloque_id", "id"), f"with {_TR} select bloque_id, id from tr order by registrado_en desc nulls last, id desc limit 40")
+op("w13_lotes_bajo_tope", lambda s, d: traduccion.lotes_bajo_tope(revision.lotes(revision.traducibles(_t(s, d, "bloques"))).select("documento_id", "lote", (F.col("caracteres") * 1e-5).alias("costo")), 0.05).select("documento_id", F.col("lote").cast("int").alias("lote"), "dentro"),
+   f"""select documento_id, cast(lote as int) lote, coalesce(sum(c) over (partition by documento_id order by lote rows between unbounded preceding and 1 preceding), 0) < 5000 dentro from (select documento_id, lote, sum(length(t)) c from (select documento_id, t, floor((row_number() over (partition by documento_id order by pagina, orden_lectura, id) - 1) / 12) lote from
+ (select documento_id, pagina, orden_lectura, id, coalesce(nullif(contenido_final,''), nullif(texto_plano,''), '') t from {{bloques}} where {TIPO} not in ('formula_display','formula_inline','codigo','figura','ruido','tabla')) where regexp_replace(t, {RECORTE}, '', 'g') <> '') group by 1, 2)""")
+op("t42_glosario", lambda s, d: traduccion.glosario(unicos(_t(s, d, "umbrales").withColumn("id", F.col("clave")), "ambito", "clave", "valor").select(F.col("ambito").alias("grupo"), F.col("clave").alias("termino"), F.when(F.col("valor") > 0.6, F.concat(F.upper("clave"), F.lit(" "))).otherwise(" ").alias("traduccion"))),
+   "select ambito grupo, string_agg('  ' || clave || ' → ' || upper(clave), chr(10) order by clave) texto from umbrales where valor > 0.6 group by 1")
+op("t45_respuestas", lambda s, d: traduccion.respuestas(unicos(_t(s, d, "costos"), "documento_id", "tokens_entrada").select("id", F.concat(F.lit("Sure: [{\"id\": \"a"), "id", F.lit("\", \"texto\": \""), F.coalesce("documento_id", F.lit("")), F.lit("\"}, {\"id\": \"b\"}] done")).alias("respuesta"))),
+   "select id, 'a' || id clave, coalesce(documento_id, '') contenido from {costos}")
+op("t41_cabecera_de_descarga", lambda s, d: unicos(_t(s, d, "documentos"), "titulo").select("id", texto.cabecera_de_descarga(F.concat(texto.sin_extension(F.col("titulo")), F.lit(".md"))).alias("cabecera")),
+   r"""select id, 'attachment; filename="' || replace(regexp_replace(b, '[^\x00-\x7f]', '_', 'g'), '?', '_') || '"; filename*=UTF-8' || chr(39) || chr(39) || replace(replace(replace(replace(replace(url_encode(b), '!', '%21'), chr(39), '%27'), '(', '%28'), ')', '%29'), '*', '%2A') cabecera
+ from (select id, case when regexp_replace(coalesce(titulo, ''), '\.[^.]*$', '') = '' then 'documento' else regexp_replace(coalesce(titulo, ''), '\.[^.]*$', '') end || '.md' b from {documentos})""")
 
 # ---- state --------------------------------------------------------------------------------------------------------------------
 op("st1_limite_de_accesos", lambda s, d: estado.limitar_lote(unicos(_t(s, d, "costos"), "tipo_cola", "modelo", "registrado_en").select(F.lit("procesar").alias("accion"), F.concat_ws("/", "tipo_cola", "modelo").alias("ip"), (F.unix_micros("registrado_en") / 1e6).alias("ts"))).groupBy("ip").agg(F.count("*").alias("intentos"), F.count_if("admitido").alias("admitidos")))
