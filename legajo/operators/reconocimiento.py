@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from legajo.functions.confianza import estructura
+from legajo.functions.confianza import estructura, micro_segmento
 from legajo.functions.texto import normalizar_latex, primero_no_vacio, recortar, reparar_entornos, reparar_estructura, reparar_pares, tipo_normal
 from legajo.operators.correccion import inconsistencias, sugerencias
 from legajo.sources.tablas import fijar
@@ -24,7 +24,7 @@ def ruta(tipo: Column, origen: Column, segmentos: Column, modo: Column, transcri
     formula = F.coalesce(F.exists(segmentos, lambda s: s["tipo"].startswith("formula")), F.lit(False))
     nativo = origen == "texto_nativo"
     return (
-        F.when(tipo.isin("ruido", "figura"), "sin_reconocer").when(modo == "solo_ia", "solo_ia").when(nativo & ~formula & (tipo != "formula_display"), "nativo").when(nativo & formula, "nativo_con_formulas")
+        F.when(tipo.isin("ruido", "figura"), "sin_reconocer").when(modo == "solo_ia", "solo_ia").when(nativo & ~formula, "nativo").when(nativo & formula, "nativo_con_formulas")
         .when(transcrito, "ya_transcrito").when(tipo == "formula_display", "formula_display").when(tipo == "tabla", "tabla").when(tipo.isin(*CON_FORMULAS), "texto_con_formulas").otherwise("simple")
     )
 
@@ -134,3 +134,90 @@ def calidad_de_resultados(ocr: DataFrame) -> DataFrame:
     """Structural score and usable confidence of recognition results; a confidence off the scale counts as none."""
     c = F.when(F.col("confianza_global").between(0, 1) & ~F.isnan("confianza_global"), F.col("confianza_global"))
     return ocr.select("id", estructura(F.col("contenido"), F.lit(False)).alias("estructura"), c.alias("confianza"), primero_no_vacio(F.col("contenido")).alias("contenido"))
+
+
+# --- fixed values: engines, and the confidence below which a result goes to the language model --------
+LATEX, TEXTO, PAGINA_ENTERA = "pix2tex", "easyocr", "doctr"
+ESCALA, CELDA_LATEX, FORMULA_ACEPTADA, SIN_FORMULA, SIN_IMAGEN = 0.6, 0.7, 0.5, 0.95, 0.7
+# --- end of fixed values -------------------------------------------------------------------------------
+
+
+def reconocer(bloques: DataFrame, segmentos: DataFrame, celdas: DataFrame, resultados: DataFrame) -> DataFrame:
+    """``(bloque_id, ruta, contenido, micro_segmentos, confianza, requiere_escalacion)``: every block by its route.
+
+    ``bloques(bloque_id, tipo, origen, modo, transcrito, texto, confianza_layout, hay_imagen)``,
+    ``segmentos(bloque_id, idx, tipo, contenido)``, ``celdas(bloque_id, filas, columnas, pos)``;
+    ``resultados(bloque_id, idx, latex, conf_latex, texto, conf_texto)`` holds what the engines
+    gave for a segment, a cell (``idx`` = ``pos``) or a whole block (``idx`` = -1).
+
+    Noise and figures come out empty and sure, native text as it stands; an image that gave
+    no result comes out empty and goes to the language model.  Work is one row per unit,
+    joined to its result and put together per block, so a block's routes cost no pass each.
+    """
+    seg = segmentos.groupBy("bloque_id").agg(F.collect_set(F.struct("tipo")).alias("s"))
+    b = bloques.join(seg, "bloque_id", "left").withColumn("ruta", ruta(F.col("tipo"), F.col("origen"), F.col("s"), F.col("modo"), F.col("transcrito") & (primero_no_vacio(F.col("texto")) != ""))).drop("s")
+    b = fijar(b)
+    entero = b.where(F.col("ruta").isin("solo_ia", "formula_display", "simple")).select("bloque_id", "ruta", "tipo", F.lit(-1).alias("idx"), F.lit(None).cast("string").alias("clase"), F.lit(None).cast("string").alias("previo"))
+    partes = b.where(F.col("ruta").isin("nativo_con_formulas", "texto_con_formulas")).select("bloque_id", "ruta", "tipo").join(segmentos.select("bloque_id", "idx", F.col("tipo").alias("clase"), F.col("contenido").alias("previo")), "bloque_id")
+    tabla_ = b.where("ruta = 'tabla'").select("bloque_id", "ruta", "tipo").join(celdas.select("bloque_id", F.col("pos").alias("idx")).distinct(), "bloque_id").withColumns({"clase": F.lit(None).cast("string"), "previo": F.lit(None).cast("string")})
+    cols = ["bloque_id", "ruta", "tipo", "idx", "clase", "previo"]
+    u = entero.select(cols).unionByName(partes.select(cols)).unionByName(tabla_.select(cols)).join(resultados, ["bloque_id", "idx"], "left")
+    es = F.coalesce(F.col("clase").startswith("formula"), F.lit(False))
+    formula = F.when(F.col("ruta") == "solo_ia", F.col("tipo") == "formula_display").when(F.col("ruta") == "formula_display", True).when(F.col("ruta").isin("simple", "tabla"), False).otherwise(es)
+    con_latex = F.when(F.col("ruta").isin("solo_ia", "formula_display"), True).when(F.col("ruta") == "tabla", F.coalesce((F.col("conf_latex") > CELDA_LATEX) & (F.length("latex") > 3), F.lit(False))).when(F.col("ruta") == "simple", False).otherwise(es)
+    u = u.withColumns({"formula": formula, "con_latex": con_latex}).withColumns({"crudo": F.when(F.col("con_latex"), F.col("latex")).otherwise(F.col("texto")), "ce": F.when(F.col("con_latex"), F.col("conf_latex")).otherwise(F.col("conf_texto"))})
+    envuelto = F.when((F.col("crudo") == "") | F.col("crudo").startswith("$"), F.col("crudo")).otherwise(F.concat(F.lit("$"), "crudo", F.lit("$")))
+    nativo, mixto = F.col("ruta") == "nativo_con_formulas", F.col("ruta") == "texto_con_formulas"
+    hay = F.col("ce").isNotNull() & ~(nativo & ~F.col("formula"))
+    # the native route judges the bare formula, the scanned one the wrapped
+    u = u.withColumn("dado", F.when(mixto & F.col("formula"), envuelto).otherwise(F.col("crudo"))).withColumn("cs", F.when(hay, micro_segmento(F.col("ce"), F.col("dado"), F.col("formula"))))
+    final = F.when(nativo, F.when(hay & (F.col("crudo") != "") & (F.col("cs") >= FORMULA_ACEPTADA), envuelto).otherwise(F.coalesce("previo", F.lit("")))).otherwise(F.coalesce("dado", F.lit("")))
+    clase = F.when(F.col("ruta").isin("solo_ia", "formula_display"), F.when(F.col("formula"), "formula_display").otherwise("texto")).when(F.col("formula"), "formula_inline").otherwise("texto")
+    micro = F.when(hay & (F.col("ruta") != "tabla"), F.struct(clase.alias("tipo"), F.col("final").alias("contenido"), F.when(F.col("con_latex"), LATEX).otherwise(TEXTO).alias("engine_usado"), F.col("ce").alias("confianza_engine"), F.col("cs").alias("confianza_estructural")))
+    u = u.withColumn("final", final).withColumn("micro", micro).withColumn("c", F.when(F.col("ruta") == "tabla", F.col("ce")).otherwise(F.col("cs")))
+    orden = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("idx", x.alias("x")))), lambda y: y["x"])
+    g = u.groupBy("bloque_id").agg(orden(F.col("final")).alias("piezas"), F.array_compact(orden(F.col("micro"))).alias("micro"), F.avg("c").alias("media"))
+    t = recomponer_tabla(celdas.join(u.where("ruta = 'tabla'").select("bloque_id", F.col("idx").alias("pos"), F.col("final").alias("contenido")), ["bloque_id", "pos"])).withColumnRenamed("texto", "tabla")
+    j = b.join(g, "bloque_id", "left").join(t, "bloque_id", "left")
+    r, texto = F.col("ruta"), primero_no_vacio(F.col("texto"))
+    sin_imagen = (r == "nativo_con_formulas") & ~F.coalesce("hay_imagen", F.lit(True))
+    contenido = (
+        F.when(r == "sin_reconocer", "").when(r.isin("nativo", "ya_transcrito") | sin_imagen, texto).when(r == "tabla", F.coalesce("tabla", F.lit("")))
+        .otherwise(F.array_join(F.when(r == "nativo_con_formulas", F.filter("piezas", lambda x: x != "")).otherwise(F.col("piezas")), " "))
+    )
+    confianza = F.when(r == "sin_reconocer", 1.0).when(r == "nativo", SIN_FORMULA).when(r == "ya_transcrito", F.col("confianza_layout")).when(sin_imagen, SIN_IMAGEN).when(r == "nativo_con_formulas", F.coalesce("media", F.lit(SIN_FORMULA))).otherwise(F.coalesce("media", F.lit(0.0)))
+    transcrito = F.array(F.struct(F.lit("texto").alias("tipo"), texto.alias("contenido"), F.lit(PAGINA_ENTERA).alias("engine_usado"), F.col("confianza_layout").alias("confianza_engine"), F.col("confianza_layout").alias("confianza_estructural")))
+    vacio = F.array().cast(j.schema["micro"].dataType)
+    j = j.select("bloque_id", "ruta", F.coalesce(contenido, F.lit("")).alias("contenido"), F.when(r == "ya_transcrito", transcrito).when(sin_imagen, vacio).otherwise(F.coalesce("micro", vacio)).alias("micro_segmentos"), confianza.alias("confianza"))
+    return j.withColumn("requiere_escalacion", F.coalesce(F.col("confianza") < ESCALA, F.lit(False)))
+
+
+def cola_de_paginas(segmentos: DataFrame) -> DataFrame:
+    """``(documento_id, pagina, segmentos)``: the queue by page, each page's segments in order of block and place; one page is one call."""
+    return segmentos.groupBy("documento_id", "pagina").agg(F.array_sort(F.collect_list(F.struct("bloque_id", "idx"))).alias("segmentos"))
+
+
+def resolver_inconsistencias(inconsistencias_: DataFrame, respuestas: DataFrame) -> DataFrame:
+    """``(documento_id, clase, detalle, pagina, n, contenido, confianza, requiere_revision_humana, costo, costo_propio)``.
+
+    One answer per document, ``respuestas(documento_id, contenido, confianza, costo,
+    requiere_revision_humana)``, stands for all its inconsistencies.  ``costo`` repeats the
+    cost of the call for each, as it is logged; ``costo_propio`` has it once.  Documents
+    without an answer need a person.
+    """
+    w = Window.partitionBy("documento_id", "clase").orderBy("pagina", "detalle")
+    # places within a kind; the call's cost goes to the first row of the first kind
+    i = inconsistencias_.withColumn("n", F.row_number().over(w))
+    primera = inconsistencias_.groupBy("documento_id").agg(F.min("clase").alias("_c"))
+    j = i.join(primera, "documento_id").join(respuestas, "documento_id", "left")
+    humano = F.coalesce("requiere_revision_humana", F.lit(True))
+    propio = F.when((F.col("n") == 1) & (F.col("clase") == F.col("_c")), F.coalesce("costo", F.lit(0.0))).otherwise(0.0)
+    return j.select("documento_id", "clase", "detalle", "pagina", "n", "contenido", "confianza", humano.alias("requiere_revision_humana"), F.coalesce("costo", F.lit(0.0)).alias("costo"), propio.alias("costo_propio"))
+
+
+def para_revision(bloques: DataFrame, escaladas: DataFrame, resueltas: DataFrame) -> DataFrame:
+    """``(documento_id, bloque_id)`` that need a person, each once: blocks of the first queue, and all blocks of the pages of the second."""
+    uno = escaladas.where("requiere_revision_humana").select("documento_id", "bloque_id")
+    p = resueltas.where("requiere_revision_humana").select("documento_id", "pagina").distinct()
+    dos = bloques.select("documento_id", "pagina", F.col("id").alias("bloque_id")).join(p, ["documento_id", "pagina"], "left_semi").select("documento_id", "bloque_id")
+    return uno.unionByName(dos).distinct()

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from legajo.functions import confianza, geometria, texto
-from legajo.operators import consulta, correccion, disposicion, estadisticas, reconocimiento, render, revision, traduccion
+from legajo.operators import consulta, correccion, disposicion, escaneado, estadisticas, reconocimiento, render, revision, traduccion
 from legajo.sources.tablas import borrar_en_cascada, fusionar_manifiesto, tabla, unicos
 from legajo.streaming import estado
 
@@ -120,7 +120,7 @@ op("u2_inconsistencias", lambda s, d: correccion.inconsistencias(_t(s, d, "bloqu
  union all select documento_id, 'referencia_sin_resolver', tipo_ref || ' ' || num_ref, pagina from r where not exists (select 1 from n where n.documento_id=r.documento_id and n.tipo=r.tipo_ref and array_to_string(n.num,'.')=r.num_ref)""")
 op("u8_borrado_en_cascada", lambda s, d: borrar_en_cascada(unicos(_t(s, d, "bloques"), "documento_id"), _t(s, d, "documentos").where("estado = 'error'")).select("id", "documento_id"),
    "select id, documento_id from {bloques} where documento_id is null or documento_id not in (select id from documentos where estado = 'error' and id is not null)")
-op("p22_contenido_vigente", lambda s, d: revision.contenido_vigente(_t(s, d, "bloques"), _t(s, d, "decisiones")),
+op("flujo_p22_contenido_vigente", lambda s, d: revision.contenido_vigente(_t(s, d, "bloques"), _t(s, d, "decisiones")),
    "select b.id bloque_id, u.decision, case when u.decision = 'editar' then coalesce(u.contenido_final, '') else coalesce(nullif(b.contenido_final,''), nullif(b.texto_plano,''), '') end contenido from {bloques} b join (select * from (select *, row_number() over (partition by bloque_id order by registrado_en desc, id desc) k from {decisiones} where bloque_id is not null and decision in ('aceptar','rechazar','editar')) where k = 1) u on u.bloque_id = b.id")
 
 # ---- scalar functions on whole tables ----------------------------------------------------------------------------------
@@ -148,7 +148,7 @@ op("t25_referencias", lambda s, d: correccion.referencias(_t(s, d, "bloques")),
 op("t43_decisiones_recortadas", lambda s, d: unicos(_t(s, d, "decisiones"), "contenido_original", "contenido_final", "comentarios").select("id", F.left("contenido_original", F.lit(500)).alias("original"), F.left("contenido_final", F.lit(500)).alias("final"), F.left("comentarios", F.lit(200)).alias("nota"), (~F.col("contenido_original").eqNullSafe(F.col("contenido_final"))).alias("cambio")),
    "select id, left(contenido_original, 500) original, left(contenido_final, 500) final, left(comentarios, 200) nota, contenido_original is distinct from contenido_final cambio from {decisiones}")
 op("t20_sugerencias", lambda s, d: _sugerencias(s, d))
-op("p13_bloques_corregidos", lambda s, d: reconocimiento.corregir_bloques(_t(s, d, "bloques"), _frecuentes(s, d), _frecuentes(s, d)))
+op("flujo_p13_bloques_corregidos", lambda s, d: reconocimiento.corregir_bloques(_t(s, d, "bloques"), _frecuentes(s, d), _frecuentes(s, d)))
 op("t32_encabezados", lambda s, d: unicos(_t(s, d, "bloques"), "tipo", "texto_plano").where((texto.tipo_normal(F.col("tipo")) == "encabezado") & F.col("texto_plano").isNotNull()).select("id", texto.nivel_encabezado(F.col("texto_plano")).alias("nivel")),
    f"select id, case when m = '' then '##' else repeat('#', least(6, length(m) - length(replace(m, '.', '')) + 2)) end nivel from (select id, regexp_extract(texto_plano, '^(\\d+(?:\\.\\d+)*)[.)]?\\s+\\S', 1) m from {{bloques}} where {TIPO} = 'encabezado' and texto_plano is not null)")
 op("n1_cajas_normalizadas", lambda s, d: disposicion.cajas(_t(s, d, "bloques")).select("bloque_id", *[geometria.desnormalizar(F.col(c), F.lit(w)).alias(f"p{c}") for c, w in (("x0", 1240), ("y0", 1754), ("x1", 1240), ("y1", 1754))], *[F.round(geometria.normalizar(F.col(c) * 612, F.lit(600)), 8).alias(c) for c in ("x0", "x1")]),
@@ -321,7 +321,7 @@ op("u4_mezcla_de_mitades", lambda s, d: traduccion.mezclar(unicos(_t(s, d, "bloq
    "select coalesce(o.id, b.id) id, coalesce(o.contenido, b.contenido_final) contenido from (select * from {bloques} where contenido_final is not null) b full join (select * from {ocr_resultados} where contenido is not null) o on o.id = b.id")
 op("u6_umbrales_actualizados", lambda s, d: revision.actualizar(_t(s, d, "umbrales").where("ambito = 'global'").select("clave", "valor"), _t(s, d, "umbrales").where("ambito = 'objetivo_corte'").select("clave", "valor")),
    "select coalesce(n.clave, v.clave) clave, v.valor antes, coalesce(n.valor, v.valor) valor from (select * from umbrales where ambito = 'global') v full join (select * from umbrales where ambito = 'objetivo_corte') n on n.clave = v.clave")
-op("p23_umbrales_aplicados", lambda s, d: _r(revision.aplicar_recomendaciones(_t(s, d, "decisiones"), _t(s, d, "umbrales"), solo_aplicables=False), "antes", "despues"),
+op("flujo_p23_umbrales_aplicados", lambda s, d: _r(revision.aplicar_recomendaciones(_t(s, d, "decisiones"), _t(s, d, "umbrales"), solo_aplicables=False), "antes", "despues"),
    """with g as (select tipo_bloque, avg(case when decision='rechazar' then 1e0 else 0e0 end) r, avg(confianza_engine) ce, avg(confianza_usuario) cu from {decisiones} where tipo_bloque <> '' group by 1),
  j as (select g.*, coalesce(valor, 0.7) actual from g left join umbrales u on u.ambito='global' and u.clave=tipo_bloque where r > 0.3 or cu > ce + 0.2),
  k as (select tipo_bloque clave, case when r > 0.3 then least(0.95, actual + 0.1) else greatest(0.5, actual - 0.05) end nuevo from j)
@@ -351,6 +351,111 @@ op("t41_cabecera_de_descarga", lambda s, d: unicos(_t(s, d, "documentos"), "titu
    r"""select id, 'attachment; filename="' || replace(regexp_replace(b, '[^\x00-\x7f]', '_', 'g'), '?', '_') || '"; filename*=UTF-8' || chr(39) || chr(39) || replace(replace(replace(replace(replace(url_encode(b), '!', '%21'), chr(39), '%27'), '(', '%28'), ')', '%29'), '*', '%2A') cabecera
  from (select id, case when regexp_replace(coalesce(titulo, ''), '\.[^.]*$', '') = '' then 'documento' else regexp_replace(coalesce(titulo, ''), '\.[^.]*$', '') end || '.md' b from {documentos})""")
 
+# ---- scanned pages: the boxes of blocks stand for the components and regions of a page -----------
+def _cajas(s, d):
+    """Boxes in pixels of a page of 1000 x 1400; the number of characters gives the ink."""
+    px = lambda c, t: F.floor(F.col(f"bbox.{c}") * t).cast("int")
+    b = unicos(_t(s, d, "bloques"), "documento_id", "pagina", "bbox", "orden_lectura").where("bbox.x0 is not null and bbox.x1 is not null and bbox.y0 is not null and bbox.y1 is not null")
+    b = b.select("documento_id", "pagina", F.lit("p").alias("bloque_id"), "id", px("x0", 1000).alias("x"), px("y0", 1400).alias("y"), (px("x1", 1000) - px("x0", 1000)).alias("w"), (px("y1", 1400) - px("y0", 1400)).alias("h"), "orden_lectura")
+    return b.withColumn("area", F.floor(F.col("w") * F.col("h") * 0.6)).withColumn("densidad", (F.col("orden_lectura") % 10) / 100.0).withColumn("ancho", F.lit(1000)).withColumn("alto", F.lit(1400))
+
+
+_CAJAS = """k as (select documento_id, pagina, id, orden_lectura, cast(floor(bbox.x0 * 1000) as int) x, cast(floor(bbox.y0 * 1400) as int) y, cast(floor(bbox.x1 * 1000) as int) - cast(floor(bbox.x0 * 1000) as int) w, cast(floor(bbox.y1 * 1400) as int) - cast(floor(bbox.y0 * 1400) as int) h,
+ cast(floor((cast(floor(bbox.x1 * 1000) as int) - cast(floor(bbox.x0 * 1000) as int)) * (cast(floor(bbox.y1 * 1400) as int) - cast(floor(bbox.y0 * 1400) as int)) * 0.6e0) as bigint) area, (orden_lectura % 10) / 100e0 densidad from {bloques} where bbox.x0 is not null and bbox.x1 is not null and bbox.y0 is not null and bbox.y1 is not null)"""
+op("n6_regiones_con_texto", lambda s, d: escaneado.regiones_con_texto(_cajas(s, d).join(unicos(_t(s, d, "bloques"), "texto_plano").select("id", F.col("texto_plano").alias("texto")), "id").select("id", "documento_id", "pagina", F.col("orden_lectura").alias("orden"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.least("h", F.lit(28))).alias("y1"), "texto", "ancho", "alto")).select("id", "tipo"),
+   f"with {_CAJAS} select k.id, case when least(h, 28) <= 0.02e0 * 1400 and w > 250 and y < 280 then 'encabezado' else 'parrafo' end tipo from k join {{bloques}} b on b.id = k.id where regexp_replace(coalesce(b.texto_plano, ''), {RECORTE}, '', 'g') <> ''")
+op("n7_regiones_por_forma", lambda s, d: escaneado.regiones_por_forma(_cajas(s, d)).select("documento_id", "pagina", "orden", "tipo", "x", "y"),
+   f"with {_CAJAS} select documento_id, pagina, cast(row_number() over (partition by documento_id, pagina order by y, x, w, h) - 1 as int) orden, case when densidad < 0.05 then 'figura' when h <= 20 and w > 250 then 'encabezado' else 'parrafo' end tipo, x, y from k where w >= 40 and h >= 8 and w * h <= 1260000")
+op("n11_regiones_simples", lambda s, d: escaneado.regiones_simples(_cajas(s, d)).select("documento_id", "pagina", "orden", "x", "y"),
+   f"with {_CAJAS} select documento_id, pagina, cast(row_number() over (partition by documento_id, pagina order by y, x, w, h) - 1 as int) orden, x, y from k where area > 14000 and area < 1260000")
+_COMP = _CAJAS + """, t as (select documento_id, pagina, median(h) m from k where area >= 10 group by 1, 2), c as (select k.*, (h > 1.8e0 * m or h < 0.35e0 * m) and case when w * h > 0 then area / (w * h) else 0 end > 0.4 and (case when h > 0 then w / h else 0 end < 0.3 or case when h > 0 then w / h else 0 end > 3) f from k join t using (documento_id, pagina) where area >= 10)"""
+_LIN = _COMP + """, l as (select *, sum(nl) over (partition by documento_id, pagina order by y, x, id rows unbounded preceding) linea from (select *, coalesce(case when abs(y - (lag(y) over v + lag(h) over v // 2)) > 20 then 1 else 0 end, 0) nl from c window v as (partition by documento_id, pagina order by y, x, id)))"""
+op("n8_componentes_de_formula", lambda s, d: escaneado.componentes(_cajas(s, d)).select("id", "es_formula"), f"with {_COMP} select id, f es_formula from c")
+op("w7_lineas_de_componentes", lambda s, d: escaneado.lineas(escaneado.componentes(_cajas(s, d))).select("id", F.col("linea").cast("int").alias("linea")), f"with {_LIN} select id, cast(linea as int) linea from l")
+op("w8_tramos_de_componentes", lambda s, d: escaneado.tramos(escaneado.lineas(escaneado.componentes(_cajas(s, d)))).select("documento_id", "pagina", F.col("linea").cast("int").alias("linea"), F.col("tramo").cast("int").alias("tramo"), "tipo", "n", "x0", "y0", "x1", "y1"),
+   f"""with {_LIN}, a as (select *, sum(nt) over (partition by documento_id, pagina, linea order by x, y, id rows unbounded preceding) kt from (select *, case when lag(f) over v is distinct from f then 1 else 0 end nt from l window v as (partition by documento_id, pagina, linea order by x, y, id))),
+ g as (select documento_id, pagina, linea, kt, any_value(f) and count(*) >= 2 f, count(*) n, min(x) x0, min(y) y0, max(x + w) x1, max(y + h) y1 from a group by 1, 2, 3, 4),
+ h as (select *, sum(nt) over (partition by documento_id, pagina, linea order by kt rows unbounded preceding) tramo from (select *, coalesce(case when lag(f) over v <> f then 1 else 0 end, 0) nt from g window v as (partition by documento_id, pagina, linea order by kt)))
+ select documento_id, pagina, cast(linea as int) linea, cast(tramo as int) tramo, case when any_value(f) then 'formula_inline' else 'texto' end tipo, cast(sum(n) as bigint) n, greatest(0, min(x0) - 5) x0, greatest(0, min(y0) - 5) y0, max(x1) + 5 x1, max(y1) + 5 y1 from h group by documento_id, pagina, linea, tramo""")
+op("n9_rejilla_de_tabla", lambda s, d: escaneado.rejilla(_cajas(s, d), s.createDataFrame([("p", 1000, 1400)], "bloque_id string, ancho int, alto int")).select("documento_id", "pagina", "pos", "x0", "y0", "x1", "y1"),
+   f"""with {_CAJAS}, g as (select documento_id, pagina, cast(greatest(2, count(distinct x) filter (where w > 10) // 3) as int) c, cast(greatest(2, count(distinct y) filter (where h > 10) // 3) as int) f from k group by 1, 2), p as (select *, cast(unnest(range(c * f)) as int) pos from g)
+ select documento_id, pagina, pos, (pos % c) * (1000 // c) x0, (pos // c) * (1400 // f) y0, (pos % c + 1) * (1000 // c) x1, (pos // c + 1) * (1400 // f) y1 from p""")
+op("n10_recortes", lambda s, d: unicos(_t(s, d, "bloques"), "bbox").select("id", escaneado.recorte(F.col("bbox"), F.lit(20), F.lit(30)).alias("r")).select("id", "r.x0", "r.y0", "r.x1", "r.y1").where("x0 is not null"),
+   "select * from (select id, " + ", ".join(f"greatest(0, least(cast(trunc(bbox.{c} * {t}) as int), {t})) {c}" for c, t in (("x0", 20), ("y0", 30), ("x1", 20), ("y1", 30))) + " from {bloques}) where x0 < x1 and y0 < y1")
+op("n5_paginas_nativas", lambda s, d: _t(s, d, "bloques").groupBy("documento_id", "pagina").agg(F.collect_set(F.left(texto.recortar(F.col("texto_plano")), F.lit(1))).alias("t")).select("documento_id", "pagina", escaneado.es_nativa(F.col("t")).alias("nativa")),
+   f"select documento_id, pagina, bool_or(regexp_replace(coalesce(texto_plano, ''), {RECORTE}, '', 'g') <> '') nativa from {{bloques}} group by 1, 2")
+op("flujo_p12_segmentos", lambda s, d: escaneado.segmentar(escaneado.regiones_con_texto(_cajas(s, d).where("w > 700").select("id", "documento_id", "pagina", F.col("orden_lectura").alias("orden"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"), F.col("id").alias("texto"), "ancho", "alto")), escaneado.regiones_por_forma(_cajas(s, d))).select("documento_id", "pagina", "id", "tipo"),
+   f"""with {_CAJAS} select documento_id, pagina, id, case when h <= 28 and y < 280 then 'encabezado' else 'parrafo' end tipo from k where w > 700
+ union all select documento_id, pagina, id, case when densidad < 0.05 then 'figura' when h <= 20 and w > 250 then 'encabezado' else 'parrafo' end from k where w >= 40 and h >= 8 and w * h <= 1260000 and (documento_id, pagina) not in (select (documento_id, pagina) from k where w > 700)""")
+
+# ---- recognition and escalation ------------------------------------------------------------------
+def _reconocer(s, d):
+    """Stored micro-segments stand for segments and for what the engines gave; a table is one row of cells."""
+    b = _t(s, d, "bloques").select("id", "documento_id", texto.tipo_normal(F.col("tipo")).alias("tipo"), F.col("origen_contenido").alias("origen"), F.col("texto_plano").alias("texto"), "confianza_layout", "micro_segmentos").distinct().withColumnRenamed("id", "bloque_id")
+    m = unicos(_t(s, d, "documentos"), "modo_motor").select(F.col("id").alias("documento_id"), consulta.modo_valido(F.col("modo_motor")).alias("modo"))
+    x = b.join(m, "documento_id")
+    seg = b.select("bloque_id", F.posexplode("micro_segmentos").alias("idx", "s"))
+    res = seg.select("bloque_id", "idx", F.col("s.contenido").alias("latex"), F.col("s.confianza_engine").alias("conf_latex"), F.col("s.contenido").alias("texto"), F.col("s.confianza_engine").alias("conf_texto"))
+    uno = res.where("idx = 0").withColumn("idx", F.lit(-1))
+    celdas = b.where("size(micro_segmentos) > 0").select("bloque_id", F.lit(1).alias("filas"), F.size("micro_segmentos").alias("columnas"), F.explode(F.sequence(F.lit(0), F.size("micro_segmentos") - 1)).alias("pos"))
+    e = x.select("bloque_id", "tipo", "origen", "modo", (F.col("confianza_layout") > 0.9).alias("transcrito"), "texto", "confianza_layout", (F.col("confianza_layout") > 0.75).alias("hay_imagen"))
+    return reconocimiento.reconocer(e, seg.select("bloque_id", "idx", "s.tipo", "s.contenido"), celdas, res.unionByName(uno))
+
+
+_EST = lambda t, f: f"case when regexp_replace(coalesce({t},''), {RECORTE}, '', 'g') = '' then 0e0 when not {f} then 1e0 else (select case when n >= 2 then 0e0 when n >= 1 then 0.5e0 else 1e0 end from (select case when length({t})-length(replace({t}, chr(123), '')) <> length({t})-length(replace({t}, chr(125), '')) then 1e0 else 0e0 end + case when (length({t})-length(replace({t},'$',''))) % 2 <> 0 then 1e0 else 0e0 end + case when length({t})-length(replace({t},'(','')) <> length({t})-length(replace({t},')','')) then 0.5e0 else 0e0 end + case when contains({t}, '\\\\') and suffix({t}, '\\') and not suffix({t}, '\\\\') then 0.5e0 else 0e0 end n)) end"
+_MS = lambda e, t, f: f"(case when {f} and {_EST(t, f)} = 0 then 0.3e0 * {e} else least(1e0, greatest(0e0, 0.4e0 * {e} + 0.3e0 * {_EST(t, f)} + 0.15e0)) end)"
+op("flujo_p2_p8_reconocidos", lambda s, d: _reconocer(s, d).select("bloque_id", "ruta", "contenido", F.size("micro_segmentos").alias("n"), F.round("confianza", 8).alias("confianza"), "requiere_escalacion"),
+   f"""with b as (select b.id bloque_id, {TIPO} tipo, origen_contenido o, texto_plano t, confianza_layout cl, coalesce(micro_segmentos, []) m, case when modo_motor is null or trim(modo_motor) = '' then 'hibrido' when lower(trim(modo_motor)) in ('hibrido','solo_ia') then lower(trim(modo_motor)) end modo from {{bloques}} b join {{documentos}} x on x.id = b.documento_id),
+ r as (select *, case when tipo in ('ruido','figura') then 'sin_reconocer' when modo = 'solo_ia' then 'solo_ia' when o = 'texto_nativo' and len(list_filter(m, lambda s: starts_with(s.tipo, 'formula'))) = 0 then 'nativo' when o = 'texto_nativo' then 'nativo_con_formulas' when cl > 0.9 and coalesce(t, '') <> '' then 'ya_transcrito' when tipo = 'formula_display' then 'formula_display' when tipo = 'tabla' then 'tabla'
+  when tipo in ('parrafo','teorema','lema','definicion','demostracion','nota_pie') then 'texto_con_formulas' else 'simple' end ruta from b),
+ u as (select bloque_id, ruta, tipo, unnest(case when ruta in ('solo_ia','formula_display','simple') then m[1:1] else m end) s, unnest(case when ruta in ('solo_ia','formula_display','simple') then [-1] else range(len(m)) end) idx from r where ruta in ('solo_ia','formula_display','simple','nativo_con_formulas','texto_con_formulas','tabla')),
+ v as (select bloque_id, ruta, idx, s.contenido c, s.confianza_engine e, case ruta when 'solo_ia' then tipo = 'formula_display' when 'formula_display' then true when 'simple' then false when 'tabla' then false else starts_with(s.tipo, 'formula') end f from u where s is not null),
+ w as (select *, case when c = '' or starts_with(c, '$') then c else '$' || c || '$' end env from v), x as (select *, case when ruta = 'texto_con_formulas' and f then env else c end dado from w),
+ y as (select *, e is not null and not (ruta = 'nativo_con_formulas' and not f) hay, {_MS('e', 'dado', 'f')} cs from x),
+ z as (select *, case when ruta = 'nativo_con_formulas' then case when hay and c <> '' and cs >= 0.5 then env else coalesce(c, '') end else coalesce(dado, '') end fin from y),
+ g as (select bloque_id, list(fin order by idx) p, count(*) filter (where hay and ruta <> 'tabla') n, avg(case when ruta = 'tabla' then e when hay then cs end) media from z group by 1)
+ select r.bloque_id, r.ruta, case when ruta = 'sin_reconocer' then '' when ruta in ('nativo','ya_transcrito') or ruta = 'nativo_con_formulas' and coalesce(cl > 0.75, true) = false then coalesce(t, '') when ruta = 'tabla' then case when p is null then '' else '| ' || array_to_string(p, ' | ') || ' |' || chr(10) || '| ' || array_to_string(list_transform(p, lambda q: '---'), ' | ') || ' |' end
+  when ruta = 'nativo_con_formulas' then array_to_string(list_filter(p, lambda q: q <> ''), ' ') else coalesce(array_to_string(p, ' '), '') end contenido,
+ cast(case when ruta = 'ya_transcrito' then 1 when ruta = 'nativo_con_formulas' and coalesce(cl > 0.75, true) = false then 0 else coalesce(n, 0) end as int) n,
+ round(case when ruta = 'sin_reconocer' then 1e0 when ruta = 'nativo' then 0.95e0 when ruta = 'ya_transcrito' then cl when ruta = 'nativo_con_formulas' and coalesce(cl > 0.75, true) = false then 0.7e0 when ruta = 'nativo_con_formulas' then coalesce(media, 0.95e0) else coalesce(media, 0e0) end, 8) confianza,
+ coalesce(case when ruta = 'sin_reconocer' then 1e0 when ruta = 'nativo' then 0.95e0 when ruta = 'ya_transcrito' then cl when ruta = 'nativo_con_formulas' and coalesce(cl > 0.75, true) = false then 0.7e0 when ruta = 'nativo_con_formulas' then coalesce(media, 0.95e0) else coalesce(media, 0e0) end < 0.6, false) requiere_escalacion
+ from r left join g on g.bloque_id = r.bloque_id""")
+
+
+def _respuestas(s, d):
+    """The last logged call of a document in the second queue stands for its answer."""
+    c = unicos(_t(s, d, "costos"), "documento_id", "tipo_cola", "modelo", "tokens_salida", "costo_usd").where("tipo_cola = 'inconsistencia_documental' and documento_id is not null")
+    return c.groupBy("documento_id").agg(F.max_by(F.struct("modelo", "tokens_salida", "costo_usd"), "id").alias("x")).select("documento_id", F.col("x.modelo").alias("contenido"), ((F.col("x.tokens_salida") % 100) / 100).alias("confianza"), F.col("x.costo_usd").alias("costo"), (F.col("x.tokens_salida") % 100 < 60).alias("requiere_revision_humana"))
+
+
+_RESP = "q as (select documento_id, modelo contenido, (tokens_salida % 100) / 100e0 confianza, costo_usd costo, tokens_salida % 100 < 60 humano from (select *, row_number() over (partition by documento_id order by id desc) k from {costos} where tipo_cola = 'inconsistencia_documental' and documento_id is not null) where k = 1)"
+_INC = f"""{_NUM}, {_REF}, h as (select *, lead(desde) over (partition by documento_id, tipo, prefijo order by desde, bloque_id) hasta from (select documento_id, tipo, bloque_id, pagina, array_to_string(num[1:len(num)-1], '.') prefijo, num[len(num)] desde from n)),
+ i as (select documento_id, 'salto_numeracion' clase, tipo || ' ' || case when prefijo = '' then '' else prefijo || '.' end || desde || ' -> ' || case when prefijo = '' then '' else prefijo || '.' end || hasta detalle, pagina from h where hasta - desde > 1
+ union all select documento_id, 'referencia_sin_resolver', tipo_ref || ' ' || num_ref, pagina from r where not exists (select 1 from n where n.documento_id=r.documento_id and n.tipo=r.tipo_ref and array_to_string(n.num,'.')=r.num_ref))"""
+op("flujo_p17_inconsistencias_resueltas", lambda s, d: (r := reconocimiento.resolver_inconsistencias(correccion.inconsistencias(_t(s, d, "bloques")), _respuestas(s, d))).select("documento_id", "clase", "detalle", "pagina", "n", "contenido", "requiere_revision_humana", *[F.round(c, 8).alias(c) for c in ("confianza", "costo", "costo_propio")]),
+   f"""with {_INC}, {_RESP}, k as (select *, row_number() over (partition by documento_id, clase order by pagina, detalle) n, min(clase) over (partition by documento_id) c0 from i)
+ select k.documento_id, clase, detalle, pagina, cast(n as int) n, q.contenido, round(q.confianza, 8) confianza, coalesce(humano, true) requiere_revision_humana, round(coalesce(costo, 0), 8) costo, round(case when n = 1 and clase = c0 then coalesce(costo, 0) else 0e0 end, 8) costo_propio from k left join q on q.documento_id = k.documento_id""")
+
+
+def _escaladas(s, d):
+    """Low micro-segments with the answers of the first queue: the stored escalation of their block."""
+    seg = revision.micro_segmentos_bajos(_t(s, d, "bloques"))
+    r = unicos(_t(s, d, "bloques"), "escalacion").where("escalacion.requirio_escalacion").select(F.col("id").alias("bloque_id"), F.col("escalacion.contenido_llm").alias("contenido"), F.col("escalacion.confianza_llm").alias("confianza"), (F.coalesce("escalacion.tokens_salida", F.lit(0)) / 1e4).alias("costo"))
+    return reconocimiento.escalar(seg.select("documento_id", "pagina", "bloque_id", "idx"), seg.select("bloque_id", "idx").join(r, "bloque_id"), 0.05)
+
+
+_ESC = """sg as (select documento_id, pagina, bloque_id, idx, cl, conf, costo from (select documento_id, pagina, id bloque_id, unnest(micro_segmentos) s, generate_subscripts(micro_segmentos, 1) - 1 idx, case when escalacion.requirio_escalacion then escalacion.contenido_llm end cl, case when escalacion.requirio_escalacion then escalacion.confianza_llm end conf, case when escalacion.requirio_escalacion then coalesce(escalacion.tokens_salida, 0) / 1e4 end costo from {bloques}) where s.confianza_estructural < 0.6),
+ pg as (select documento_id, pagina, coalesce(sum(c) over (partition by documento_id order by pagina rows between unbounded preceding and 1 preceding), 0) < 0.05 dentro from (select documento_id, pagina, sum(coalesce(costo, 0)) c from sg group by 1, 2)),
+ es as (select sg.documento_id, sg.pagina, bloque_id, idx, case when dentro then cl end contenido, case when dentro and cl is not null then conf end confianza, not dentro or cl is null humano from sg join pg on pg.documento_id = sg.documento_id and pg.pagina = sg.pagina)"""
+op("w12_paginas_bajo_tope", lambda s, d: _escaladas(s, d).select("documento_id", "pagina", "bloque_id", F.col("idx").cast("int").alias("idx"), "contenido", "confianza", "requiere_revision_humana"),
+   f"with {_ESC} select documento_id, pagina, bloque_id, cast(idx as int) idx, contenido, confianza, humano requiere_revision_humana from es")
+op("flujo_p15_aplicados", lambda s, d: reconocimiento.aplicar_a_bloques(_escaladas(s, d)).select("bloque_id", "contenido", "requiere_revision_humana"),
+   f"with {_ESC} select bloque_id, arg_max(contenido, idx) filter (where contenido is not null) contenido, bool_or(humano) requiere_revision_humana from es group by 1")
+op("flujo_p14_para_revision", lambda s, d: reconocimiento.para_revision(_t(s, d, "bloques"), _escaladas(s, d), reconocimiento.resolver_inconsistencias(correccion.inconsistencias(_t(s, d, "bloques")), _respuestas(s, d))),
+   f"with {_INC}, {_RESP}, {_ESC} select documento_id, bloque_id from es where humano union select b.documento_id, b.id from {{bloques}} b join (select distinct i.documento_id, pagina from i left join q on q.documento_id = i.documento_id where coalesce(humano, true)) x on x.documento_id = b.documento_id and x.pagina = b.pagina")
+op("flujo_p16_cola_de_paginas", lambda s, d: reconocimiento.cola_de_paginas(revision.micro_segmentos_bajos(_t(s, d, "bloques"))).select("documento_id", "pagina", F.size("segmentos").alias("n"), F.col("segmentos")[0]["bloque_id"].alias("primero")),
+   "select documento_id, pagina, cast(count(*) as int) n, min(bloque_id) primero from (select documento_id, pagina, id bloque_id, unnest(micro_segmentos) s from {bloques}) where s.confianza_estructural < 0.6 group by 1, 2")
+
 # ---- state --------------------------------------------------------------------------------------------------------------------
 op("st1_limite_de_accesos", lambda s, d: estado.limitar_lote(unicos(_t(s, d, "costos"), "tipo_cola", "modelo", "registrado_en").select(F.lit("procesar").alias("accion"), F.concat_ws("/", "tipo_cola", "modelo").alias("ip"), (F.unix_micros("registrado_en") / 1e6).alias("ts"))).groupBy("ip").agg(F.count("*").alias("intentos"), F.count_if("admitido").alias("admitidos")))
 op("st5_ultimo_estado", lambda s, d: estado.progreso(unicos(_t(s, d, "decisiones"), "bloque_id", "decision", "registrado_en").where("bloque_id is not null").select(F.col("bloque_id").alias("documento_id"), F.lit(5).alias("capa"), F.concat_ws("/", F.format_string("%012d", "id"), "decision").alias("estado"), F.col("registrado_en").alias("ts"))).select("documento_id", "capa", "estado"),
