@@ -91,6 +91,14 @@ def reparar_pares(c: Column, abre: str, cierra: str) -> Column:
     return F.when(d > 0, F.concat(c, F.repeat(F.lit(cierra), d))).when(d < 0, F.concat(F.repeat(F.lit(abre), -d), c)).otherwise(c)
 
 
+def reparacion_ambigua(c: Column) -> Column:
+    """Does the repair have to guess?  More closing than opening signs, or an environment ended more often than begun."""
+    mas = lambda a, b: cuantas(c, b) > cuantas(c, a)
+    abre, cierra = (F.regexp_extract_all(c, F.lit(rf"\\{k}\{{([^}}]+)\}}"), F.lit(1)) for k in ("begin", "end"))
+    sobra = F.exists(cierra, lambda x: F.size(F.filter(cierra, lambda y: y == x)) > F.size(F.filter(abre, lambda y: y == x)))
+    return mas("{", "}") | mas("(", ")") | sobra
+
+
 def reparar_entornos(c: Column) -> Column:
     """Append the missing ends of environments, in order of their beginnings."""
     abre = F.regexp_extract_all(c, F.lit(r"\\begin\{([^}]+)\}"), F.lit(1))

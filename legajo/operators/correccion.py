@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from legajo.functions.texto import numero, numero_corto, tipo_normal
+from legajo.functions.texto import estructura_valida, numero, numero_corto, reparacion_ambigua, tipo_normal
 from legajo.sources.tablas import unicos
 
 NUMERADOS = ("teorema", "lema", "proposicion", "definicion", "corolario")
@@ -129,6 +129,26 @@ def _por_trozos(p: DataFrame, d: DataFrame) -> DataFrame:
     return a.join(b, ["n", "d", "i", "k"]).select("palabra", "sugerencia")
 
 
+def diccionario(general: DataFrame, tecnico: DataFrame, cual: str = "ambos") -> DataFrame:
+    """``(palabra)`` of the general list, the technical one, or both, each once."""
+    if cual not in ("general", "tecnico", "ambos"):
+        raise ValueError(f"unknown dictionary: {cual}")
+    partes = [d.select("palabra") for n, d in (("general", general), ("tecnico", tecnico)) if cual in (n, "ambos")]
+    return (partes[0] if len(partes) == 1 else partes[0].unionByName(partes[1])).distinct()
+
+
+def reparaciones_por_escalar(corregidos: DataFrame) -> DataFrame:
+    """``(bloque_id, motivo)`` of ``corregidos(bloque_id, antes, despues, ortografia)``: structures whose repair is ambiguous or still unbalanced, and spelling that changed a word.
+
+    A missing opening sign is put in front, which may be the wrong place, so it goes to the
+    language model; so does a text that does not balance after the repair.
+    """
+    motivos = F.array_compact(F.array(
+        F.when(F.coalesce(reparacion_ambigua(F.col("antes")), F.lit(False)), "ambigua"), F.when(~F.coalesce(estructura_valida(F.col("despues")), F.lit(True)), "desequilibrada"), F.when(F.col("ortografia"), "ortografia"),
+    ))
+    return corregidos.select("bloque_id", F.explode(motivos).alias("motivo"))
+
+
 def sugerencias(palabras: DataFrame, diccionario: DataFrame) -> DataFrame:
     """``(palabra, sugerencia, distancia)``: the most similar dictionary word at similarity 0.8 or more; ties by alphabet.
 

@@ -36,7 +36,10 @@ def calles(c: DataFrame) -> DataFrame:
 
 def orden_de_lectura(bloques: DataFrame) -> DataFrame:
     """``(documento_id, pagina, bloque_id, orden)``: left column before right, top to bottom, left to right, then id."""
-    c = cajas(bloques)
+    return orden_de_cajas(cajas(bloques))
+
+
+def orden_de_cajas(c: DataFrame) -> DataFrame:
     j = c.join(calles(c), PAGINA, "left")
     lado = F.when(F.col("calle").isNull(), 0).otherwise((F.col("x1") > F.col("calle")).cast("int"))
     w = Window.partitionBy(*PAGINA).orderBy(lado, "y0", "x0", "bloque_id")

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from legajo.functions.texto import recortar
+from legajo.functions.geometria import normalizar
+from legajo.functions.texto import clasificar, limpiar, recortar
 
 PAGINA = ["documento_id", "pagina"]
 # --- fixed values: typographic signals ----------------------------------------------------------
@@ -125,3 +126,110 @@ def unir_filas(textos: Column, vocabulario_: Column) -> Column:
         return F.when(a == "", x).when(x == "", a).when(a.endswith("­"), sin).when(a.endswith("-"), F.when((izq == "") | (der == "") | ambas, F.concat(a, x)).otherwise(sin)).otherwise(F.concat(a, F.lit(" "), x))
 
     return F.aggregate(F.transform(textos, recortar), F.lit(""), paso)
+
+
+LINEA = [*PAGINA, "bloque", "linea"]
+
+
+def tamano_dominante(spans: DataFrame) -> DataFrame:
+    """``(documento_id, pagina, bloque, linea, cuerpo)``: the size that most characters of a line have; the first seen wins a tie."""
+    g = spans.withColumn("t", F.round("tamano", 1)).groupBy(*LINEA, "t").agg(F.sum(F.length("texto")).alias("n"), F.min("seq").alias("s"))
+    return g.groupBy(*LINEA).agg(F.max_by("t", F.struct("n", -F.col("s"))).alias("cuerpo"))
+
+
+def centro_dominante(spans: DataFrame, cuerpo: DataFrame) -> DataFrame:
+    """``(documento_id, pagina, bloque, linea, centro)``: mean vertical centre of the spans of the line's size, of all if there is none."""
+    c = (F.col("y0") + F.col("y1")) / 2
+    j = spans.join(cuerpo, LINEA)
+    return j.groupBy(*LINEA).agg(F.coalesce(F.avg(F.when(F.abs(F.col("tamano") - F.col("cuerpo")) < 0.05, c)), F.avg(c)).alias("centro"))
+
+
+def marcar(spans: DataFrame) -> DataFrame:
+    """Adds ``formula``, ``negrita``, ``cursiva``: by font name and flags, or as an index raised or lowered from its line."""
+    cuerpo = tamano_dominante(spans)
+    j = spans.join(cuerpo, LINEA).join(centro_dominante(spans, cuerpo), LINEA)
+    indice = es_indice(F.col("tamano"), F.col("cuerpo"), (F.col("y0") + F.col("y1")) / 2, F.col("centro"))
+    return j.withColumns({"formula": es_matematica(F.col("fuente")) | indice, "negrita": es_negrita(F.col("fuente"), F.col("marcas")), "cursiva": es_cursiva(F.col("fuente"), F.col("marcas"))}).drop("centro")
+
+
+def fuentes_matematicas(spans: DataFrame) -> DataFrame:
+    """``(documento_id, pagina, fuentes)``: the mathematical fonts of each page by full name, in alphabetical order."""
+    return spans.where(es_matematica(F.col("fuente"))).groupBy(*PAGINA).agg(F.array_sort(F.collect_set("fuente")).alias("fuentes"))
+
+
+def lineas_de_spans(marcados: DataFrame) -> DataFrame:
+    """Lines of marked spans: text in order, box, dominant size, bold if most characters are."""
+    n, m = F.sum(F.length("texto")), F.sum(F.when(F.col("negrita"), F.length("texto")).otherwise(0))
+    texto = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "texto"))), lambda x: x["texto"]), "")
+    return marcados.groupBy(*LINEA).agg(
+        F.min("seq").alias("seq"), limpiar(texto).alias("texto"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.first("cuerpo").alias("tamano"), ((n > 0) & (2 * m >= n)).alias("negrita")
+    )
+
+
+def uniones(filas_: DataFrame, palabras: DataFrame) -> DataFrame:
+    """Adds ``pieza`` to the rows of paragraphs: the text as it stands in the joined paragraph, with what separates it from the row before.
+
+    A soft hyphen at a row's end joins; a hyphen joins without itself unless both halves are
+    words of the document (``palabras(documento_id, palabra)``) or one is no word.  Only the
+    halves of divided words meet the vocabulary, in a join, so no document's vocabulary is
+    gathered in one place.  Blank rows drop out.
+    """
+    w = Window.partitionBy(*PAGINA, "bloque", "parrafo").orderBy("fila")
+    f = filas_.withColumn("texto", recortar(F.col("texto"))).where("texto <> ''").withColumns({"_a": F.lag("texto").over(w), "_s": F.lead("texto").over(w)})
+    halla = lambda c, p: F.lower(F.nullif(F.regexp_extract(c, p, 1), F.lit("")))
+    antes, despues = r"(?U)([^\W\d_]+)-$", r"(?U)^([^\W\d_]+)"
+    f = f.withColumns({"izq": halla(F.col("texto"), antes), "der": halla(F.col("_s"), despues)})
+    corta = F.col("texto").endswith("-") & F.col("_s").isNotNull()
+    pares = f.where(corta & F.col("izq").isNotNull() & F.col("der").isNotNull()).select("documento_id", "izq", "der").distinct()
+    v = palabras.select("documento_id", "palabra").distinct()
+    propios = pares.join(v.withColumnRenamed("palabra", "izq"), ["documento_id", "izq"], "left_semi").join(v.withColumnRenamed("palabra", "der"), ["documento_id", "der"], "left_semi").withColumn("_p", F.lit(True))
+    f = f.join(propios, ["documento_id", "izq", "der"], "left")
+    # how a row goes on: without its hyphen, as it stands, or with a space
+    sigue = F.when(F.col("_s").isNull(), "fin").when(F.col("texto").endswith("­"), "sin").when(corta, F.when(F.col("izq").isNull() | F.col("der").isNull() | F.coalesce("_p", F.lit(False)), "pegado").otherwise("sin")).otherwise("espacio")
+    f = f.withColumn("_k", sigue)
+    t = F.when(F.col("_k") == "sin", F.regexp_replace("texto", ".$", "")).when(F.col("_k") == "espacio", F.concat("texto", F.lit(" "))).otherwise(F.col("texto"))
+    return f.withColumn("pieza", t).drop("_a", "_s", "_p", "_k", "izq", "der")
+
+
+def bloques_de_paginas(spans: DataFrame, paginas: DataFrame) -> DataFrame:
+    """``(documento_id, pagina, bloque, parrafo, orden, tipo, texto, bbox, origen_contenido)``: native pages cut into blocks.
+
+    ``spans(documento_id, pagina, bloque, linea, seq, texto, fuente, marcas, tamano, x0, y0,
+    x1, y1)``, ``paginas(documento_id, pagina, ancho, alto)``.  Spans are marked, joined to
+    lines, lines to visual rows, rows to paragraphs; divided words are joined; a single row
+    in the margin is noise, leader dots make an entry of an index, all else is classified
+    by its text, weight and size; blocks are put in reading order.
+    """
+    from legajo.operators.disposicion import orden_de_cajas
+
+    l = lineas_de_spans(marcar(spans))
+    v = vocabulario(l.select(*PAGINA, "seq", "texto"))
+    p = uniones(parrafos(filas(l)), v)
+    texto = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fila", "pieza"))), lambda x: x["pieza"]), "")
+    g = p.groupBy(*PAGINA, "bloque", "parrafo").agg(
+        texto.alias("texto"), F.count("*").alias("filas"), F.min_by("negrita", "fila").alias("negrita"), F.max("tamano").alias("tamano"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
+    )
+    j = g.join(tamano_cuerpo(l), PAGINA, "left").join(paginas, PAGINA)
+    ruido = (F.col("filas") == 1) & es_ruido(F.col("texto"), F.col("tamano"), F.col("cuerpo"), F.col("y0"), F.col("y1"), F.col("alto"))
+    guia = F.col("texto").rlike(PUNTOS_GUIA)
+    t = F.when(guia & ~ruido, limpiar(F.regexp_replace("texto", PUNTOS_GUIA, " … "))).otherwise(F.col("texto"))
+    tipo = F.when(ruido, "ruido").when(guia, "lista").otherwise(clasificar(F.col("texto"), F.col("negrita"), F.col("tamano") / F.nullif("cuerpo", F.lit(0.0)), F.col("filas")))
+    b = j.select(*PAGINA, "bloque", "parrafo", tipo.alias("tipo"), t.alias("texto"), F.concat_ws("/", F.lpad(F.col("bloque").cast("string"), 9, "0"), F.lpad(F.col("parrafo").cast("string"), 9, "0")).alias("bloque_id"), *[normalizar(F.col(c), F.col(m)).alias(c) for c, m in (("x0", "ancho"), ("y0", "alto"), ("x1", "ancho"), ("y1", "alto"))])
+    o = orden_de_cajas(b.select(*PAGINA, "bloque_id", "x0", "y0", "x1", "y1"))
+    return b.join(o, [*PAGINA, "bloque_id"]).select(*PAGINA, "bloque", "parrafo", "orden", "tipo", "texto", F.struct("x0", "y0", "x1", "y1").alias("bbox"), F.lit("texto_nativo").alias("origen_contenido"))
+
+
+def segmentos_de_parrafo(tramos_: DataFrame) -> DataFrame:
+    """``(documento_id, pagina, bloque, parrafo, segmentos)``: text and formula segments of a paragraph in order.
+
+    ``tramos_(documento_id, pagina, bloque, parrafo, fila, tramo, formula, texto)``.  Text goes
+    on from one row to the next as in ``uniones`` without a vocabulary (a hyphen drops out);
+    formulas stay apart.
+    """
+    w = Window.partitionBy(*PAGINA, "bloque", "parrafo").orderBy("fila", "tramo")
+    t = tramos_.where("texto <> ''").withColumn("_c", F.coalesce((F.col("formula") | F.lag("formula").over(w)).cast("int"), F.lit(1))).withColumn("_k", F.sum("_c").over(w)).withColumn("_f", F.lead("fila").over(w)).withColumn("_n", F.lead("_k").over(w))
+    otra = (F.col("_n") == F.col("_k")) & (F.col("_f") != F.col("fila"))
+    x = F.when(F.coalesce(otra, F.lit(False)), F.when(F.col("texto").rlike("[-­]$"), F.regexp_replace("texto", ".$", "")).otherwise(F.concat("texto", F.lit(" ")))).otherwise(F.col("texto"))
+    g = t.groupBy(*PAGINA, "bloque", "parrafo", "_k").agg(F.first("formula").alias("f"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fila", "tramo", x.alias("x")))), lambda y: y["x"]), "").alias("texto"))
+    s = F.transform(F.array_sort(F.collect_list(F.struct("_k", F.when(F.col("f"), "formula").otherwise("texto").alias("tipo"), "texto"))), lambda y: F.struct(y["tipo"].alias("tipo"), y["texto"].alias("texto")))
+    return g.groupBy(*PAGINA, "bloque", "parrafo").agg(s.alias("segmentos"))

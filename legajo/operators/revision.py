@@ -139,7 +139,12 @@ def gasto_acumulado(costos: DataFrame, tope: float) -> DataFrame:
 
 def recomendaciones(decisiones: DataFrame, umbrales: DataFrame) -> DataFrame:
     """Proposed thresholds per block type from the rates of its decisions, with the confidence of the proposal."""
-    d = unicos(decisiones, "tipo_bloque", "decision", "confianza_engine", "confianza_usuario").where("tipo_bloque <> ''")
+    return proponer(unicos(decisiones, "tipo_bloque", "decision", "confianza_engine", "confianza_usuario"), umbrales)
+
+
+def proponer(d: DataFrame, umbrales: DataFrame) -> DataFrame:
+    """The proposals from distinct decisions, a batch or a stream (complete mode)."""
+    d = d.where("tipo_bloque <> ''")
     g = d.groupBy("tipo_bloque").agg(F.avg((F.col("decision") == "rechazar").cast("int")).alias("rechazo"), F.avg("confianza_engine").alias("ce"), F.avg("confianza_usuario").alias("cu"))
     u = umbrales.where("ambito = 'global'").select(F.col("clave").alias("tipo_bloque"), F.col("valor").alias("actual"))
     g = g.join(F.broadcast(u), "tipo_bloque", "left").withColumn("actual", F.coalesce("actual", F.lit(0.7)))  # one row per type

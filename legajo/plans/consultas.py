@@ -8,8 +8,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from legajo.functions import confianza, geometria, texto
-from legajo.operators import consulta, correccion, disposicion, escaneado, estadisticas, reconocimiento, render, revision, traduccion
-from legajo.sources.tablas import borrar_en_cascada, fusionar_manifiesto, tabla, unicos
+from legajo.operators import consulta, correccion, disposicion, escaneado, estadisticas, nativo, reconocimiento, render, revision, traduccion
+from legajo.sources.tablas import borrar_en_cascada, extraer_paginas, fallo_de_archivo, fusionar_manifiesto, migrar, tabla, unicos
 from legajo.streaming import estado
 
 _Q: dict[str, tuple] = {}
@@ -456,6 +456,57 @@ op("flujo_p14_para_revision", lambda s, d: reconocimiento.para_revision(_t(s, d,
 op("flujo_p16_cola_de_paginas", lambda s, d: reconocimiento.cola_de_paginas(revision.micro_segmentos_bajos(_t(s, d, "bloques"))).select("documento_id", "pagina", F.size("segmentos").alias("n"), F.col("segmentos")[0]["bloque_id"].alias("primero")),
    "select documento_id, pagina, cast(count(*) as int) n, min(bloque_id) primero from (select documento_id, pagina, id bloque_id, unnest(micro_segmentos) s from {bloques}) where s.confianza_estructural < 0.6 group by 1, 2")
 
+# ---- native pages: the words of blocks stand for spans -------------------------------------------
+def _spans(s, d):
+    """One span per word; formulas have a mathematical font, headings a bold one, words with an index are small and raised."""
+    b = unicos(_t(s, d, "bloques"), "documento_id", "pagina", "orden_lectura", "tipo", "texto_plano").where("texto_plano is not null")
+    l = b.select("documento_id", "pagina", F.col("orden_lectura").alias("bloque"), "id", texto.tipo_normal(F.col("tipo")).alias("tipo"), F.posexplode(F.split("texto_plano", "\n")).alias("linea", "l"))
+    w = l.select("documento_id", "pagina", "bloque", "id", "tipo", "linea", F.posexplode(F.split("l", " ")).alias("k", "p")).where("p <> ''")
+    chica = F.col("p").contains("_")
+    y = F.col("bloque") * 200.0 + F.col("linea") * 12.0
+    return w.select(
+        "documento_id", "pagina", "bloque", "linea", (F.col("linea") * 10000 + F.col("k")).alias("seq"), F.concat("p", F.lit(" ")).alias("texto"), F.when(F.col("p").contains("\\"), "ABCDEF+CMMI10").when(F.col("tipo") == "encabezado", "Times-Bold").otherwise("Times").alias("fuente"),
+        F.when(F.col("tipo") == "teorema", 2).otherwise(0).alias("marcas"), F.when(chica, 7.0).when(F.col("tipo") == "encabezado", 14.0).otherwise(10.0).alias("tamano"), (F.col("k") * 40.0).alias("x0"), F.when(chica, y - 4).otherwise(y).alias("y0"), (F.col("k") * 40.0 + F.length("p") * 5.0).alias("x1"), F.when(chica, y + 3).otherwise(y + 10).alias("y1"),
+    )
+
+
+_SP = f"""sp as (select documento_id, pagina, bloque, linea, linea * 10000 + k seq, p || ' ' texto, case when contains(p, '\\') then 'ABCDEF+CMMI10' when tipo = 'encabezado' then 'Times-Bold' else 'Times' end fuente, case when tipo = 'teorema' then 2 else 0 end marcas, case when contains(p, '_') then 7e0 when tipo = 'encabezado' then 14e0 else 10e0 end tamano,
+ k * 40e0 x0, bloque * 200e0 + linea * 12e0 - case when contains(p, '_') then 4 else 0 end y0, k * 40e0 + length(p) * 5e0 x1, bloque * 200e0 + linea * 12e0 + case when contains(p, '_') then 3 else 10 end y1
+ from (select documento_id, pagina, bloque, tipo, linea, unnest(string_split(l, ' ')) p, generate_subscripts(string_split(l, ' '), 1) - 1 k from (select documento_id, pagina, orden_lectura bloque, {TIPO} tipo, unnest(string_split(texto_plano, chr(10))) l, generate_subscripts(string_split(texto_plano, chr(10)), 1) - 1 linea from {{bloques}} where texto_plano is not null)) where p <> ''),
+ td as (select documento_id, pagina, bloque, linea, arg_max(t, {{'n': n, 's': -s}}) cuerpo from (select documento_id, pagina, bloque, linea, round(tamano, 1) t, sum(length(texto)) n, min(seq) s from sp group by all) group by 1, 2, 3, 4),
+ cd as (select documento_id, pagina, bloque, linea, any_value(cuerpo) cuerpo, coalesce(avg((y0 + y1) / 2) filter (where abs(tamano - cuerpo) < 0.05), avg((y0 + y1) / 2)) centro from sp join td using (documento_id, pagina, bloque, linea) group by 1, 2, 3, 4),
+ mk as (select sp.*, cd.cuerpo, contains(fuente, 'CMMI') or (tamano < 0.9 * cuerpo and abs((y0 + y1) / 2 - centro) > 0.12 * cuerpo) formula, contains(fuente, 'Bold') negrita, marcas = 2 cursiva from sp join cd using (documento_id, pagina, bloque, linea))"""
+op("a21_tamano_dominante", lambda s, d: nativo.tamano_dominante(_spans(s, d)), f"with {_SP} select documento_id, pagina, bloque, cast(linea as int) linea, cuerpo from td")
+op("a24_centro_dominante", lambda s, d: _r(nativo.centro_dominante(_spans(s, d), nativo.tamano_dominante(_spans(s, d))), "centro"), f"with {_SP} select documento_id, pagina, bloque, cast(linea as int) linea, round(centro, 8) centro from cd")
+op("t8_t11_spans_marcados", lambda s, d: nativo.marcar(_spans(s, d)).groupBy("documento_id", "pagina", "formula", "negrita", "cursiva").agg(F.count("*").alias("n")), f"with {_SP} select documento_id, pagina, formula, negrita, cursiva, count(*) n from mk group by all")
+op("t9_fuentes_matematicas", lambda s, d: nativo.fuentes_matematicas(_spans(s, d)).select("documento_id", "pagina", F.array_join("fuentes", ",").alias("fuentes")), f"with {_SP} select documento_id, pagina, 'ABCDEF+CMMI10' fuentes from sp where contains(fuente, 'CMMI') group by 1, 2")
+op("a20_tamano_de_cuerpo", lambda s, d: nativo.tamano_cuerpo(_spans(s, d).groupBy("documento_id", "pagina", "tamano").agg(F.first(F.lit("")).alias("x"), F.min(F.col("bloque") * 100000000 + F.col("seq")).alias("seq"), F.array_join(F.collect_list("texto"), "").alias("texto"))),
+   f"with {_SP} select documento_id, pagina, arg_max(t, {{'n': n, 's': -s}}) cuerpo from (select documento_id, pagina, round(tamano, 1) t, sum(length(texto)) n, min(bloque * 100000000 + seq) s from sp group by all) group by 1, 2")
+op("a23_peso_de_linea", lambda s, d: nativo.lineas_de_spans(nativo.marcar(_spans(s, d))).groupBy("documento_id", "pagina", "negrita").agg(F.count("*").alias("n"), F.sum("tamano").alias("t")),
+   f"with {_SP} select documento_id, pagina, negrita, count(*) n, sum(cuerpo) t from (select documento_id, pagina, bloque, linea, 2 * sum(case when negrita then length(texto) else 0 end) >= sum(length(texto)) negrita, any_value(cuerpo) cuerpo from mk group by 1, 2, 3, 4) group by 1, 2, 3")
+op("w6_tramos_de_spans", lambda s, d: nativo.tramos(nativo.marcar(_spans(s, d)).withColumn("linea", F.col("bloque") * 1000 + F.col("linea"))).select("documento_id", "pagina", "linea", F.col("tramo").cast("int").alias("tramo"), "formula", "texto", "x0", "x1"),
+   f"""with {_SP}, a as (select *, bloque * 1000 + linea ln from mk), b as (select *, sum(c) over (partition by documento_id, pagina, ln order by seq rows unbounded preceding) - 1 tramo from (select *, case when lag(formula) over (partition by documento_id, pagina, ln order by seq) is distinct from formula then 1 else 0 end c from a))
+ select documento_id, pagina, cast(ln as int) linea, cast(tramo as int) tramo, any_value(formula) formula, string_agg(texto, '' order by seq) texto, min(x0) x0, max(x1) x1 from b group by documento_id, pagina, ln, tramo""")
+op("a22_margen_modal", lambda s, d: nativo.margen_modal(nativo.lineas_de_spans(nativo.marcar(_spans(s, d)))), f"with {_SP} select documento_id, pagina, arg_max(x, {{'n': n, 'x': -x}}) margen from (select documento_id, pagina, x, count(*) n from (select documento_id, pagina, bloque, linea, round(min(x0)) x from mk group by 1, 2, 3, 4) group by 1, 2, 3) group by 1, 2")
+op("flujo_p10_bloques_nativos", lambda s, d: nativo.bloques_de_paginas(_spans(s, d), _t(s, d, "bloques").select("documento_id", "pagina").distinct().withColumns({"ancho": F.lit(1000.0), "alto": F.lit(4000.0)})))
+
+# ---- sources -------------------------------------------------------------------------------------
+op("s4_dimensiones", lambda s, d: _t(s, d, "bloques").select("id", geometria.pixeles(F.col("bbox.x1") * 612).cast("int").alias("ancho"), geometria.pixeles(F.col("bbox.y1") * 792).cast("int").alias("alto")).distinct(),
+   "select id, cast(floor(bbox.x1 * 612 * 150 / 72) as int) ancho, cast(floor(bbox.y1 * 792 * 150 / 72) as int) alto from {bloques}")
+op("s5_subidas", lambda s, d: unicos(_t(s, d, "documentos"), "total_paginas", "titulo", "error").select("id", fallo_de_archivo(F.length("titulo") * 900_000 * F.when(F.col("error").isNull(), 1).otherwise(4), F.when(F.col("titulo").contains("a"), F.concat(F.lit(" \n%PDF-1.7 "), "titulo")).otherwise(F.col("titulo")), F.col("total_paginas") * 60 - 60).alias("fallo")),
+   """select id, case when coalesce(length(titulo), 0) = 0 then 'vacio' when length(titulo) * 900000 * case when error is null then 1 else 4 end > 52428800 then 'muy_grande' when not contains(titulo, 'a') then 'no_es_pdf' when coalesce(total_paginas * 60 - 60, 0) < 1 then 'sin_paginas' when total_paginas * 60 - 60 > 1000 then 'demasiadas_paginas' end fallo from {documentos}""")
+op("s7_paginas_elegidas", lambda s, d: extraer_paginas(_t(s, d, "bloques").select("documento_id", "pagina").distinct(), _t(s, d, "bloques").where("tipo = 'teorema'").select("documento_id", "pagina")),
+   """with p as (select distinct documento_id, pagina from {bloques}), k as (select distinct documento_id, pagina from bloques where tipo = 'teorema')
+ select documento_id, cast(row_number() over (partition by documento_id order by pagina) - 1 as int) pagina, pagina pagina_origen from k union all select documento_id, pagina, pagina from p where documento_id not in (select documento_id from k)""")
+op("s15_migrados", lambda s, d: migrar(unicos(_t(s, d, "documentos"), "titulo", "modo_motor"), {"modo_motor": "otro", "publico": False}, ("titulo",)), "select id, modo_motor, false publico from {documentos}")
+op("u1_diccionario", lambda s, d: correccion.diccionario(_frecuentes(s, d), _t(s, d, "umbrales").select(F.col("clave").alias("palabra"))),
+   "select w palabra from (select unnest(regexp_split_to_array(lower(texto_plano), '[^\\p{L}]+')) w from {bloques} where origen_contenido = 'texto_nativo') where w <> '' group by 1 having count(*) >= 5 union select clave from umbrales")
+op("u3_reparaciones_por_escalar", lambda s, d: correccion.reparaciones_por_escalar(_t(s, d, "decisiones").where("contenido_original is not null").select("id", "contenido_original").distinct().select(F.col("id").alias("bloque_id"), F.col("contenido_original").alias("antes"), texto.reparar_pares(texto.reparar_pares(F.col("contenido_original"), "{", "}"), "(", ")").alias("despues"), F.lit(False).alias("ortografia"))).where("motivo = 'ambigua'"),
+   r"""select id bloque_id, 'ambigua' motivo from {decisiones} where length(replace(contenido_original, '{', '')) > length(replace(contenido_original, '}', '')) or length(replace(contenido_original, '(', '')) > length(replace(contenido_original, ')', ''))
+ or len(list_filter(list_distinct(regexp_extract_all(contenido_original, '\\end\{([^}]+)\}', 1)), lambda e: len(list_filter(regexp_extract_all(contenido_original, '\\end\{([^}]+)\}', 1), lambda y: y = e)) > len(list_filter(regexp_extract_all(contenido_original, '\\begin\{([^}]+)\}', 1), lambda y: y = e)))) > 0""")
+op("st7_avances", lambda s, d: estado.espaciado(unicos(_t(s, d, "documentos"), "total_bloques").where("total_bloques > 0").select(F.col("id").alias("documento_id"), F.explode(F.sequence(F.lit(1), F.col("total_bloques"))).alias("n"), F.col("total_bloques").alias("total"))).select("documento_id", "n"),
+   "select documento_id, cast(n as int) n from (select id documento_id, unnest(range(1, total_bloques + 1)) n, total_bloques total from {documentos} where total_bloques > 0) where n % greatest(1, total // 100) = 0 or n = total")
+
 # ---- state --------------------------------------------------------------------------------------------------------------------
 op("st1_limite_de_accesos", lambda s, d: estado.limitar_lote(unicos(_t(s, d, "costos"), "tipo_cola", "modelo", "registrado_en").select(F.lit("procesar").alias("accion"), F.concat_ws("/", "tipo_cola", "modelo").alias("ip"), (F.unix_micros("registrado_en") / 1e6).alias("ts"))).groupBy("ip").agg(F.count("*").alias("intentos"), F.count_if("admitido").alias("admitidos")))
 op("st5_ultimo_estado", lambda s, d: estado.progreso(unicos(_t(s, d, "decisiones"), "bloque_id", "decision", "registrado_en").where("bloque_id is not null").select(F.col("bloque_id").alias("documento_id"), F.lit(5).alias("capa"), F.concat_ws("/", F.format_string("%012d", "id"), "decision").alias("estado"), F.col("registrado_en").alias("ts"))).select("documento_id", "capa", "estado"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from legajo.functions import confianza, geometria, texto
-from legajo.operators import consulta, correccion, disposicion, estadisticas, reconocimiento, render, revision, traduccion
+from legajo.operators import consulta, correccion, disposicion, escaneado, estadisticas, reconocimiento, render, revision, traduccion
 from legajo.operators.orden import numerar
 from legajo.plans import consultas
 from legajo.sources import tablas
@@ -328,7 +328,8 @@ def test_sinks_round_trip(spark, tmp_path):
 
 
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
-    filas = [("acceso", "1.1.1.1", float(60 * i)) for i in range(14)] + [("acceso", "1.1.1.1", 5000.0), ("otro", "2.2.2.2", 1.0)]
+    h = 1.7e9
+    filas = [("acceso", "1.1.1.1", h + 60 * i) for i in range(14)] + [("acceso", "1.1.1.1", h + 5000), ("otro", "2.2.2.2", h + 1)]
     df = spark.createDataFrame(filas, "accion string, ip string, ts double")
     lote = sorted(map(tuple, estado.limitar_lote(df).collect()))
     assert sum(not x[3] for x in lote) == 4
@@ -361,3 +362,66 @@ def test_filters_reach_the_scan(spark):
     d = tablas.tabla(spark, SF, "documentos").where("estado = 'completado'").select("id")
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(estado), EqualTo(estado,completado)]" in plan and "ReadSchema: struct<id:string,estado:string>" in plan
+
+
+def test_sources_and_migration(spark, tmp_path):
+    u = tablas.tabla(spark, SF, "umbrales")
+    tablas.guardar_umbrales(u, str(tmp_path / "u"))
+    assert sorted(map(tuple, tablas.leer_umbrales(spark, str(tmp_path / "u")).collect())) == sorted(map(tuple, u.collect()))
+    otro = spark.createDataFrame([("global", "parrafo", 0.1), ("nuevo", "x", 0.5)], u.schema)
+    assert {(r.ambito, r.clave) for r in tablas.leer_umbrales(spark, str(tmp_path / "u"), otro).collect()} == {(r.ambito, r.clave) for r in u.collect()} | {("nuevo", "x")}
+    c = tablas.tabla(spark, SF, "costos")
+    tablas.agregar(c, str(tmp_path / "c"))
+    tablas.agregar(c.limit(2), str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "c")).count() == c.count() + 2
+    for n, t in (("a.pdf", b" \n%PDF-1.7 x"), ("b.pdf", b""), ("c.pdf", b"<html>")):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / n).write_bytes(t)
+    a = tablas.archivos(spark, str(tmp_path / "in"))
+    r = {x.path[-5:]: x.f for x in a.select("path", tablas.fallo_de_archivo(F.col("length"), F.substring(F.col("content"), 1, 64).cast("string"), F.lit(3)).alias("f")).collect()}
+    assert r == {"a.pdf": None, "c.pdf": "no_es_pdf"}  # the reader passes over empty files
+    x = spark.createDataFrame([(0, "", 1), (None, None, None), (60_000_000, "%PDF-", 1), (9, "%PDF-", None), (9, "%PDF-", 1001), (9, "%PDF-", 1000)], "l int, i string, p int").select(tablas.fallo_de_archivo(F.col("l"), F.col("i"), F.col("p")).alias("f"))
+    assert [y.f for y in x.collect()] == ["vacio", "vacio", "muy_grande", "sin_paginas", "demasiadas_paginas", None]
+    g = spark.createDataFrame([(2, "b"), (1, "a")], "id int, v string")
+    m = tablas.migrar(g, {"w": 5, "v": "no"}, ("x",), unica=True)
+    assert [tuple(x) for x in tablas.migrar(m, {"w": 9}).collect()] == [(1, "a", 5)] and tablas.migrar(g, fuera=("v",)).columns == ["id"]
+
+
+def test_page_selection(spark):
+    p = spark.createDataFrame([("a", n, n * 10) for n in range(4)] + [("b", 0, 7)], "documento_id string, pagina int, v int")
+    r = tablas.extraer_paginas(p, spark.createDataFrame([("a", 3), ("a", 1), ("a", 3), ("a", 9)], "documento_id string, pagina int"))
+    assert sorted(map(tuple, r.collect())) == [("a", 0, 10, 1), ("a", 1, 30, 3), ("b", 0, 7, 0)]
+
+
+def test_ambiguous_repairs(spark):
+    assert [uno(spark, texto.reparacion_ambigua, x) for x in ("{a", "a}", "a)", r"\end{x}", r"\begin{x}\end{x}", "", "(a")] == [False, True, True, True, False, False, False]
+    c = spark.createDataFrame([("1", "a}", "{a}", False), ("2", "}{", "}{", True), ("3", "x", "x", False), ("4", None, None, False)], "bloque_id string, antes string, despues string, ortografia boolean")
+    assert {tuple(r) for r in correccion.reparaciones_por_escalar(c).collect()} == {("1", "ambigua"), ("2", "desequilibrada"), ("2", "ortografia")}
+    d = lambda *xs: spark.createDataFrame([(x,) for x in xs], "palabra string")
+    assert correccion.diccionario(d("a", "b"), d("b", "c")).count() == 3 and correccion.diccionario(d("a"), d("b"), "tecnico").first()[0] == "b"
+    with pytest.raises(ValueError):
+        correccion.diccionario(d("a"), d("b"), "otro")
+
+
+def test_scanned_components(spark):
+    filas = [("d", 0, "b", str(i), x, y, w, h, a) for i, (x, y, w, h, a) in enumerate([(0, 0, 10, 10, 60), (20, 0, 10, 10, 60), (40, 0, 40, 2, 60), (90, 0, 40, 2, 60), (140, 0, 10, 10, 60), (0, 60, 40, 2, 60), (50, 60, 10, 10, 60), (0, 0, 2, 2, 3)])]
+    c = spark.createDataFrame(filas, "documento_id string, pagina int, bloque_id string, id string, x int, y int, w int, h int, area int")
+    k = escaneado.componentes(c)
+    assert {r.id for r in k.where("es_formula").collect()} == {"2", "3", "5"} and k.count() == 7
+    t = escaneado.tramos(escaneado.lineas(k)).orderBy("linea", "tramo").collect()
+    assert [(r.linea, r.tipo, r.n, r.x0, r.x1) for r in t] == [(0, "texto", 2, 0, 35), (0, "formula_inline", 2, 35, 135), (0, "texto", 1, 135, 155), (1, "texto", 2, 0, 65)]
+    g = escaneado.rejilla(c, spark.createDataFrame([("b", 90, 60)], "bloque_id string, ancho int, alto int")).orderBy("pos").collect()
+    assert [(r.x0, r.y0, r.x1, r.y1) for r in g] == [(0, 0, 45, 30), (45, 0, 90, 30), (0, 30, 45, 60), (45, 30, 90, 60)]
+    assert escaneado.tramos(escaneado.lineas(escaneado.componentes(c.limit(0)))).count() == 0
+
+
+def test_live_recommendations_equal_batch(spark, tmp_path):
+    d = tablas.tabla(spark, SF, "decisiones").dropDuplicates(["id"]).select("tipo_bloque", "decision", "confianza_engine", "confianza_usuario")
+    d.coalesce(1).write.parquet(str(tmp_path / "in"))
+    u = tablas.tabla(spark, SF, "umbrales")
+    s = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
+    r = estado.drenar(estado.recomendaciones_vivas(s, u), spark, "vivas", "complete", str(tmp_path / "ck"))
+    f = lambda x: sorted((y.tipo_bloque, round(y.nuevo, 9), y.aplicable) for y in x.collect())
+    assert f(r) == f(revision.recomendaciones(tablas.tabla(spark, SF, "decisiones"), u)) and r.count() > 0
+    e = spark.createDataFrame([("d", n, 250) for n in range(1, 251)], "documento_id string, n int, total int")
+    assert estado.espaciado(e).count() == 125 and estado.espaciado(e.limit(0)).count() == 0

@@ -74,3 +74,59 @@ def test_escalation_budget(spark):
     a = {x.bloque_id: x for x in reconocimiento.aplicar_a_bloques(e).collect()}
     assert a["b1"].contenido == "r11" and not a["b1"].requiere_revision_humana and a["b0"].requiere_revision_humana and a["b3"].contenido is None
     assert reconocimiento.escalar(s, r, 0.0).where("requiere_revision_humana").count() == 1
+
+
+def test_native_pages_become_blocks(spark):
+    f = []
+
+    def linea(bloque, n, texto, y, tamano=10.0, fuente="Times", x=50.0, pagina=0):
+        for k, p in enumerate(texto.split(" ")):
+            f.append(("d", pagina, bloque, n, bloque * 1000 + n * 100 + k, p + " ", fuente, 0, tamano, x + 40 * k, y, x + 40 * k + 30, y + tamano))
+
+    linea(0, 0, "Capítulo 3", 5.0, 8.0)
+    linea(1, 0, "1.2 Anillos", 100.0, 14.0, "Times-Bold")
+    linea(2, 0, "Teorema 1. Sea un resour-", 200.0)
+    linea(2, 1, "ces here con second-", 212.0)
+    linea(2, 2, "year y final.", 224.0)
+    linea(2, 3, "   ", 236.0)
+    linea(3, 0, "Tema ..... 4", 300.0)
+    linea(4, 0, "here second year otras palabras de relleno para el cuerpo de la página", 400.0)
+    s = spark.createDataFrame(f, "documento_id string, pagina int, bloque int, linea int, seq int, texto string, fuente string, marcas int, tamano double, x0 double, y0 double, x1 double, y1 double")
+    p = spark.createDataFrame([("d", 0, 600.0, 800.0)], "documento_id string, pagina int, ancho double, alto double")
+    r = nativo.bloques_de_paginas(s, p).orderBy("orden").collect()
+    assert [(x.tipo, x.texto) for x in r] == [("ruido", "Capítulo 3"), ("encabezado", "1.2 Anillos"), ("teorema", "Teorema 1. Sea un resources here con second-year y final."), ("lista", "Tema … 4"), ("parrafo", "here second year otras palabras de relleno para el cuerpo de la página")]
+    assert [x.orden for x in r] == [0, 1, 2, 3, 4] and all(0 <= x.bbox.x0 <= x.bbox.x1 <= 1 for x in r)
+    assert nativo.bloques_de_paginas(s.limit(0), p).count() == 0
+
+
+def test_segments_of_a_paragraph(spark):
+    t = spark.createDataFrame([("d", 0, 0, 0, 0, 0, False, "Sea un resour-"), ("d", 0, 0, 0, 1, 0, False, "ces y "), ("d", 0, 0, 0, 1, 1, True, "x^2"), ("d", 0, 0, 0, 2, 0, True, "y"), ("d", 0, 0, 0, 2, 1, False, " fin"), ("d", 0, 0, 0, 3, 0, False, "")], "documento_id string, pagina int, bloque int, parrafo int, fila int, tramo int, formula boolean, texto string")
+    assert [tuple(x) for x in nativo.segmentos_de_parrafo(t).first().segmentos] == [("texto", "Sea un resources y "), ("formula", "x^2"), ("formula", "y"), ("texto", " fin")]
+
+
+def test_recognition_by_route(spark):
+    b = [("ru", "ruido", "requiere_ocr", "hibrido", False, "x", 0.5, True), ("na", "parrafo", "texto_nativo", "hibrido", False, "tal cual", 0.5, True), ("nf", "parrafo", "texto_nativo", "hibrido", False, "plano", 0.5, True), ("ni", "parrafo", "texto_nativo", "hibrido", False, "plano", 0.5, False),
+         ("tr", "parrafo", "requiere_ocr", "hibrido", True, "leído", 0.4, True), ("fd", "formula_display", "requiere_ocr", "hibrido", False, None, 0.5, True), ("ta", "tabla", "requiere_ocr", "hibrido", False, None, 0.5, True), ("tf", "lema", "requiere_ocr", "hibrido", False, None, 0.5, True),
+         ("si", "lista", "requiere_ocr", "hibrido", False, None, 0.5, True), ("ia", "parrafo", "texto_nativo", "solo_ia", False, "no se mira", 0.5, True), ("va", "lista", "requiere_ocr", "hibrido", False, None, None, True)]
+    s = [("nf", 0, "texto", "Sea"), ("nf", 1, "formula", "x?"), ("nf", 2, "formula", "y?"), ("ni", 0, "formula", "z"), ("tf", 0, "texto", None), ("tf", 1, "formula_inline", None)]
+    r = [("nf", 1, "x^2", 0.9, None, None), ("nf", 2, "y{", 0.2, None, None), ("fd", -1, r"\frac{1}{2}", 1.0, None, None), ("ta", 0, "x^2+1", 0.8, "no", 0.1), ("ta", 1, "ab", 0.9, "texto", 0.6), ("tf", 0, None, None, "Sea", 1.0), ("tf", 1, "a", 1.0, None, None), ("si", -1, None, None, "uno", 0.1), ("ia", -1, "leído", 0.5, None, None)]
+    c = [("ta", 1, 3, p) for p in range(3)]
+    x = reconocimiento.reconocer(
+        spark.createDataFrame(b, "bloque_id string, tipo string, origen string, modo string, transcrito boolean, texto string, confianza_layout double, hay_imagen boolean"), spark.createDataFrame(s, "bloque_id string, idx int, tipo string, contenido string"),
+        spark.createDataFrame(c, "bloque_id string, filas int, columnas int, pos int"), spark.createDataFrame(r, "bloque_id string, idx int, latex string, conf_latex double, texto string, conf_texto double"),
+    )
+    got = {y.bloque_id: (y.ruta, y.contenido, len(y.micro_segmentos), round(y.confianza, 3), y.requiere_escalacion) for y in x.collect()}
+    assert got == {
+        "ru": ("sin_reconocer", "", 0, 1.0, False), "na": ("nativo", "tal cual", 0, 0.95, False), "nf": ("nativo_con_formulas", "Sea $x^2$ y?", 2, 0.595, True), "ni": ("nativo_con_formulas", "plano", 0, 0.7, False), "tr": ("ya_transcrito", "leído", 1, 0.4, True),
+        "fd": ("formula_display", r"\frac{1}{2}", 1, 0.85, False), "ta": ("tabla", "| x^2+1 | texto |  |\n| --- | --- | --- |", 0, 0.7, False), "tf": ("texto_con_formulas", "Sea $a$", 2, 0.85, False), "si": ("simple", "uno", 1, 0.49, True), "ia": ("solo_ia", "leído", 1, 0.65, False), "va": ("simple", "", 0, 0.0, True),
+    }
+
+
+def test_answers_of_the_second_queue(spark):
+    i = spark.createDataFrame([("d", "a", "x", 1), ("d", "b", "y", 2), ("e", "a", "z", 5)], "documento_id string, clase string, detalle string, pagina int")
+    r = spark.createDataFrame([("d", "texto", 0.9, 0.5, False)], "documento_id string, contenido string, confianza double, costo double, requiere_revision_humana boolean")
+    x = reconocimiento.resolver_inconsistencias(i, r)
+    assert {(y.documento_id, y.clase, y.costo, y.costo_propio, y.requiere_revision_humana) for y in x.collect()} == {("d", "a", 0.5, 0.5, False), ("d", "b", 0.5, 0.0, False), ("e", "a", 0.0, 0.0, True)}
+    b = spark.createDataFrame([("1", "e", 5), ("2", "e", 6), ("3", "d", 1), ("1", "e", 5)], "id string, documento_id string, pagina int")
+    e = spark.createDataFrame([("d", "3", True), ("d", "4", False)], "documento_id string, bloque_id string, requiere_revision_humana boolean")
+    assert {tuple(y) for y in reconocimiento.para_revision(b, e, x).collect()} == {("e", "1"), ("d", "3")}
