@@ -20,6 +20,7 @@ NINGUNO = len(IDIOMAS)  # the label of words that are in no language
 CUBOS = 1 << 15
 MIN_PALABRAS = 12
 MAX_DOCS, MAX_BLOQUES_DOC = 80, 4  # training sample: documents per label, blocks per document
+MAX_LARGO = 100_000  # characters of a block of the training sample
 TROZO_MAX = 60  # longer training sentences are learned in pieces
 MIN_INSERTO = 3  # words of another language within a sentence from which they are a segment of their own
 
@@ -374,7 +375,7 @@ def muestra(documentos: DataFrame, bloques: DataFrame, max_docs: int = MAX_DOCS,
     umbral = F.coalesce(*[F.when(F.col("k") == k, F.lit(int(1e6 * min(1.0, max_docs / c)))) for k, c in n.items()])
     d = d.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < umbral)
     w = Window.partitionBy("documento_id").orderBy(F.xxhash64("bid"), "bid")
-    b = bloques.where("length(texto_plano) > 60").select(F.col("id").alias("bid"), "documento_id", "texto_plano")
+    b = bloques.where(f"length(texto_plano) between 61 and {MAX_LARGO}").select(F.col("id").alias("bid"), "documento_id", "texto_plano")
     # the sampled documents are at most about 5 * max_docs; the window keeps max_bloques rows of each before and after its shuffle
     filas = b.join(F.broadcast(d), b.documento_id == d.id).withColumn("n", F.row_number().over(w)).where(F.col("n") <= max_bloques).select("bid", "k", "texto_plano").collect()
     return [(w, IDIOMAS.index(f.k)) for f in sorted(filas) for w, frase in frases(f.texto_plano) if frase]
