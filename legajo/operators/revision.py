@@ -7,7 +7,7 @@ import base64
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from legajo.functions.texto import primero_no_vacio, recortar, tipo_normal
+from legajo.functions.texto import ngramas, primero_no_vacio, recortar, tipo_normal
 from legajo.operators.orden import numerar
 from legajo.sources.tablas import unicos
 
@@ -60,9 +60,10 @@ def en_orden(bloques: DataFrame) -> DataFrame:
 def cola_de_revision(bloques: DataFrame) -> DataFrame:
     """Pending blocks with their place in the document's queue: lowest confidence first, null last, then reading order."""
     b = unicos(bloques, "documento_id", "pagina", "orden_lectura", "confianza_global", "estado_revision").where("estado_revision = 'pendiente'")
-    # a step of confidence and a page cut the queue of a large document into pieces; none comes last
-    paso = F.struct(F.coalesce(F.col("confianza_global"), F.lit(float("inf"))).alias("c"), F.col("pagina").alias("p"))
-    n = numerar(b, "documento_id", paso, ["orden_lectura", "id"], "puesto")
+    # thousandths of confidence cut the queue of a large document into pieces; no number, then none, come last
+    c = F.col("confianza_global")
+    paso = F.when(c.isNull(), 5000).when(F.isnan(c), 4000).otherwise(F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(3.0), c)) * 1000))
+    n = numerar(b, "documento_id", paso, [F.asc_nulls_last("confianza_global"), "pagina", "orden_lectura", "id"], "puesto")
     return n.select("documento_id", F.col("id").alias("bloque_id"), "confianza_global", "puesto")
 
 
@@ -184,20 +185,16 @@ def contenido_vigente(bloques: DataFrame, decisiones: DataFrame) -> DataFrame:
 def bleu(pares: DataFrame, n_max: int = 4) -> DataFrame:
     """``(bleu, pares)`` of the whole corpus ``pares(id, candidato, referencia)``: clipped n-gram counts, brevity penalty.
 
-    N-grams are counted per pair and n before they are summed; one row comes out.
+    The n-grams of both sides leave the row as hashes and are counted per pair and n in one
+    shuffle, then summed; one row comes out.
     """
-    from legajo.functions.texto import ngramas
-
     palabras = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
     p = pares.select("id", palabras(F.col("candidato")).alias("c"), palabras(F.col("referencia")).alias("r"))
     largo = p.agg(F.sum(F.size("c")).alias("lc"), F.sum(F.size("r")).alias("lr"), F.count("*").alias("pares"))
-
-    def cuenta(lado: str) -> DataFrame:
-        g = F.explode(F.flatten(F.array(*[ngramas(F.col(lado), n) for n in range(1, n_max + 1)])))
-        return p.select("id", g.alias("g")).groupBy("id", "g").agg(F.count("*").alias(f"n_{lado}"))
-
-    j = cuenta("c").join(cuenta("r"), ["id", "g"], "left").withColumn("n", F.size(F.split("g", " ")))
-    s = j.groupBy("n").agg(F.sum("n_c").alias("total"), F.sum(F.least("n_c", F.coalesce("n_r", F.lit(0)))).alias("igual"))
+    uno = lambda lado, n, c, r: F.transform(ngramas(F.col(lado), n), lambda x: F.struct(F.lit(n).alias("n"), F.xxhash64(x).alias("h"), F.lit(c).alias("c"), F.lit(r).alias("r")))
+    g = p.select("id", F.explode(F.concat(*[uno(lado, n, int(lado == "c"), int(lado == "r")) for n in range(1, n_max + 1) for lado in "cr"])).alias("x"))
+    j = g.groupBy("id", "x.n", "x.h").agg(F.sum("x.c").alias("n_c"), F.sum("x.r").alias("n_r"))
+    s = j.groupBy("n").agg(F.sum("n_c").alias("total"), F.sum(F.least("n_c", "n_r")).alias("igual"))
     f = s.agg(F.count_if(F.col("igual") > 0).alias("ordenes"), F.sum(F.when(F.col("igual") > 0, F.log(F.col("igual") / F.col("total")))).alias("suma"))
     bp = F.when(F.col("lc") > F.col("lr"), 1.0).otherwise(F.exp(1 - F.col("lr") / F.nullif(F.col("lc"), F.lit(0))))
-    return f.crossJoin(largo).select(F.coalesce(F.when(F.col("ordenes") == n_max, bp * F.exp(F.col("suma") / n_max)), F.lit(0.0)).alias("bleu"), "pares")
+    return f.crossJoin(largo).select(F.coalesce(F.when(F.col("ordenes") == n_max, bp * F.exp(F.col("suma") / n_max)), F.lit(0.0)).alias("bleu"), "pares")  # one row each
