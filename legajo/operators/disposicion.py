@@ -46,6 +46,25 @@ def orden_de_cajas(c: DataFrame) -> DataFrame:
     return j.select(*PAGINA, "bloque_id", (F.row_number().over(w) - 1).alias("orden"))
 
 
+def lado_de_calle(c: DataFrame, nombre: str) -> DataFrame:
+    """Adds ``nombre``: 1 for a box right of the street of its page, else 0; the rule of ``calles`` beside the rows.
+
+    The 31 cuts are counts over the page's rows, so rows that were costly to get are read
+    once and carry what else they hold.
+    """
+    w = Window.partitionBy(*PAGINA)
+    mn, n = F.min("x0").over(w), F.count("*").over(w)
+    c = c.withColumns({"_mn": mn, "_mx": F.max("x1").over(w), "_n": n})
+    ini, fin = (F.col("_mn") + (F.col("_mx") - F.col("_mn")) * k for k in BANDA)
+    corte = [ini + (fin - ini) * F.lit(i) / PASOS for i in range(PASOS + 1)]
+    c = c.withColumns({f"_c{i}": F.struct(F.count_if((F.col("x0") < x) & (x < F.col("x1"))).over(w).alias("cruzan"), F.count_if(F.col("x1") <= x).over(w).alias("izq"), x.alias("x"), F.lit(-i).alias("i")) for i, x in enumerate(corte)})
+    libres = F.filter(F.array(*[f"_c{i}" for i in range(PASOS + 1)]), lambda k: (k["cruzan"] == 0) & (F.least(k["izq"], F.col("_n") - k["izq"]) / F.col("_n") >= MIN_LADO))
+    mejor = F.array_max(F.transform(libres, lambda k: F.struct(F.least(k["izq"], F.col("_n") - k["izq"]).alias("menor"), k["i"].alias("i"), k["x"].alias("x"))))["x"]
+    calle = F.when((F.col("_n") >= MIN_BLOQUES) & (F.col("_mx") > F.col("_mn")), mejor)
+    c = c.withColumn("_calle", calle).withColumn(nombre, F.when(F.col("_calle").isNull(), 0).otherwise((F.col("x1") > F.col("_calle")).cast("int")))
+    return c.drop("_mn", "_mx", "_n", "_calle", *[f"_c{i}" for i in range(PASOS + 1)])
+
+
 def renglones(c: DataFrame, tolerancia: float = 0.5) -> DataFrame:
     """Visual rows of a page: a box joins the row before it if its top is within half that box's height.
 

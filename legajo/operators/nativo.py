@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from legajo.functions.geometria import normalizar
 from legajo.functions.texto import clasificar, limpiar, recortar
+from legajo.sources.tablas import fijar
 
 PAGINA = ["documento_id", "pagina"]
 # --- fixed values: typographic signals ----------------------------------------------------------
@@ -80,10 +81,12 @@ def filas(lineas: DataFrame) -> DataFrame:
 
 def parrafos(f: DataFrame) -> DataFrame:
     """Adds ``parrafo`` to rows: a new one at a wide gap, an indent, a bullet, a jump in size, or leader dots here or before."""
-    margen = margen_modal(f)
     w = Window.partitionBy(*PAGINA, "bloque").orderBy("fila")
     todo = Window.partitionBy(*PAGINA, "bloque")
-    s = f.join(margen, PAGINA, "left").withColumn("hueco", F.col("y0") - F.lag("y0").over(w))
+    # margen_modal beside its rows, so that they are not computed twice
+    s = f.withColumn("_x", F.round("x0")).withColumn("_n", F.count("*").over(Window.partitionBy(*PAGINA, "_x")))
+    s = s.withColumn("margen", F.max_by("_x", F.struct("_n", -F.col("_x"))).over(Window.partitionBy(*PAGINA))).drop("_x", "_n")
+    s = s.withColumn("hueco", F.col("y0") - F.lag("y0").over(w))
     s = s.withColumn("mediana", F.median("hueco").over(todo))
     guia = F.col("texto").rlike(PUNTOS_GUIA)
     corta = (
@@ -166,6 +169,24 @@ def lineas_de_spans(marcados: DataFrame) -> DataFrame:
     )
 
 
+def lineas_de_pagina(spans: DataFrame) -> DataFrame:
+    """The rows of ``lineas_de_spans(marcar(spans))`` in one pass over the spans: their sizes first, then the line.
+
+    The marks of single spans (formula, italic) do not count for a line, so no span meets
+    its line in a join.
+    """
+    largo = F.length("texto")
+    cajas = [(F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1")]
+    t = spans.dropna(subset=LINEA).withColumn("_t", F.round("tamano", 1)).groupBy(*LINEA, "_t").agg(
+        F.sum(largo).alias("_n"), F.sum(F.when(es_negrita(F.col("fuente"), F.col("marcas")), largo).otherwise(0)).alias("_m"), F.min("seq").alias("seq"), F.collect_list(F.struct("seq", "texto")).alias("_p"), *[f(c).alias(c) for f, c in cajas]
+    )
+    n, m = F.sum("_n"), F.sum("_m")
+    texto = F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("_p"))), lambda x: x["texto"]), "")
+    return t.groupBy(*LINEA).agg(
+        F.min("seq").alias("seq"), limpiar(texto).alias("texto"), *[f(c).alias(c) for f, c in cajas], F.max_by("_t", F.struct("_n", -F.col("seq"))).alias("tamano"), ((n > 0) & (2 * m >= n)).alias("negrita")
+    )
+
+
 def uniones(filas_: DataFrame, palabras: DataFrame) -> DataFrame:
     """Adds ``pieza`` to the rows of paragraphs: the text as it stands in the joined paragraph, with what separates it from the row before.
 
@@ -200,23 +221,28 @@ def bloques_de_paginas(spans: DataFrame, paginas: DataFrame) -> DataFrame:
     in the margin is noise, leader dots make an entry of an index, all else is classified
     by its text, weight and size; blocks are put in reading order.
     """
-    from legajo.operators.disposicion import orden_de_cajas
-
-    l = lineas_de_spans(marcar(spans))
-    v = vocabulario(l.select(*PAGINA, "seq", "texto"))
-    p = uniones(parrafos(filas(l)), v)
+    from legajo.operators.disposicion import lado_de_calle
+
+    # lines are kept: rows, divided words, vocabulary and body size read them, none goes back to the spans
+    l = fijar(lineas_de_pagina(spans))
+    # lines stand by block and place in it: seq may start anew in every block
+    v = vocabulario(l.select(*PAGINA, F.struct("bloque", "linea").alias("seq"), "texto"))
+    # rows of a page lie together from here on: its windows and joins move them no more
+    p = uniones(parrafos(filas(l.repartition(*PAGINA))), v).repartition(*PAGINA)
     texto = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fila", "pieza"))), lambda x: x["pieza"]), "")
     g = p.groupBy(*PAGINA, "bloque", "parrafo").agg(
         texto.alias("texto"), F.count("*").alias("filas"), F.min_by("negrita", "fila").alias("negrita"), F.max("tamano").alias("tamano"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
     )
-    j = g.join(tamano_cuerpo(l), PAGINA, "left").join(paginas, PAGINA)
+    lugar = F.row_number().over(Window.partitionBy(*PAGINA).orderBy("bloque", "linea"))
+    cuerpo = tamano_cuerpo(l.select(*PAGINA, "tamano", "texto", lugar.alias("seq")))
+    j = g.join(cuerpo, PAGINA, "left").join(paginas, PAGINA)
     ruido = (F.col("filas") == 1) & es_ruido(F.col("texto"), F.col("tamano"), F.col("cuerpo"), F.col("y0"), F.col("y1"), F.col("alto"))
     guia = F.col("texto").rlike(PUNTOS_GUIA)
     t = F.when(guia & ~ruido, limpiar(F.regexp_replace("texto", PUNTOS_GUIA, " … "))).otherwise(F.col("texto"))
     tipo = F.when(ruido, "ruido").when(guia, "lista").otherwise(clasificar(F.col("texto"), F.col("negrita"), F.col("tamano") / F.nullif("cuerpo", F.lit(0.0)), F.col("filas")))
-    b = j.select(*PAGINA, "bloque", "parrafo", tipo.alias("tipo"), t.alias("texto"), F.concat_ws("/", F.lpad(F.col("bloque").cast("string"), 9, "0"), F.lpad(F.col("parrafo").cast("string"), 9, "0")).alias("bloque_id"), *[normalizar(F.col(c), F.col(m)).alias(c) for c, m in (("x0", "ancho"), ("y0", "alto"), ("x1", "ancho"), ("y1", "alto"))])
-    o = orden_de_cajas(b.select(*PAGINA, "bloque_id", "x0", "y0", "x1", "y1"))
-    return b.join(o, [*PAGINA, "bloque_id"]).select(*PAGINA, "bloque", "parrafo", "orden", "tipo", "texto", F.struct("x0", "y0", "x1", "y1").alias("bbox"), F.lit("texto_nativo").alias("origen_contenido"))
+    b = j.select(*PAGINA, "bloque", "parrafo", tipo.alias("tipo"), t.alias("texto"), *[normalizar(F.col(c), F.col(m)).alias(c) for c, m in (("x0", "ancho"), ("y0", "alto"), ("x1", "ancho"), ("y1", "alto"))])
+    o = Window.partitionBy(*PAGINA).orderBy("_lado", "y0", "x0", "bloque", "parrafo")
+    return lado_de_calle(b, "_lado").select(*PAGINA, "bloque", "parrafo", (F.row_number().over(o) - 1).alias("orden"), "tipo", "texto", F.struct("x0", "y0", "x1", "y1").alias("bbox"), F.lit("texto_nativo").alias("origen_contenido"))
 
 
 def segmentos_de_parrafo(tramos_: DataFrame) -> DataFrame:

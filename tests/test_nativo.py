@@ -1,9 +1,11 @@
 """Native page text and recognition on small fixtures."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from legajo.operators import nativo, reconocimiento
+from legajo.operators import disposicion, nativo, reconocimiento
 
 
 def lineas(spark, filas):
@@ -99,6 +101,36 @@ def test_native_pages_become_blocks(spark):
     assert nativo.bloques_de_paginas(s.limit(0), p).count() == 0
 
 
+ESPANES = "documento_id string, pagina int, bloque int, linea int, seq int, texto string, fuente string, marcas int, tamano double, x0 double, y0 double, x1 double, y1 double"
+
+
+def test_native_pages_read_their_spans_once(spark, tmp_path):
+    """The plan stays small whatever is asked of a line; seq that starts anew in each block does not mix the lines of a page."""
+    f = []
+    for bloque, lineas_ in enumerate((["Sea un cons-", "truction dada"], ["otra cons-", "tante y truction"], ["cons", "fin"], ["x"], ["y"])):
+        x, y = (0.0, 50.0 + 50.0 * bloque) if bloque < 3 else (300.0, 10.0 * bloque)
+        for n, t in enumerate(lineas_):
+            f += [("d", 0, bloque, n, n * 100 + k, p + " ", "Times", 0, 10.0, x + 20 * k, y + 12 * n, x + 20 * k + 15, y + 12 * n + 10) for k, p in enumerate(t.split(" "))]
+    f.append((None, 0, 0, 0, 0, "sin documento", "Times", 0, 10.0, 0.0, 0.0, 1.0, 1.0))
+    spark.createDataFrame(f, ESPANES).write.parquet(str(tmp_path / "s"))
+    p = spark.createDataFrame([("d", 0, 600.0, 800.0)], "documento_id string, pagina int, ancho double, alto double")
+    r = nativo.bloques_de_paginas(spark.read.parquet(str(tmp_path / "s")), p)
+    plan = r._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 0 and plan.count("LogicalRDD") <= 8
+    b = {x.bloque: x for x in r.collect()}
+    assert b[0].texto == "Sea un cons-truction dada" and b[1].texto == "otra constante y truction"
+    assert [b[k].orden for k in range(5)] == [0, 1, 2, 3, 4]  # the left column first
+
+
+def test_side_of_street_is_that_of_calles(spark):
+    g = random.Random(3)
+    f = [(f"d{d}", p, f"b{k}", x := g.choice([0.05, 0.1, 0.5, 0.55]) + g.random() * 0.03, y := g.random() * 0.9, x + g.choice([0.2, 0.35, 0.5]), y + 0.05) for d in range(12) for p in range(2) for k in range(g.randrange(1, 12))]
+    c = spark.createDataFrame(f, "documento_id string, pagina int, bloque_id string, x0 double, y0 double, x1 double, y1 double")
+    calle = {(x.documento_id, x.pagina): x.calle for x in disposicion.calles(c).collect()}
+    r = disposicion.lado_de_calle(c, "lado").collect()
+    assert 0 < len(calle) < 24 and len(r) == len(f) and all(x.lado == int(x.x1 > calle.get((x.documento_id, x.pagina), 9.0)) for x in r)
+
+
 def test_segments_of_a_paragraph(spark):
     t = spark.createDataFrame([("d", 0, 0, 0, 0, 0, False, "Sea un resour-"), ("d", 0, 0, 0, 1, 0, False, "ces y "), ("d", 0, 0, 0, 1, 1, True, "x^2"), ("d", 0, 0, 0, 2, 0, True, "y"), ("d", 0, 0, 0, 2, 1, False, " fin"), ("d", 0, 0, 0, 3, 0, False, "")], "documento_id string, pagina int, bloque int, parrafo int, fila int, tramo int, formula boolean, texto string")
     assert [tuple(x) for x in nativo.segmentos_de_parrafo(t).first().segmentos] == [("texto", "Sea un resources y "), ("formula", "x^2"), ("formula", "y"), ("texto", " fin")]
