@@ -9,11 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from legajo.llm.comun import Difundido, forma_unica
+from legajo.llm.comun import Difundido, fijar, forma_unica
 
 VENTANA, PASO = 24, 12
 H, DW, DC, DA = 12, 10, 14, 8
@@ -23,7 +23,7 @@ MAX_FONDO = 2000
 MAX_LARGO = 100_000  # characters of a document of the training sample; longer ones are scored like any other
 LOTE = 128
 UMBRAL_PREVIO = 0.8
-_AJUSTADAS: dict[int, tuple] = {}  # the last fit, by its sample
+_AJUSTADAS: dict[int, Red] = {}  # the last fit, by its sample
 TIPICO = 2.0  # log ratio of document frequencies from which a trigram is typical of positive documents
 _TROZO = re.compile(r"[^\W_]+(?:[@#$*0-9!']+[^\W_]+)*")
 # --- fixed values: digits and signs that stand for letters ---------------------------------
@@ -339,6 +339,16 @@ def entrenar(textos: list[str], metas: list[float], rondas: int = 4, pasos: int
     return red
 
 
+def juicios(etiquetas: DataFrame) -> DataFrame:
+    """``(doc_id, meta)``: mean judgement of each judged document; null judgements do not count, ties between annotators are left out."""
+    return etiquetas.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("meta")).where("meta <> 0.5")
+
+
+def en_muestra(n: int, maximo: int = MAX_ENTRENAMIENTO) -> Column:
+    """Does a document, one of ``n`` judged ones, belong to the sample for training?"""
+    return F.lit(True) if n <= maximo else F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1e6 * maximo / n)
+
+
 def muestra_etiquetada(documentos: DataFrame, etiquetas: DataFrame, maximo: int = MAX_ENTRENAMIENTO, fondo: int = MAX_FONDO) -> tuple[list[str], list[float], list[bool]]:
     """Texts, mean judgement, and whether judged, of at most about ``maximo`` judged documents, chosen by a hash of the id.
 
@@ -348,10 +358,8 @@ def muestra_etiquetada(documentos: DataFrame, etiquetas: DataFrame, maximo: int
     each language and source (256 strata by hash), so that the formulas of a small forum
     are known as well as those of a large one.
     """
-    e = etiquetas.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("meta")).where("meta <> 0.5")
-    n = e.count()
-    if n > maximo:
-        e = e.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1e6 * maximo / n))
+    e = juicios(etiquetas)
+    e = e.where(en_muestra(e.count(), maximo))
     # the sample has a stated bound, so its ids may be broadcast
     corto = documentos.where(F.length("text") <= MAX_LARGO)
     d = corto.select("doc_id", "text")
@@ -367,37 +375,49 @@ def muestra_etiquetada(documentos: DataFrame, etiquetas: DataFrame, maximo: int
     return [f[0] for f in filas], [f[1] for f in filas], [f[2] for f in filas]
 
 
-def notas(red: Red, textos: list[str]) -> np.ndarray:
-    """Highest window score of each text, in the driver (for the held-out part of the sample)."""
-    lex = Lexico()
-    cod = [lex.codigos(t) for t in textos]
-    v = [(c[i:j], n) for n, c in enumerate(cod) for i, j in ventanas(len(c))]
-    salida = np.zeros(len(textos))
-    if v:
-        idx, vale = _matriz([x for x, _ in v])
-        np.maximum.at(salida, np.array([n for _, n in v]), red.puntuar(red.entradas(lex.palabras), idx, vale))
-    return salida
+REJILLA = [round(0.3 + 0.05 * k, 2) for k in range(14)]  # thresholds to choose from
 
 
-def elegir_umbral(puntos: np.ndarray, metas: np.ndarray, previo: float = UMBRAL_PREVIO) -> float:
-    """The score threshold with the best harmonic mean of precision and recall on held-out documents; on ties the one nearest ``previo``."""
+def mejor_umbral(bien: list[int], altos: list[int], positivos: int, previo: float = UMBRAL_PREVIO) -> float:
+    """The threshold of ``REJILLA`` with the best harmonic mean, from the true and all documents at or above each; on ties the one nearest ``previo``."""
+    f = [2 * b / max(1, a + positivos) for b, a in zip(bien, altos)]
     mejor, elegido = -1.0, previo
-    for u in sorted(np.round(np.arange(0.3, 0.96, 0.05), 2), key=lambda u: abs(u - previo)):
-        bien = int(((puntos >= u) & (metas > 0.5)).sum())
-        f = 2 * bien / max(1, int((puntos >= u).sum()) + int((metas > 0.5).sum()))
-        if f > mejor + 1e-9:
-            mejor, elegido = f, float(u)
+    for k in sorted(range(len(REJILLA)), key=lambda k: abs(REJILLA[k] - previo)):
+        if f[k] > mejor + 1e-9:
+            mejor, elegido = f[k], REJILLA[k]
     return elegido
 
 
-def ajustar(textos: list[str], metas: list[float], juzgado: list[bool]) -> tuple[Red, float]:
-    """Network and threshold: one judged document in five, by a hash of its text, is held out of the training and sets the threshold."""
+def elegir_umbral(puntos: np.ndarray, metas: np.ndarray, previo: float = UMBRAL_PREVIO) -> float:
+    """``mejor_umbral`` of scores and judgements in arrays."""
+    return mejor_umbral([int(((puntos >= u) & (metas > 0.5)).sum()) for u in REJILLA], [int((puntos >= u).sum()) for u in REJILLA], int((metas > 0.5).sum()), previo)
+
+
+def apartado() -> Column:
+    """One document in five, by a hash of its text, is never trained on while it is judged; nor is one too long for the sample."""
+    return (F.crc32("text") % 5 == 0) | (F.length("text") > MAX_LARGO)
+
+
+def umbral_de(puntuados: DataFrame, etiquetas: DataFrame, maximo: int = MAX_ENTRENAMIENTO) -> float:
+    """Threshold from all judged documents that were not trained on: counts over ``puntuados(doc_id, puntaje, apartado)``.
+
+    Scores and judgements meet in a join of ids, no text moves; 29 counts come to the driver.
+    """
+    e = juicios(etiquetas)
+    j = puntuados.where("apartado is not null").select("doc_id", "puntaje", "apartado").distinct().join(e.withColumn("_m", en_muestra(e.count(), maximo)), "doc_id").where("apartado or not _m")
+    si = F.col("meta") > 0.5
+    c = j.agg(F.count_if(si), *[F.count_if((F.col("puntaje") >= u) & si) for u in REJILLA], *[F.count_if(F.col("puntaje") >= u) for u in REJILLA]).first()
+    return mejor_umbral(list(c[1 : 1 + len(REJILLA)]), list(c[1 + len(REJILLA) :]), c[0])
+
+
+def ajustar(textos: list[str], metas: list[float], juzgado: list[bool]) -> Red:
+    """The network of a sample; its judged documents that ``apartado`` names are held out."""
     clave = zlib.crc32(repr((textos, metas)).encode("utf-8", "replace"))
     if clave not in _AJUSTADAS:
-        fuera = np.array([j and zlib.crc32(t.encode("utf-8", "replace")) % 5 == 0 for t, j in zip(textos, juzgado)], bool)
-        red = entrenar([t for t, f in zip(textos, fuera) if not f], [m for m, f in zip(metas, fuera) if not f])
+        dentro = [not (j and zlib.crc32(t.encode("utf-8", "replace")) % 5 == 0) for t, j in zip(textos, juzgado)]
+        red = entrenar([t for t, d in zip(textos, dentro) if d], [m for m, d in zip(metas, dentro) if d])
         _AJUSTADAS.clear()
-        _AJUSTADAS[clave] = red, elegir_umbral(notas(red, [t for t, f in zip(textos, fuera) if f]), np.array(metas, float)[fuera])
+        _AJUSTADAS[clave] = red
     return _AJUSTADAS[clave]
 
 
@@ -456,10 +476,17 @@ def puntuar(documentos: DataFrame, red: Red, *otras: str) -> DataFrame:
     return e.mapInArrow(tarea, T.StructType([e.schema[0], *T.StructType.fromDDL("puntaje double, ventanas int").fields, *e.schema.fields[2:]]))
 
 
+def con_umbral(documentos: DataFrame, etiquetas: DataFrame, *otras: str) -> tuple[DataFrame, float]:
+    """Every document scored once, ``(doc_id, puntaje, ventanas, *otras)``, and the threshold; the scores, which hold no text, are kept for both."""
+    red = ajustar(*muestra_etiquetada(documentos, etiquetas))
+    p = fijar(puntuar(documentos.withColumn("apartado", apartado()), red, "apartado", *otras))
+    return p.drop("apartado"), umbral_de(p, etiquetas)
+
+
 def puntajes(documentos: DataFrame, etiquetas: DataFrame) -> DataFrame:
-    """``(doc_id, puntaje, ventanas, toxico)`` with a network trained on a bounded sample of the judgements; ``toxico``: the score reaches the held-out threshold."""
-    red, umbral = ajustar(*muestra_etiquetada(documentos, etiquetas))
-    return puntuar(documentos, red).withColumn("toxico", F.col("puntaje") >= umbral)
+    """``(doc_id, puntaje, ventanas, toxico)`` with a network trained on a bounded sample of the judgements; ``toxico``: the score reaches the threshold set by all judged documents outside it."""
+    p, umbral = con_umbral(documentos, etiquetas)
+    return p.withColumn("toxico", F.col("puntaje") >= umbral)
 
 
 def hallados(documentos: DataFrame, etiquetas: DataFrame) -> DataFrame:
@@ -469,9 +496,9 @@ def hallados(documentos: DataFrame, etiquetas: DataFrame) -> DataFrame:
 
 def tasas(documentos: DataFrame, etiquetas: DataFrame) -> DataFrame:
     """``(source, n_docs, n_toxicos, tasa)`` per source; null is a source, a repeated document counts once."""
-    red, umbral = ajustar(*muestra_etiquetada(documentos, etiquetas))
     # the source travels with the text, so nothing is joined
-    p = puntuar(documentos, red, "source").groupBy("source", "doc_id").agg(F.max("puntaje").alias("puntaje"))
+    p, umbral = con_umbral(documentos, etiquetas, "source")
+    p = p.groupBy("source", "doc_id").agg(F.max("puntaje").alias("puntaje"))
     return (
         p.groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if(F.col("puntaje") >= umbral).alias("n_toxicos"))
         .withColumn("tasa", F.col("n_toxicos") / F.col("n_docs"))

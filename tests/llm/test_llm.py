@@ -2,6 +2,7 @@
 
 import random
 import sys
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -397,3 +398,18 @@ def test_sample_of_judgements(spark):
     t, m, j = toxicidad.muestra_etiquetada(d, e)
     assert sorted((a, b) for a, b, c in zip(t, m, j) if c) == [("texto 1", 1.0), ("texto 3", 0.0)] and len(t) == len(set(t)) > 50 and all(b == 0 for b, c in zip(m, j) if not c)
     assert toxicidad.hallados(d, e.limit(0)).count() == 0 and toxicidad.tasas(d, e).count() == 1
+
+
+def test_threshold_from_all_judged_documents(spark):
+    """Documents beyond the sample of the training set the threshold too, long ones included."""
+    g = random.Random(4)
+    metas = {i: i % 3 == 0 for i in range(600)}
+    puntos = {i: (0.55 if m else 0.1) + 0.3 * g.random() for i, m in metas.items()}
+    d = spark.createDataFrame([(i, f"texto {i} " + "x" * (100_001 if i % 50 == 0 else 1), puntos[i]) for i in metas] + [(900, None, 0.0), (3, "texto 3 x", puntos[3])], "doc_id long, text string, puntaje double").withColumn("apartado", toxicidad.apartado())
+    e = spark.createDataFrame([(i, int(m)) for i, m in metas.items()] + [(900, 1), (5, 1), (6, None)], "doc_id long, toxic int")
+    muestra = set(toxicidad.muestra_etiquetada(d.select("doc_id", "text"), e, 100, 0)[0])
+    fuera = [r.doc_id for r in d.where("text is not null").collect() if r.doc_id != 5 and (r.text not in muestra or zlib.crc32(r.text.encode()) % 5 == 0)]
+    assert len(fuera) > 450 and sum(i % 50 == 0 for i in fuera) == 12
+    assert toxicidad.umbral_de(d, e, 100) == toxicidad.elegir_umbral(np.array([puntos[i] for i in set(fuera)]), np.array([float(metas[i]) for i in set(fuera)]))
+    bajos = d.withColumn("puntaje", F.when(toxicidad.en_muestra(599, 100), 0.95).otherwise(F.col("puntaje") / 2 + 0.05))
+    assert toxicidad.umbral_de(bajos, e, 100) < 0.5  # what lies outside of the sample decides
