@@ -74,8 +74,9 @@ def filas(lineas: DataFrame) -> DataFrame:
     s = lineas.withColumn("c", F.coalesce((F.abs(F.col("y0") - F.lag("y0").over(w)) > 0.5 * (F.lag("y1").over(w) - F.lag("y0").over(w))).cast("int"), F.lit(1))).withColumn("fila", F.sum("c").over(w) - 1)
     texto = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "seq", "texto"))), lambda x: x["texto"]), " ")
     n, marcados = F.sum(F.length("texto")), F.sum(F.when(F.col("negrita"), F.length("texto")).otherwise(0))
+    otras = [x for c, x in (("palabras", F.concat_ws(" ", F.collect_list("palabras")).alias("palabras")), ("cuerpo", F.first("cuerpo").alias("cuerpo"))) if c in lineas.columns]
     return s.groupBy(*PAGINA, "bloque", "fila").agg(
-        F.min("seq").alias("seq"), texto.alias("texto"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("tamano").alias("tamano"), ((n > 0) & (2 * marcados >= n)).alias("negrita")
+        F.min("seq").alias("seq"), texto.alias("texto"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("tamano").alias("tamano"), ((n > 0) & (2 * marcados >= n)).alias("negrita"), *otras
     )
 
 
@@ -102,8 +103,8 @@ def es_ruido(texto: Column, tamano: Column, cuerpo: Column, y0: Column, y1: Colu
     return (F.length(texto) <= 80) & (tamano <= 0.95 * cuerpo) & ((y1 <= BANDA * alto) | (y0 >= (1 - BANDA) * alto))
 
 
-def vocabulario(lineas: DataFrame) -> DataFrame:
-    """``(documento_id, palabra)``: distinct words without the halves of divided ones.
+def palabras_de_lineas(lineas: DataFrame) -> DataFrame:
+    """Adds ``q``: the words of each line without the halves of divided ones.
 
     The last word of a line cut by a hyphen and the first of the next line that is not
     blank are left out; blank lines do not end the cut.
@@ -115,7 +116,12 @@ def vocabulario(lineas: DataFrame) -> DataFrame:
     p = F.regexp_extract_all(F.lower("t"), F.lit(PALABRA), F.lit(0))
     desde, hasta = F.when(F.col("antes"), 2).otherwise(1), F.size("p") - F.when(F.col("cortada"), 1).otherwise(0)
     s = s.withColumn("p", p).withColumn("q", F.slice("p", desde, F.greatest(F.lit(0), hasta - desde + 1)))
-    return s.select("documento_id", F.explode("q").alias("palabra")).distinct()
+    return s.drop("t", "cortada", "antes", "p")
+
+
+def vocabulario(lineas: DataFrame) -> DataFrame:
+    """``(documento_id, palabra)``: distinct words without the halves of divided ones."""
+    return palabras_de_lineas(lineas).select("documento_id", F.explode("q").alias("palabra")).distinct()
 
 
 def unir_filas(textos: Column, vocabulario_: Column) -> Column:
@@ -187,29 +193,38 @@ def lineas_de_pagina(spans: DataFrame) -> DataFrame:
     )
 
 
-def uniones(filas_: DataFrame, palabras: DataFrame) -> DataFrame:
-    """Adds ``pieza`` to the rows of paragraphs: the text as it stands in the joined paragraph, with what separates it from the row before.
+def divisiones(filas_: DataFrame) -> DataFrame:
+    """Adds ``sigue`` to the rows of paragraphs: how a row goes on, and the halves ``izq``, ``der`` where the vocabulary decides (``par``).
 
-    A soft hyphen at a row's end joins; a hyphen joins without itself unless both halves are
-    words of the document (``palabras(documento_id, palabra)``) or one is no word.  Only the
-    halves of divided words meet the vocabulary, in a join, so no document's vocabulary is
-    gathered in one place.  Blank rows drop out.
+    ``fin``: the last row; ``sin``: without its hyphen; ``pegado``: as it stands;
+    ``espacio``: with a space.  Blank rows drop out.
     """
     w = Window.partitionBy(*PAGINA, "bloque", "parrafo").orderBy("fila")
-    f = filas_.withColumn("texto", recortar(F.col("texto"))).where("texto <> ''").withColumns({"_a": F.lag("texto").over(w), "_s": F.lead("texto").over(w)})
+    f = filas_.withColumn("texto", recortar(F.col("texto"))).where("texto <> ''").withColumn("_s", F.lead("texto").over(w))
     halla = lambda c, p: F.lower(F.nullif(F.regexp_extract(c, p, 1), F.lit("")))
     antes, despues = r"(?U)([^\W\d_]+)-$", r"(?U)^([^\W\d_]+)"
     f = f.withColumns({"izq": halla(F.col("texto"), antes), "der": halla(F.col("_s"), despues)})
-    corta = F.col("texto").endswith("-") & F.col("_s").isNotNull()
-    pares = f.where(corta & F.col("izq").isNotNull() & F.col("der").isNotNull()).select("documento_id", "izq", "der").distinct()
+    sigue = F.when(F.col("_s").isNull(), "fin").when(F.col("texto").endswith("­"), "sin").when(F.col("texto").endswith("-"), F.when(F.col("izq").isNull() | F.col("der").isNull(), "pegado").otherwise("par")).otherwise("espacio")
+    f = f.withColumn("sigue", sigue).drop("_s")
+    return f.withColumns({c: F.when(F.col("sigue") == "par", F.col(c)) for c in ("izq", "der")})
+
+
+def uniones(divididas: DataFrame, palabras: DataFrame) -> DataFrame:
+    """Adds ``pieza`` to the rows of ``divisiones``: the text as it stands in the joined paragraph, with what separates it from the row after.
+
+    A soft hyphen at a row's end joins; a hyphen joins without itself unless both halves are
+    words of the document (``palabras(documento_id, palabra)``) or one is no word.  Only
+    rows that end in a divided word meet the vocabulary, in a join, so no document's
+    vocabulary is gathered in one place and the other rows do not move.
+    """
+    par = divididas.where("sigue = 'par'")
+    pares = par.select("documento_id", "izq", "der").distinct()
     v = palabras.select("documento_id", "palabra").distinct()
     propios = pares.join(v.withColumnRenamed("palabra", "izq"), ["documento_id", "izq"], "left_semi").join(v.withColumnRenamed("palabra", "der"), ["documento_id", "der"], "left_semi").withColumn("_p", F.lit(True))
-    f = f.join(propios, ["documento_id", "izq", "der"], "left")
-    # how a row goes on: without its hyphen, as it stands, or with a space
-    sigue = F.when(F.col("_s").isNull(), "fin").when(F.col("texto").endswith("­"), "sin").when(corta, F.when(F.col("izq").isNull() | F.col("der").isNull() | F.coalesce("_p", F.lit(False)), "pegado").otherwise("sin")).otherwise("espacio")
-    f = f.withColumn("_k", sigue)
-    t = F.when(F.col("_k") == "sin", F.regexp_replace("texto", ".$", "")).when(F.col("_k") == "espacio", F.concat("texto", F.lit(" "))).otherwise(F.col("texto"))
-    return f.withColumn("pieza", t).drop("_a", "_s", "_p", "_k", "izq", "der")
+    par = par.join(propios, ["documento_id", "izq", "der"], "left").withColumn("sigue", F.when(F.col("_p"), "pegado").otherwise("sin"))
+    f = divididas.where("sigue <> 'par'").unionByName(par.select(*divididas.columns))
+    t = F.when(F.col("sigue") == "sin", F.regexp_replace("texto", ".$", "")).when(F.col("sigue") == "espacio", F.concat("texto", F.lit(" "))).otherwise(F.col("texto"))
+    return f.withColumn("pieza", t).drop("sigue", "izq", "der")
 
 
 def bloques_de_paginas(spans: DataFrame, paginas: DataFrame) -> DataFrame:
@@ -223,19 +238,23 @@ def bloques_de_paginas(spans: DataFrame, paginas: DataFrame) -> DataFrame:
     """
     from legajo.operators.disposicion import lado_de_calle
 
-    # lines are kept: rows, divided words, vocabulary and body size read them, none goes back to the spans
-    l = fijar(lineas_de_pagina(spans))
-    # lines stand by block and place in it: seq may start anew in every block
-    v = vocabulario(l.select(*PAGINA, F.struct("bloque", "linea").alias("seq"), "texto"))
+    # all that a page tells by itself comes first; lines stand by block and place in it, as seq may start anew in every block
+    pag = Window.partitionBy(*PAGINA)
+    l = lineas_de_pagina(spans).withColumn("_l", F.row_number().over(pag.orderBy("bloque", "linea"))).withColumn("_t", F.round("tamano", 1))
+    de_tamano = Window.partitionBy(*PAGINA, "_t")
+    l = l.withColumns({"_n": F.sum(F.length("texto")).over(de_tamano), "_p": F.min("_l").over(de_tamano)}).withColumn("cuerpo", F.max_by("_t", F.struct("_n", -F.col("_p"))).over(pag))  # tamano_cuerpo
+    q = palabras_de_lineas(l.withColumn("_o", F.col("seq")).withColumn("seq", F.col("_l"))).withColumn("seq", F.col("_o")).withColumn("palabras", F.array_join("q", " "))
+    f = divisiones(parrafos(filas(q)))
+    # rows are kept: the vocabulary, the divided words and the paragraphs read them, none goes back to the spans
+    f = fijar(f.select(*PAGINA, "bloque", "parrafo", "fila", "texto", "palabras", "sigue", "izq", "der", "negrita", "tamano", "cuerpo", "x0", "y0", "x1", "y1"))
+    v = f.where("palabras <> ''").select("documento_id", F.explode(F.split("palabras", " ")).alias("palabra"))
     # rows of a page lie together from here on: its windows and joins move them no more
-    p = uniones(parrafos(filas(l.repartition(*PAGINA))), v).repartition(*PAGINA)
+    p = uniones(f, v).drop("palabras").repartition(*PAGINA)
     texto = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fila", "pieza"))), lambda x: x["pieza"]), "")
     g = p.groupBy(*PAGINA, "bloque", "parrafo").agg(
-        texto.alias("texto"), F.count("*").alias("filas"), F.min_by("negrita", "fila").alias("negrita"), F.max("tamano").alias("tamano"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")
+        texto.alias("texto"), F.count("*").alias("filas"), F.min_by("negrita", "fila").alias("negrita"), F.max("tamano").alias("tamano"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.first("cuerpo").alias("cuerpo")
     )
-    lugar = F.row_number().over(Window.partitionBy(*PAGINA).orderBy("bloque", "linea"))
-    cuerpo = tamano_cuerpo(l.select(*PAGINA, "tamano", "texto", lugar.alias("seq")))
-    j = g.join(cuerpo, PAGINA, "left").join(paginas, PAGINA)
+    j = g.join(paginas, PAGINA)
     ruido = (F.col("filas") == 1) & es_ruido(F.col("texto"), F.col("tamano"), F.col("cuerpo"), F.col("y0"), F.col("y1"), F.col("alto"))
     guia = F.col("texto").rlike(PUNTOS_GUIA)
     t = F.when(guia & ~ruido, limpiar(F.regexp_replace("texto", PUNTOS_GUIA, " … "))).otherwise(F.col("texto"))
