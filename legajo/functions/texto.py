@@ -8,11 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _ACENTOS = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x180) if len(unicodedata.normalize("NFD", chr(c))) > 1}
+#: What ``(?U)\s`` matches.
+BLANCOS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def recortar(c: Column) -> Column:
     """Strip any Unicode white space from both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANCOS))
 
 
 def tipo_normal(c: Column) -> Column:
@@ -22,7 +24,9 @@ def tipo_normal(c: Column) -> Column:
 
 def limpiar(c: Column) -> Column:
     """Control characters out, white space to single spaces, ends stripped."""
-    return recortar(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), r"(?U)\s+", " "))
+    limpio = F.regexp_replace(F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), r"(?U)\s+", " ")
+    # most texts hold single spaces alone, which one look tells
+    return recortar(F.when(c.rlike(f"[\x00-\x1f\x7f{BLANCOS[6:]}]|  "), limpio).otherwise(c))
 
 
 def primero_no_vacio(*cs: Column) -> Column:
@@ -39,6 +43,8 @@ INICIOS = (
     ("corolario", r"^(corolario|corollary)\s+\d+"),
     ("demostracion", r"^(proof|prueba|demostraci[óo]n)\s*[.:]"),
 )
+#: The first four letters of every keyword, of NOTA's too.
+COMIENZOS = ("teor", "theo", "lema", "lemm", "prop", "defi", "coro", "proo", "prue", "demo", "nota", "note")
 NOTA = r"^(nota|note)\s*\d*\s*[.:]"
 LISTA = r"^(\s*[-•*]|\s*\d+[.)]\s+)"
 CODIGO = r"^\s*(def |class |function |for |while |if |elif |else:|return |import |from |print\(|#include|<\?|\{)"
@@ -59,13 +65,16 @@ def clasificar(texto: Column, negrita: Column | None = None, escala: Column | No
     escala = F.lit(1.0) if escala is None else F.coalesce(escala, F.lit(1.0))
     filas = F.lit(1) if filas is None else F.coalesce(filas, F.lit(1))
     bajo = recortar(F.lower(texto))
-    regla = F.when(F.coalesce(recortar(texto), F.lit("")) == "", "ruido")
-    for clase, patron in INICIOS:
-        regla = regla.when(bajo.rlike(patron), clase)
-    regla = regla.when(texto.contains("∎") | texto.contains(r"\qed"), "demostracion").when(bajo.rlike(NOTA), "nota_pie").when(texto.rlike(LISTA), "lista")
+    # most texts begin with no keyword, and are not looked at pattern by pattern in lower case
+    palabra = F.lower(F.substring(recortar(texto), 1, 4)).isin(*COMIENZOS)
+    inicio = F.when(bajo.rlike(INICIOS[0][1]), INICIOS[0][0])
+    for clase, patron in INICIOS[1:]:
+        inicio = inicio.when(bajo.rlike(patron), clase)
+    regla = F.when(texto.contains("∎") | texto.contains(r"\qed"), "demostracion").when(palabra & bajo.rlike(NOTA), "nota_pie").when(texto.rlike(LISTA), "lista")
     regla = regla.when(texto.rlike(CODIGO) & (negrita | F.regexp_replace(texto, r"(?U)\s+$", "").endswith(":") | texto.contains("\n")), "codigo")
     regla = regla.when((negrita | (escala >= 1.15)) & (F.length(texto) < 150) & (filas <= 2) & ~texto.rlike(NUMERACION), "encabezado")
-    return regla.when(texto.rlike(DISPLAY), "formula_display").when(texto.rlike(SIMBOLOS) & (F.length(texto) < 200), "formula_inline").otherwise("parrafo")
+    regla = regla.when(texto.rlike(DISPLAY), "formula_display").when((F.length(texto) < 200) & texto.rlike(SIMBOLOS), "formula_inline").otherwise("parrafo")
+    return F.coalesce(F.when(F.coalesce(recortar(texto), F.lit("")) == "", "ruido"), F.when(palabra, inicio), regla)
 
 
 def cuantas(c: Column, signo: str) -> Column:

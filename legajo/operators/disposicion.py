@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,20 +52,26 @@ def orden_de_cajas(c: DataFrame) -> DataFrame:
 def lado_de_calle(c: DataFrame, nombre: str) -> DataFrame:
     """Adds ``nombre``: 1 for a box right of the street of its page, else 0; the rule of ``calles`` beside the rows.
 
-    The 31 cuts are counts over the page's rows, so rows that were costly to get are read
-    once and carry what else they hold.
+    The cuts grow, so a box crosses a run of the 31, from the first right of its left edge
+    to the last left of its right edge: the cuts that a page's boxes leave free are one OR
+    over the runs.  Only pages with a free cut count the boxes left of it.  Rows that were
+    costly to get are read once and carry what else they hold.
     """
     w = Window.partitionBy(*PAGINA)
-    mn, n = F.min("x0").over(w), F.count("*").over(w)
-    c = c.withColumns({"_mn": mn, "_mx": F.max("x1").over(w), "_n": n})
-    ini, fin = (F.col("_mn") + (F.col("_mx") - F.col("_mn")) * k for k in BANDA)
-    corte = [ini + (fin - ini) * F.lit(i) / PASOS for i in range(PASOS + 1)]
-    c = c.withColumns({f"_c{i}": F.struct(F.count_if((F.col("x0") < x) & (x < F.col("x1"))).over(w).alias("cruzan"), F.count_if(F.col("x1") <= x).over(w).alias("izq"), x.alias("x"), F.lit(-i).alias("i")) for i, x in enumerate(corte)})
-    libres = F.filter(F.array(*[f"_c{i}" for i in range(PASOS + 1)]), lambda k: (k["cruzan"] == 0) & (F.least(k["izq"], F.col("_n") - k["izq"]) / F.col("_n") >= MIN_LADO))
-    mejor = F.array_max(F.transform(libres, lambda k: F.struct(F.least(k["izq"], F.col("_n") - k["izq"]).alias("menor"), k["i"].alias("i"), k["x"].alias("x"))))["x"]
-    calle = F.when((F.col("_n") >= MIN_BLOQUES) & (F.col("_mx") > F.col("_mn")), mejor)
-    c = c.withColumn("_calle", calle).withColumn(nombre, F.when(F.col("_calle").isNull(), 0).otherwise((F.col("x1") > F.col("_calle")).cast("int")))
-    return c.drop("_mn", "_mx", "_n", "_calle", *[f"_c{i}" for i in range(PASOS + 1)])
+    c = c.withColumns({"_mn": F.min("x0").over(w), "_mx": F.max("x1").over(w), "_n": F.count("*").over(w)})
+    c = c.withColumns({k: F.col("_mn") + (F.col("_mx") - F.col("_mn")) * v for k, v in zip(("_ini", "_fin"), BANDA)})
+    corte = lambda i: F.col("_ini") + (F.col("_fin") - F.col("_ini")) * i / PASOS
+    cortes = [corte(F.lit(i)) for i in range(PASOS + 1)]
+    c = c.withColumns({"_a": reduce(add, [(x <= F.col("x0")).cast("int") for x in cortes]), "_b": reduce(add, [(x < F.col("x1")).cast("int") for x in cortes])})
+    c = c.withColumn("_r", F.expr("if(_b > _a, shiftleft(1L, _b) - shiftleft(1L, _a), 0L)"))
+    c = c.withColumns({"_r": F.coalesce(F.bit_or("_r").over(w), F.lit(0)), "_bs": F.collect_list("_b").over(w)})
+    libres = F.filter(F.sequence(F.lit(0), F.lit(PASOS)), lambda i: F.getbit("_r", i) == 0)
+    izq = lambda i: F.size(F.filter("_bs", lambda b: b <= i))
+    mejor = F.array_max(F.transform(libres, lambda i: F.struct(F.least(izq(i), F.col("_n") - izq(i)).alias("menor"), (-i).alias("i"), corte(i).alias("x"))))
+    hay = (F.col("_n") >= MIN_BLOQUES) & (F.col("_mx") > F.col("_mn")) & (F.col("_r") != 2 ** (PASOS + 1) - 1)
+    c = c.withColumn("_m", F.when(hay, mejor)).withColumn("_calle", F.when(F.col("_m.menor") / F.col("_n") >= MIN_LADO, F.col("_m.x")))
+    c = c.withColumn(nombre, F.when(F.col("_calle").isNull(), 0).otherwise((F.col("x1") > F.col("_calle")).cast("int")))
+    return c.drop("_mn", "_mx", "_n", "_ini", "_fin", "_a", "_b", "_r", "_bs", "_m", "_calle")
 
 
 def renglones(c: DataFrame, tolerancia: float = 0.5) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from legajo.functions import texto
 from legajo.operators import disposicion, nativo, reconocimiento
 
 
@@ -122,6 +123,43 @@ def test_native_pages_read_their_spans_once(spark, tmp_path):
     assert [b[k].orden for k in range(5)] == [0, 1, 2, 3, 4]  # the left column first
 
 
+def test_native_lines_from_spans_within_them(spark):
+    """Spans that come within their lines give the rows of the marked spans, also with several sizes and fonts, ties and empty texts."""
+    g = random.Random(5)
+    f = [("d", p, b, n, k, g.choice(["uno ", "x_2 ", "a\tb ", "", "  ", "ñandú­ "]), g.choice(["Times", "Times-Bold"]) if n else "Times", g.choice([0, 16]) if n == 2 else 0, g.choice([10.0, 10.02, 7.0]) if n > 1 else 10.0, g.random(), g.random(), g.random(), g.random())
+         for p in range(3) for b in range(4) for n in range(5) for k in range(g.randrange(1, 9))]
+    s = spark.createDataFrame(f, ESPANES)
+    r = s.groupBy(*nativo.LINEA).agg(F.sort_array(F.collect_list(F.struct(*nativo.SPAN))).alias("s")).select(*nativo.LINEA, *[F.col("s")[c].alias(c) for c in nativo.SPAN])
+    x, y = nativo.lineas_de_renglones(r), nativo.lineas_de_spans(nativo.marcar(s))
+    assert len({z.tamano for z in x.collect()}) == 2 and sorted(map(tuple, x.collect())) == sorted(map(tuple, y.select(*x.columns).collect()))
+
+
+def test_only_divided_words_move_after_the_page(spark):
+    """The vocabulary is cut to the halves of divided words before it is shuffled; paragraphs without one are ready as they lie."""
+    f = [("d", 0, b, n, n * 100 + k, p + " ", "Times", 0, 10.0, 20.0 * k, 50.0 * b + 12 * n, 20.0 * k + 15, 50.0 * b + 12 * n + 10) for b, ls in enumerate((["una cons-", "truction"], ["palabras sin nada"])) for n, l in enumerate(ls) for k, p in enumerate(l.split(" "))]
+    r = nativo.bloques_de_paginas(spark.createDataFrame(f, ESPANES), spark.createDataFrame([("d", 0, 600.0, 800.0)], "documento_id string, pagina int, ancho double, alto double"))
+    plan = r._jdf.queryExecution().sparkPlan()
+    while plan.nodeName() != "Union":
+        plan = plan.children().apply(0)
+    assert "Join" not in (listo := plan.children().apply(0).toString()) and "Window" not in listo and "Aggregate" not in listo
+    assert {x.texto for x in r.collect()} == {"una construction", "palabras sin nada"}
+    v = spark.range(20000).select(F.lit("d").alias("documento_id"), F.concat(F.lit("p"), "id").alias("palabra"))
+    pasan = {x.palabra for x in nativo.posibles(v, v.where("palabra in ('p7', 'p19999')")).collect()}
+    assert {"p7", "p19999"} <= pasan and len(pasan) < 20
+    p = spark.createDataFrame([("d", "p1", "p2"), ("d", "p1", "q"), ("e", "p1", "p2")], "documento_id string, izq string, der string")
+    assert [tuple(x) for x in nativo.pares_propios(p, v).select("documento_id", "izq", "der").collect()] == [("d", "p1", "p2")]
+
+
+def test_trimming_takes_what_the_pattern_takes(spark):
+    """White space of every kind, and no other sign, goes from the ends of a text and is made single inside it."""
+    f = spark.range(0x10000).where("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    f = f.select("c", F.concat("c", F.lit("x"), "c", F.lit("y "), "c").alias("t"))
+    antes = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    limpio = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), r"(?U)\s+", " "), r"(?U)^\s+|\s+$", "")
+    assert f.where(~texto.recortar(F.col("t")).eqNullSafe(antes) | ~texto.limpiar(F.col("t")).eqNullSafe(limpio)).count() == 0
+    assert f.where(texto.recortar(F.col("c")) == "").count() == 25
+
+
 def test_side_of_street_is_that_of_calles(spark):
     g = random.Random(3)
     f = [(f"d{d}", p, f"b{k}", x := g.choice([0.05, 0.1, 0.5, 0.55]) + g.random() * 0.03, y := g.random() * 0.9, x + g.choice([0.2, 0.35, 0.5]), y + 0.05) for d in range(12) for p in range(2) for k in range(g.randrange(1, 12))]
